@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, sharding
+from larkspur.llm import chat, sharding, simhash
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 @query()
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
