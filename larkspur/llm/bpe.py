@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larkspur.llm.pieces import byte_alphabet, word_pattern
+from larkspur.llm.pieces import byte_alphabet, words
 
 #: Entries after which the tables of seen pieces and pairs start anew.
 SEEN_PIECES, SEEN_PAIRS = 600_000, 2_000_000
@@ -150,7 +150,7 @@ class Vocabulary:
             if i % 2:
                 out.append(np.uint32(self.special[part]).tobytes())
             elif part:
-                out.extend(map(self.seen.__getitem__, word_pattern().findall(normalize(part))))
+                out.extend(map(self.seen.__getitem__, words(normalize(part))))
         return np.frombuffer(b"".join(out), np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:

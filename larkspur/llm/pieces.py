@@ -7,37 +7,41 @@ import re
 import sys
 import unicodedata
 
+# The code points with the property White_Space.
+_WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_CLITICS = "'(?:s|t|re|ve|m|ll|d)"
+
 
 @functools.cache
 def _classes() -> tuple[str, str, str]:
-    """Letters, numbers and white space as the inside of a regular expression's character class."""
-    runs: dict[str, list[list[int]]] = {"L": [], "N": []}
+    """Letters, numbers and numbers that are no decimal digits, as the inside of a regular expression's character class."""
+    runs: dict[str, list[list[int]]] = {"L": [], "N": [], "odd": []}
     for cp in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in runs:
-            at = runs[kind]
-            if at and at[-1][1] == cp - 1:
-                at[-1][1] = cp
-            else:
-                at.append([cp, cp])
+        kind = unicodedata.category(chr(cp))
+        for name in (kind[0], "odd" if kind in ("Nl", "No") else ""):
+            if name in runs:
+                at = runs[name]
+                if at and at[-1][1] == cp - 1:
+                    at[-1][1] = cp
+                else:
+                    at.append([cp, cp])
     text = lambda ranges: "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-    # The code points with the property White_Space.
-    white = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    return text(runs["L"]), text(runs["N"]), white
-
-
-@functools.cache
-def byte_level_pattern() -> re.Pattern[str]:
-    """Pieces of byte-level vocabularies: a space goes with what follows it."""
-    letter, number, white = _classes()
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+    return text(runs["L"]), text(runs["N"]), text(runs["odd"])
 
 
 @functools.cache
-def word_pattern() -> re.Pattern[str]:
-    """Pieces of word vocabularies: white space is dropped, digits stand alone."""
-    letter, number, white = _classes()
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
+def _word_patterns() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+    letter, number, odd = _classes()
+    # Without odd numbers, the built-in word class is letters, decimal digits and the underscore.
+    plain = re.compile(f"[^\\W\\d_]+|\\d|{_CLITICS}|(?:[^\\w{_WHITE}]|_)+")
+    full = re.compile(f"[{letter}]+|[{number}]|{_CLITICS}|[^{_WHITE}{letter}{number}]+")
+    return plain, full, re.compile(f"[{odd}]")
+
+
+def words(text: str) -> list[str]:
+    """Pieces of word vocabularies: white space is dropped, digits stand alone, clitics are cut off."""
+    plain, full, odd = _word_patterns()
+    return (full if not text.isascii() and odd.search(text) else plain).findall(text)
 
 
 @functools.cache
