@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, sharding, simhash, wavelet
+from larkspur.llm import bpe, chat, sharding, simhash, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = wavelet.write_new(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return wavelet.checksums(manifest)
+
+
+@query()
+def op7_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_new(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
