@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, sharding, simhash, warc, wavelet
+from larkspur.llm import bpe, chat, quality, sharding, simhash, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op3_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_new(table(spark, sf_dir, "pages"))
     return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op6_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
