@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, quality, sharding, simhash, warc, wavelet
+from larkspur.llm import bpe, chat, decontaminate, quality, sharding, simhash, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op7_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query()
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
