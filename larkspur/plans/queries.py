@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, dml, guardrails, reports, search
+from larkspur.operators import audits, chunking, citations, dml, guardrails, reports, search
 from larkspur.session import table
 from larkspur.windows import admin_window, instructor_window
 
@@ -404,3 +404,40 @@ def message_search(spark, d):
 @query("SELECT user_id FROM (SELECT user_id FROM events UNION SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)")
 def known_users(spark, d):
     return table(spark, d, "events").select("user_id").union(table(spark, d, "orders").select("o_custkey")).union(table(spark, d, "customer").select("c_custkey")).distinct()
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunking.chunk(table(spark, d, "documents")).drop("metadata")
+
+
+@query()
+def chunk_audit(spark, d):
+    return audits.chunk_audit(chunking.chunk(table(spark, d, "documents")))
+
+
+@query()
+def corpus_stats(spark, d):
+    return audits.corpus_stats(chunking.chunk(table(spark, d, "documents")))
+
+
+@query("SELECT count(*) AS discovered, count(*) FILTER (contains(coalesce(url, ''), '/en/') AND trim(coalesce(html, '')) <> '') AS prepared, count(*) FILTER (NOT contains(coalesce(url, ''), '/en/')) AS skipped_non_english, count(*) FILTER (contains(coalesce(url, ''), '/en/') AND trim(coalesce(html, '')) = '') AS skipped_empty FROM pages")
+def ingestion_summary(spark, d):
+    return chunking.summary(chunking.prepared(table(spark, d, "pages"), "url", "html"))
+
+
+_ANSWERS = ["See [1] and [2](http://x) but `[3]` and ![4](i).", "Old [a](citation:2) form, again [2].", "Ref [1][one]\n\n[one]: http://y\n[1]: http://z\n", "No citation."]
+
+
+@query()
+def citations_validate(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _ANSWERS))).alias("content"))
+    records = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.cast("string").alias("citationId"), F.concat(F.lit("h"), i.cast("string")).alias("heading")))
+    made = citations.validated(rows.withColumn("records", records))
+    return made.select("content", "answer", F.array_join("used.citationId", ",").alias("used"))
+
+
+@query()
+def visible_text_search(spark, d):
+    found = citations.search_visible(A.turns(spark, d), "the")
+    return found.select("conv_id", "sequence", T.matches(F.col("visible"), "the").alias("n"))
