@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import fresh_path, materialize
 
 #: Bytes of text in a shard, and of the text whose keys meet in a bucket, about.
-SHARD_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20
+SHARD_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 _U = np.uint64
 #: Two odd bases for rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -98,17 +98,28 @@ def shards(docs: DataFrame, key: str, text: str, shard_bytes: int = SHARD_BYTES)
             yield flush()
 
     made = ranged.select("k", "t", F.spark_partition_id().alias("p")).mapInArrow(run, "shard long, ids array<long>, ends array<long>, blob binary")
-    return materialize(made, "shards"), size
+    # Bucketed by shard, the texts need no shuffle when answers are joined to them.
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * shard_bytes)))
+    path = fresh_path(spark, "shards")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    made.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "shard").saveAsTable(name)
+    _drop_unused(spark)
+    return spark.table(name), size
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """materialize(), then let Spark drop the shuffle files that nothing needs any more."""
     out = materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    _drop_unused(df.sparkSession)
     return out
 
 
+def _drop_unused(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_bits(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(2, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
 

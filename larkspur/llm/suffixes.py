@@ -133,31 +133,33 @@ class _Shard:
     def repeated_segments(self, codes: np.ndarray) -> np.ndarray:
         return (self.earliest[self.which] < self.first) | (codes[self.which] == _LATER)
 
-    def open_windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the open segments: places of all windows, places of the first of each, its group for each window, and fingerprints of the groups."""
+    def open_text(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the open segments, end to end: the place of each byte, and where windows start."""
         own = np.flatnonzero((codes[self.which] == _OPEN) & (self.earliest[self.which] == self.first))
-        none = np.empty(0, np.int64)
-        if not len(own):
-            return none, none, none, np.empty(0, "S16")
         a, b = self.first[own], self.last[own] + self.window - 1
         sizes = b - a
         shift = np.cumsum(sizes) - sizes
         source = np.arange(int(sizes.sum())) + np.repeat(a - shift, sizes)
+        return source, np.flatnonzero(np.arange(len(source)) - np.repeat(shift, sizes) <= np.repeat(sizes - self.window, sizes))
+
+    def prints(self, source: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows from these places of the open text."""
+        if not len(at):
+            return np.empty(0, "S16")
+        values = _BYTE[self.text[source]]
+        return R.pack(*(R.window_hashes(R.prefix_hashes(values, base), base, self.window)[at] for base in R.BASES))
+
+    def distinct_windows(self, codes: np.ndarray) -> np.ndarray:
+        """Fingerprints of the different windows of the open segments, found by the suffix array."""
+        source, at = self.open_text(codes)
         text = self.text[source]
-        starts_here = np.arange(len(text)) - np.repeat(shift, sizes) <= np.repeat(sizes - self.window, sizes)
         sa, _ = suffix_array(text, len(text))  # to the end: Kasai's bound needs the true order
         prefixes = common_prefixes(text.tobytes(), sa, self.window)
-        group = np.empty(len(sa), np.int64)
-        group[sa] = np.cumsum(prefixes < self.window) - 1
-        at = np.flatnonzero(starts_here)
-        groups, which = np.unique(group[at], return_inverse=True)
-        first = np.full(len(groups), len(self.text), np.int64)
-        np.minimum.at(first, which, source[at])
-        some = np.zeros(len(groups), np.int64)
-        some[which] = at
-        values = _BYTE[text]
-        prints = R.pack(*(R.window_hashes(R.prefix_hashes(values, base), base, self.window)[some] for base in R.BASES))
-        return source[at], first, which, prints
+        starts = np.zeros(len(sa), bool)
+        starts[at] = True
+        group = np.cumsum(prefixes < self.window)[starts[sa]]
+        _, one = np.unique(group, return_index=True)
+        return self.prints(source, sa[starts[sa]][one])
 
 
 def _first(keys: np.ndarray) -> np.ndarray:
@@ -192,8 +194,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def windows(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, anchor)
-        *_, prints = s.open_windows(R.joined(row["codes"]))
-        prints = np.sort(prints)
+        prints = np.sort(s.distinct_windows(R.joined(row["codes"])))
         return R.to_buckets(s.number, prints, (_first(prints) >> _U(64 - bits)).astype(np.int64), bits)
 
     seen = R.settle(R.exchange(R.each_shard(shards.join(codes, "shard"), windows, R.EXCHANGE), R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
@@ -203,11 +204,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         code = R.joined(row["codes"])
         whole = s.repeated_segments(code) if len(s.first) else np.zeros(0, bool)
         gone = R.covered(s.first[whole], (s.last - s.first + window - 1)[whole], len(s.text))
-        at, first, which, prints = s.open_windows(code)
+        source, at = s.open_text(code)
         if len(at):
-            before = np.empty(len(prints), bool)
-            before[np.argsort(prints)] = R.joined(row["seen"]) > 0
-            gone |= R.covered(at[before[which] | (first[which] < at)], window, len(s.text))
+            # In the order of their fingerprints, the different windows are those that were asked for.
+            keys, which = np.unique(s.prints(source, at), return_inverse=True)
+            places, before = source[at], R.joined(row["seen"]) > 0
+            first = np.full(len(keys), len(s.text), np.int64)
+            np.minimum.at(first, which, places)
+            gone |= R.covered(places[before[which] | (first[which] < places)], window, len(s.text))
         removed, count, shas, spans = [], [], [], []
         for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True):
             g = gone[a:b]
