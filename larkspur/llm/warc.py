@@ -223,7 +223,8 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     files = index.select("file").distinct()
     n = max(1, files.count())
-    return files.repartition(min(n, 10_000), "file").mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    # By number, not by file: the few rows of the list would else be put into one task.
+    return files.repartition(min(n, 10_000)).mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def write_new(pages: DataFrame, **more) -> DataFrame:
