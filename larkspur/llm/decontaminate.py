@@ -44,7 +44,7 @@ def words(text: Column) -> Column:
 
 def _body(w: Column) -> Column:
     cut = F.regexp_replace(w, r"^[^\p{L}\p{N}$€£+\-]+|[^\p{L}\p{N}%]+$", "")
-    return F.when(cut == "", w).otherwise(cut)
+    return F.when(w.rlike(r"^[\p{L}\p{N}]+$"), w).when(cut == "", w).otherwise(cut)
 
 
 def bodies(ws: Column) -> Column:
@@ -58,7 +58,8 @@ def templates(ws: Column, bs: Column) -> Column:
         before, told = F.get(bs, i - 1), F.get(ws, i - 1)
         inside = (i > 0) & ~told.rlike(r"[.!?:][\p{Pe}\p{Pf}\p{Po}]*$")
         return (
-            F.when(b.rlike(rf"^{_NUMBER}%?$"), F.lit("<num>"))
+            F.when(b.rlike(r"^\p{Ll}") & ~F.lower(b).isin(*UNITS), F.lower(b))  # most words: no further test
+            .when(b.rlike(rf"^{_NUMBER}%?$"), F.lit("<num>"))
             .when(b.rlike(rf"^{_NUMBER}\p{{L}}{{1,3}}$") & F.regexp_extract(F.lower(b), r"(\p{L}+)$", 1).isin(*UNITS), F.lit("<qty>"))
             .when(F.lower(b).isin(*UNITS) & (i > 0) & before.rlike(rf"^{_NUMBER}$"), F.lit("<unit>"))
             .when(inside & b.rlike(r"^\p{Lu}"), F.lit("<name>"))
