@@ -61,17 +61,13 @@ def fingerprint(schema: T.StructType, fields: set[str] | None = None) -> str:
     return hashlib.sha256("\n".join(sorted(_paths(kept))).encode()).hexdigest()[:16]
 
 
-def _layout(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-#: Table layouts: (schema of the fields that matter, mapping).
-TABLE_LAYOUTS: list[tuple[T.StructType, Mapping]] = [
-    (_layout("conv_id long, turn long, role string, text string"), Mapping("turn_rows", "struct(coalesce(role, '') as role, coalesce(text, '') as text)", "conv_id", "turn")),
-    (_layout("id long, messages array<struct<role:string,content:string>>"), Mapping("messages", "transform(messages, m -> struct(coalesce(m.role, '') as role, coalesce(m.content, '') as text))", "id")),
-    (_layout("id long, conversations array<struct<from:string,value:string>>"), Mapping("from_value", "transform(conversations, m -> struct(case m.from when 'human' then 'user' when 'gpt' then 'assistant' else coalesce(m.from, '') end as role, coalesce(m.value, '') as text))", "id")),
-    (_layout("id long, prompt string, response string"), Mapping("prompt_response", "array(struct('user' as role, coalesce(prompt, '') as text), struct('assistant' as role, coalesce(response, '') as text))", "id")),
-    (_layout("id long, instruction string, input string, output string"), Mapping("instruction", "array(struct('user' as role, concat(coalesce(instruction, ''), if(coalesce(input, '') = '', '', concat('\\n\\n', input))) as text), struct('assistant' as role, coalesce(output, '') as text))", "id")),
+#: Table layouts: (schema of the fields that matter, as DDL, mapping).
+TABLE_LAYOUTS: list[tuple[str, Mapping]] = [
+    ("conv_id long, turn long, role string, text string", Mapping("turn_rows", "struct(coalesce(role, '') as role, coalesce(text, '') as text)", "conv_id", "turn")),
+    ("id long, messages array<struct<role:string,content:string>>", Mapping("messages", "transform(messages, m -> struct(coalesce(m.role, '') as role, coalesce(m.content, '') as text))", "id")),
+    ("id long, conversations array<struct<from:string,value:string>>", Mapping("from_value", "transform(conversations, m -> struct(case m.from when 'human' then 'user' when 'gpt' then 'assistant' else coalesce(m.from, '') end as role, coalesce(m.value, '') as text))", "id")),
+    ("id long, prompt string, response string", Mapping("prompt_response", "array(struct('user' as role, coalesce(prompt, '') as text), struct('assistant' as role, coalesce(response, '') as text))", "id")),
+    ("id long, instruction string, input string, output string", Mapping("instruction", "array(struct('user' as role, concat(coalesce(instruction, ''), if(coalesce(input, '') = '', '', concat('\\n\\n', input))) as text), struct('assistant' as role, coalesce(output, '') as text))", "id")),
 ]
 
 #: JSON layouts: (sample record whose variant schema is the layout's, mapping over the variant column ``v``).
@@ -84,9 +80,10 @@ JSON_LAYOUTS: list[tuple[str, Mapping]] = [
 ]
 
 
-def canonical_turns(df: DataFrame, layouts: list[tuple[T.StructType, Mapping]] | None = None) -> DataFrame:
+def canonical_turns(df: DataFrame, layouts: list[tuple[str, Mapping]] | None = None) -> DataFrame:
     """(key, turns, layout) of a table in any registered layout; extra columns are ignored."""
-    for schema, m in TABLE_LAYOUTS if layouts is None else layouts:
+    for ddl, m in TABLE_LAYOUTS if layouts is None else layouts:
+        schema = T.StructType.fromDDL(ddl)
         names = {f.name.lower() for f in schema.fields}
         if fingerprint(df.schema, names) != fingerprint(schema):
             continue
