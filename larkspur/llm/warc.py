@@ -38,6 +38,8 @@ INDEX = "urlkey string, ts string, page_id long, record_type string, payload_dig
 _INDEX_SCHEMA = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 #: Compressed bytes after which a new archive file begins.
 FILE_BYTES = 32 << 20
+#: Compressed bytes given to zlib at once on reading.
+STEP_BYTES = 16 << 10
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
 
@@ -194,6 +196,20 @@ def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
     return ranged.mapInArrow(run, INDEX)
 
 
+def member(content: memoryview, step: int = STEP_BYTES) -> tuple[bytes, memoryview]:
+    """The first gzip member of some bytes, uncompressed, and the bytes behind it.
+
+    Fed in steps: zlib copies what it was given and didn't use, which for a whole archive would copy all the rest with each record.
+    """
+    d, out, at = zlib.decompressobj(31), [], 0
+    while not d.eof:
+        if at >= len(content):
+            raise ValueError("an archive ends inside a record")
+        out.append(d.decompress(content[at : at + step]))
+        at += step
+    return b"".join(out), content[min(at, len(content)) - len(d.unused_data) :]
+
+
 def read_archives(index: DataFrame) -> DataFrame:
     """The records that an index names, read back from the files: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload (null for revisits)."""
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -205,9 +221,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                 content = memoryview(read_file(file))
                 out, size = [], 0
                 while len(content):
-                    d = zlib.decompressobj(31)
-                    headers, payload = parse(d.decompress(content) + d.flush())
-                    content = content[len(content) - len(d.unused_data) :]
+                    raw, content = member(content)
+                    headers, payload = parse(raw)
                     number = lambda k: int(headers[k]) if k in headers else None  # noqa: E731, B023
                     kind = headers["warc-type"]
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")

@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from larkspur.llm import warc
 from larkspur.llm.files import read_file
 
@@ -66,3 +68,18 @@ def test_loser_tree():
 def test_url_key(spark):
     df = spark.createDataFrame([("http://www.A.example:80/P?q#x",), ("https://m.b.example",), (None,)], "u string")
     assert [r[0] for r in df.select(warc.url_key(df.u)).collect()] == ["example,a)/p?q", "example,b,m)/", ")/"]
+
+
+def test_members_are_read_in_steps():
+    import gzip
+
+    bodies = [b"", b"x", bytes(random.Random(5).choices(range(256), k=9000)), b"y" * 100_000]
+    archive = b"".join(gzip.compress(b, mtime=0) for b in bodies)
+    for step in (1, 7, 20, 4096, 1 << 20):
+        rest, got = memoryview(archive), []
+        while len(rest):
+            one, rest = warc.member(rest, step)
+            got.append(one)
+        assert got == bodies
+    with pytest.raises(ValueError):
+        warc.member(memoryview(archive[:10]))
