@@ -179,7 +179,7 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, screen: int | None =
     screen = radius if screen is None or lanes == 1 else screen
     n = distinct.count()
     tile = min(TILE_MAX, max(TILE_MIN, n // TILES))
-    parts = max(1, min(512, -(-n // (4 * tile))))
+    parts = max(1, -(-n // (4 * tile)))  # a task sorts four tiles, however many there are
     tiles = materialize(_tiles(distinct, lanes, tile, parts), "tiles")
     spans = tiles.select("tile", "lo", "hi")
     # Tiles meet on a population count that both can have; the least such count names the pair once.
