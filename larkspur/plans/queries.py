@@ -307,41 +307,43 @@ _NOW = "2024-02-01 00:00:00"
 
 def _old(spark, d):
     path = F.concat(F.lit("p/"), F.col("doc_id").cast("string"))
-    rows = table(spark, d, "documents").where("doc_id % 3 != 0")
-    return rows.select(
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.lit("repo").alias("source_type"), path.alias("source_path"), F.lit("old").alias("title"), F.col("source").alias("course_name"), F.lit("h0").alias("content_hash"), (F.col("doc_id") % 5 != 0).alias("is_active"),
         F.when(F.col("doc_id") % 5 == 0, F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))).alias("deleted_at"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("created_at"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("updated_at"),
     )
 
 
-_OLD = "o AS (SELECT doc_id AS id, 'repo' AS source_type, 'p/' || doc_id AS source_path, 'old' AS title, source AS course_name, 'h0' AS content_hash, doc_id % 5 <> 0 AS is_active, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' END AS deleted_at, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM documents WHERE doc_id % 3 <> 0)"
+_OLD = "o AS (SELECT doc_id AS id, 'repo' AS source_type, 'p/' || doc_id AS source_path, 'old' AS title, source AS course_name, 'h0' AS content_hash, doc_id % 5 <> 0 AS is_active, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' END AS deleted_at, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM documents)"
+#: Pages stand for a new scan: most of their paths are paths of documents, some are new.
+_SCAN = "'p/' || 5 * page_id"
+
+
+def _scan(spark, d):
+    return table(spark, d, "pages").withColumn("source_path", F.concat(F.lit("p/"), (5 * F.col("page_id")).cast("string")))
 
 
 @query(
-    f"""WITH {_OLD}, n AS (SELECT doc_id + 1000000 AS nid, 'p/' || doc_id AS source_path, source AS nc, sha256(coalesce(text, '')) AS nh FROM documents WHERE doc_id % 2 = 0)
+    f"""WITH {_OLD}, n AS (SELECT -1 - page_id AS nid, {_SCAN} AS source_path, url AS nc, sha256(coalesce(html, '')) AS nh FROM pages)
     SELECT coalesce(id, nid) AS id, coalesce(source_type, 'repo') AS source_type, coalesce(o.source_path, n.source_path) AS source_path, CASE WHEN nid IS NOT NULL THEN 'new' ELSE title END AS title, CASE WHEN nid IS NOT NULL THEN nc ELSE course_name END AS course_name,
       CASE WHEN nid IS NOT NULL THEN nh ELSE content_hash END AS content_hash, CASE WHEN nid IS NOT NULL THEN true ELSE is_active END AS is_active, CASE WHEN nid IS NULL THEN deleted_at END AS deleted_at, coalesce(created_at, TIMESTAMP '{_NOW}') AS created_at, CASE WHEN nid IS NOT NULL THEN TIMESTAMP '{_NOW}' ELSE updated_at END AS updated_at
     FROM o FULL JOIN n ON o.source_path = n.source_path"""
 )
 def doc_upsert(spark, d):
-    new = table(spark, d, "documents").where("doc_id % 2 = 0")
-    new = new.select((F.col("doc_id") + 1000000).alias("id"), F.lit("repo").alias("source_type"), F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("source_path"), F.lit("new").alias("title"), F.col("source").alias("course_name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    new = _scan(spark, d).select((-1 - F.col("page_id")).alias("id"), F.lit("repo").alias("source_type"), "source_path", F.lit("new").alias("title"), F.col("url").alias("course_name"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("content_hash"))
     return dml.upsert_documents(_old(spark, d), new, F.to_timestamp_ntz(F.lit(_NOW)))
 
 
 _CHANGED = "SELECT id, source_path, is_active AND NOT hit AS is_active, CASE WHEN hit THEN TIMESTAMP '{now}' ELSE deleted_at END AS deleted_at, hit AS changed FROM (SELECT *, is_active AND {cond} AS hit FROM o)"
 
 
-@query(f"WITH {_OLD} " + _CHANGED.format(now=_NOW, cond="coalesce(course_name = 'src1', false) AND source_path NOT IN (SELECT 'p/' || doc_id FROM documents WHERE doc_id % 4 = 0)"))
+@query(f"WITH {_OLD} " + _CHANGED.format(now=_NOW, cond="coalesce(course_name = 'src1', false) AND source_path NOT IN (SELECT " + _SCAN + " FROM pages)"))
 def reconcile(spark, d):
-    seen = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("source_path"))
-    return dml.deactivate(_old(spark, d), seen, F.to_timestamp_ntz(F.lit(_NOW)), "repo", "src1").select("id", "source_path", "is_active", "deleted_at", "changed")
+    return dml.deactivate(_old(spark, d), _scan(spark, d), F.to_timestamp_ntz(F.lit(_NOW)), "repo", "src1").select("id", "source_path", "is_active", "deleted_at", "changed")
 
 
-@query(f"WITH {_OLD} " + _CHANGED.format(now=_NOW, cond="source_path IN (SELECT 'p/' || doc_id FROM documents WHERE doc_id % 4 = 0)"))
+@query(f"WITH {_OLD} " + _CHANGED.format(now=_NOW, cond="source_path IN (SELECT " + _SCAN + " FROM pages)"))
 def deactivate_listed(spark, d):
-    listed = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("source_path"))
-    return dml.deactivate(_old(spark, d), listed, F.to_timestamp_ntz(F.lit(_NOW)), "repo", missing=False).select("id", "source_path", "is_active", "deleted_at", "changed")
+    return dml.deactivate(_old(spark, d), _scan(spark, d), F.to_timestamp_ntz(F.lit(_NOW)), "repo", missing=False).select("id", "source_path", "is_active", "deleted_at", "changed")
 
 
 @query(
@@ -368,12 +370,12 @@ def soft_delete(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT doc_id % 50 AS conv_id, doc_id AS arrival, lang AS content FROM documents WHERE doc_id < 500), b AS (SELECT conv_id, max(turn + 1) AS base FROM conversations GROUP BY 1),
+    """WITH n AS (SELECT doc_id // 3 AS conv_id, doc_id AS arrival, lang AS content FROM documents), b AS (SELECT conv_id, max(turn + 1) AS base FROM conversations GROUP BY 1),
     r AS (SELECT n.conv_id, content, coalesce(base, 0) + 2 * (row_number() OVER (PARTITION BY n.conv_id ORDER BY arrival) - 1) AS place FROM n LEFT JOIN b ON n.conv_id = b.conv_id)
     SELECT conv_id, CAST(place + 1 AS BIGINT) AS sequence, 'user' AS role, 'completed' AS status, content FROM r UNION ALL SELECT conv_id, CAST(place + 2 AS BIGINT), 'assistant', 'pending', '' FROM r"""
 )
 def turn_pairs(spark, d):
-    new = table(spark, d, "documents").where("doc_id < 500").select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("arrival"), F.col("lang").alias("content"))
+    new = table(spark, d, "documents").select(F.expr("doc_id div 3").alias("conv_id"), F.col("doc_id").alias("arrival"), F.col("lang").alias("content"))
     return dml.turn_rows(new, A.turns(spark, d))
 
 
