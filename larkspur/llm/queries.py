@@ -79,7 +79,7 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = wavelet.write_new(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    manifest = wavelet.write_new(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return wavelet.checksums(manifest)
 
 

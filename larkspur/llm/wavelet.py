@@ -17,19 +17,20 @@ is never cut over two shards.
 
 from __future__ import annotations
 
-import base64
 import functools
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from tokenizers import Tokenizer
 
 from larkspur.llm.common import fresh_path, materialize
 from larkspur.llm.files import make_folder, read_file, write_file
@@ -40,34 +41,47 @@ SHARD_BYTES = 8 << 20
 
 
 class Encoder:
-    """A byte-level vocabulary of the tokenizers library, run by a faster library with the same ids."""
+    """The tokenizers library with a byte-level vocabulary, called once for each different chunk of text.
 
-    # Fixed value: the pieces of the vocabulary.
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    A text is cut before every single space between two other characters. There a piece of the vocabulary's
+    pre-tokenizer always begins, so the ids of the chunks, one after the other, are the ids of the text.
+    Texts that hold an added token are encoded in one call.
+    """
 
-    def __init__(self, path: str, ranks: str):
-        import json
+    CUT = re.compile(r"(?<=\S)(?= \S)")
+    #: Chunks that are remembered, and the longest of them.
+    MOST, LONGEST = 600_000, 64
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        with open(path, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.plain = tiktoken.Encoding("plain", pat_str=self.PIECES, mergeable_ranks=table, special_tokens={})
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.bits = max(1, int(max([*table.values(), *self.special.values()])).bit_length())
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.bits = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        self.seen: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if not any(s in text for s in self.special):
-            return self.plain.encode_ordinary(text)
-        out: list[int] = []
-        for i, part in enumerate(self.split.split(text)):
-            out += [self.special[part]] if i % 2 else self.plain.encode_ordinary(part)
-        return out
+        if any(t in text for t in self.added):
+            return self.library.encode(text, add_special_tokens=False).ids
+        chunks = self.CUT.split(text)
+        if len(self.seen) > self.MOST:
+            self.seen = {}
+        own = self.seen
+        if new := list({c for c in chunks if c not in own}):
+            made: dict[str, list[int]] = {}
+            for i in range(0, len(new), 8192):
+                part = new[i : i + 8192]
+                made.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            own.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
+            if any(len(c) > self.LONGEST for c in new):
+                return list(chain.from_iterable(own[c] if c in own else made[c] for c in chunks))
+        return list(chain.from_iterable(map(own.__getitem__, chunks)))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, ranks: str) -> Encoder:
-    return Encoder(path, ranks)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def build(keys: np.ndarray, ends: np.ndarray, tokens: np.ndarray, bits: int) -> bytes:
@@ -177,10 +191,10 @@ class WaveletMatrix:
         return now
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, ranks: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode all texts and write files in order of the key. Returns the manifest: (file, shard, n_docs, n_tokens, start).
 
-    vocabulary, ranks: files that each executor can open. ``start`` counts the tokens of all shards before.
+    vocabulary: a file of the tokenizers library that each executor can open. ``start`` counts the tokens of all shards before.
     """
     make_folder(path)
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
@@ -188,7 +202,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, ranks: str, key: s
     ranged = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary, ranks)
+        e = encoder(vocabulary)
         dtype = np.uint16 if e.bits <= 16 else np.uint32
         part, number = None, 0
         keys: list[int] = []
@@ -263,6 +277,6 @@ def checksums(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     return files.repartition(min(n, 10_000), "file").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_new(docs: DataFrame, vocabulary: str, ranks: str, **more) -> DataFrame:
+def write_new(docs: DataFrame, vocabulary: str, **more) -> DataFrame:
     """write_shards() into a new folder of the shared one."""
-    return write_shards(docs, fresh_path(docs.sparkSession, "wavelet"), vocabulary, ranks, **more)
+    return write_shards(docs, fresh_path(docs.sparkSession, "wavelet"), vocabulary, **more)
