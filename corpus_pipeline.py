@@ -20,8 +20,9 @@ from larkspur.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the base rule or the learned decision list rejects goes."""
-    return quality.decide(docs, quality.learn(*quality.labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    """What the base rule, the learned decision list or the learned toxic list rejects goes."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.decide(docs, quality.learn(*quality.labelled_sample(docs, labels)), toxic=quality.learn_toxic(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@
    and kept only while it is precise enough. What it covers is taken away and the next rule is learned.
 3. The rules, in order, become one Spark conditional expression: the first that holds rejects.
 
+A second list, for toxic documents, tests the words of a lexicon (learn_toxic). The lexicon holds the words
+whose labelled documents are toxic far more often than chance gives, all words tried taken into account; near
+copies count once. Toxic documents without any such word can't be told by it and stay.
+
 The sample is the ``max_labelled`` labelled documents with the smallest hash of the id, so its size is
 bounded and it is the same in every run; the measures and the verdict cover all documents.
 
@@ -18,6 +22,8 @@ columns pass through decide(), where a column named like a measure is an error,
 
 from __future__ import annotations
 
+import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm.common import materialize
+from larkspur.llm.simhash import shingle_hashes
+
 #: What is counted in a text; all are bigint.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_exclaims", "n_stops")
 #: Feature: SQL expression over the measures. Zero where the divisor is zero.
@@ -46,6 +55,11 @@ FEATURES = {
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 WINDOW = 5
+#: Features of the toxic list, over n_words and n_toxic.
+TOXIC_FEATURES = {"toxic_words": "cast(n_toxic as double)", "toxic_words_per_word": "n_toxic / greatest(n_words, 1)"}
+# Fixed: what parts the words of a lexicon, and A-Z in lower case. General punctuation and « » part words too.
+_PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode() + _DIGITS, string.ascii_lowercase.encode() + b" " * (len(string.punctuation) + 10))
+_QUOTES = re.compile(rb"\xe2\x80[\x80-\xbf]|\xc2[\xa0\xab\xbb\xbf\xa1]")
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -98,6 +112,18 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Words without case, digits and punctuation, as a lexicon holds them."""
+    data = (text or "").encode()
+    return (data if data.isascii() else _QUOTES.sub(b" ", data)).translate(_PLAIN).split()
+
+
+def count_toxic(text: str | None, lexicon: frozenset[bytes]) -> int:
+    """Words of the text that stand in the lexicon, repeats included."""
+    words = plain_words(text) if lexicon else []
+    return 0 if lexicon.isdisjoint(words) else sum(w in lexicon for w in words)
+
+
 @dataclass(frozen=True)
 class Test:
     feature: str
@@ -109,7 +135,7 @@ class Test:
         return v > self.threshold if self.above else v <= self.threshold
 
     def sql(self) -> str:
-        return f"({FEATURES[self.feature]}) {'>' if self.above else '<='} {self.threshold!r}D"
+        return f"({(FEATURES | TOXIC_FEATURES)[self.feature]}) {'>' if self.above else '<='} {self.threshold!r}D"
 
 
 @dataclass(frozen=True)
@@ -183,16 +209,63 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.
     return rules
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features of at most ``max_labelled`` labelled documents, and whether each is labelled 0."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_labelled: int) -> DataFrame:
+    """(k, y, t) of at most ``max_labelled`` labelled documents."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     sample = rows.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # no more than max_labelled rows
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # no more than max_labelled rows
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Features of at most ``max_labelled`` labelled documents, and whether each is labelled 0."""
+    texts = _sample(docs, labels, key, text, label, max_labelled)
     kept = measures(texts.select(F.struct("k", "y").alias("k"), "t"), "k", "t")
     got = kept.select("k.y", *[F.expr(e).cast("double").alias(f"f_{f}") for f, e in FEATURES.items()]).toPandas()
     return {f: got[f"f_{f}"].to_numpy(float) for f in FEATURES}, got["y"].to_numpy() == 0
 
 
+def learn_toxic(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = 20_000, least_precision: float = 0.95, chance: float = 0.01, most_words: int = 10_000
+) -> tuple[frozenset[bytes], list[Rule]]:
+    """(lexicon, rules over TOXIC_FEATURES) for rejecting documents with label 1.
+
+    A word is taken if at least ``least_precision`` of its documents are toxic and chance would give any such word with a
+    probability of at most ``chance`` (bound of Chernoff, all words of the sample tried). Documents with the same least
+    shingle hash count as one, toxic if all are.
+    """
+    texts = materialize(_sample(docs, labels, key, text, label, max_labelled).select("y", "t"), "toxic-sample")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [t.as_py() for t in b.column(1)]
+            least = [int(min(shingle_hashes(t, WINDOW), default=0)) >> 1 for t in said]
+            yield pa.record_batch([b.column(0), pa.array(least, pa.int64()), pa.array([list(set(plain_words(t))) for t in said], pa.list_(pa.binary()))], names=["y", "like", "ws"])
+
+    made = texts.mapInArrow(split, "y int, like long, ws array<binary>")
+    groups = made.groupBy("like").agg(F.min((F.col("y") == 1).cast("int")).alias("y"))
+    toxic, n_groups = groups.agg(F.sum("y"), F.count("*")).first()
+    if not toxic or toxic == n_groups:
+        return frozenset(), []
+    by_group = made.select("like", (F.col("y") == 1).cast("int").alias("y"), F.explode("ws").alias("w")).groupBy("w", "like").agg(F.min("y").alias("y"))
+    by_word = materialize(by_group.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("k")), "toxic-words")
+    base, p = toxic / n_groups, F.col("k") / F.col("n")
+    gain = F.col("k") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("k")) * F.log((1 - p) / (1 - base))).otherwise(0)
+    need = float(np.log(max(1, by_word.count()) / chance))
+    found = by_word.where((p >= max(least_precision, base)) & (gain >= need)).orderBy(F.desc(gain), "w").limit(most_words)
+    lexicon = frozenset(bytes(r["w"]) for r in found.select("w").collect())  # no more than most_words rows
+    if not lexicon:
+        return lexicon, []
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [t.as_py() or "" for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([len(t.encode().split()) for t in said], pa.int64()), pa.array([count_toxic(t, lexicon) for t in said], pa.int64())], names=["y", "n_words", "n_toxic"])
+
+    counted = texts.mapInArrow(count, "y int, n_words long, n_toxic long")
+    got = counted.select("y", *[F.expr(e).cast("double").alias(f) for f, e in TOXIC_FEATURES.items()]).orderBy("y", *TOXIC_FEATURES).toPandas()
+    return lexicon, learn({f: got[f].to_numpy(float) for f in TOXIC_FEATURES}, got["y"].to_numpy() == 1, least_precision)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -212,16 +285,16 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return made.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def decide(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of docs that the base rule and the list keep, all columns unchanged."""
-    names = docs.columns
+def decide(docs: DataFrame, rules: list[Rule], text: str = "text", toxic: tuple[frozenset[bytes], list[Rule]] = (frozenset(), [])) -> DataFrame:
+    """The rows of docs that the base rule, the list and the toxic list of learn_toxic() keep, all columns unchanged."""
+    names, added, (lexicon, toxic_rules) = docs.columns, [*MEASURES, "n_toxic"], toxic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([measure(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[:, i]) for i in range(len(MEASURES)))], names=[*names, *MEASURES])
+            got = np.array([(*measure(t.as_py()), count_toxic(t.as_py(), lexicon)) for t in b.column(text)], np.int64).reshape(-1, len(added))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[:, i]) for i in range(len(added)))], names=[*names, *added])
 
-    if clash := set(names) & set(MEASURES):
+    if clash := set(names) & set(added):
         raise ValueError(f"columns named like measures: {sorted(clash)}")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    return docs.mapInArrow(run, schema).where(~base_failed() & (verdict(rules) == 0)).select(*names)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in added)])
+    return docs.mapInArrow(run, schema).where(~base_failed() & (verdict(rules) == 0) & (verdict(toxic_rules) == 0)).select(*names)

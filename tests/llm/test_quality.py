@@ -68,3 +68,26 @@ def test_conjunctions_are_grown_and_pruned():
     rules = quality.learn(x, bad)
     hit = np.logical_or.reduce([r.holds(x) for r in rules])
     assert (hit == bad).mean() > 0.98 and 2 <= len(rules[0].tests) <= 3
+
+
+def test_toxic_documents_go_by_words_learned_from_labels(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(400)]
+    rude = ["vileword", "scumword", "louseword"]
+    make = lambda: rng.choices(vocab, k=60)
+    rows = []
+    for i in range(400):
+        w = make()
+        if i % 8 == 0:
+            w[rng.randrange(60)] = rng.choice([str.upper, "\u201c{},\u201d".format, str.title])(rng.choice(rude))
+        rows.append((i, " ".join(w)))
+    copied = make()
+    rows += [(1000 + i, " ".join([*copied[:-1], f"end{chr(97 + i)}"])) for i in range(20)]  # near copies, all labelled toxic
+    rows += [(2000, " ".join([*make(), *copied[5:9]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(200)] + [(1000 + i, 1, 1) for i in range(20)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    toxic = quality.learn_toxic(docs, labels)
+    assert toxic[0] == {r.encode() for r in rude} and toxic[1]
+    kept = {r.doc_id for r in quality.decide(docs, [], toxic=toxic).collect()}
+    assert all((i in kept) == (i % 8 != 0) for i in range(200, 400)) and 2000 in kept
+    assert quality.learn_toxic(docs, labels.limit(0)) == (frozenset(), []) == quality.learn_toxic(docs.limit(0), labels)
