@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id."""
-    # Four lanes of 64 bits estimate the likeness of five-word shingles; 46 of 256 bits stand for 0.8.
-    made = simhash.near_duplicates(docs, shingle_words=5, radius=46, lanes=4, screen=18)
+    # Near-duplicates share 0.8 of their five-word shingles; four lanes of 64 bits only choose what is compared.
+    made = simhash.near_copies(docs, shingle_words=5, least=0.8, radius=64, lanes=4, screen=22)
     first = made.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return kept.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")

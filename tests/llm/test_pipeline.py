@@ -78,6 +78,32 @@ def test_near_duplicates_against_brute_force(spark):
             assert (i in kept) == (not near)
 
 
+def test_near_duplicates_at_the_bound_itself(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(100_000)]
+    texts = {}
+    for g in range(120):
+        base = rng.sample(vocab, 94)  # 90 shingles; t other words at the end leave (90 - t) / (90 + t)
+        t = (10, 11, 14, 17)[g % 4]
+        texts[2 * g] = " ".join(base)
+        texts[2 * g + 1] = " ".join([*base[:-t], *rng.sample(vocab, t)])
+    chain = rng.sample(vocab, 94)  # linked over the middle only, and repeats that don't count
+    texts |= {1000: " ".join(chain), 1001: " ".join([*chain[:-10], *rng.sample(vocab, 10)]), 1002: " ".join([*chain[8:-2], *rng.sample(vocab, 10)])}
+    texts |= {1100: " ".join(rng.sample(vocab, 40)), 1102: "x " + "a b c d e f g h i j " * 40}
+    texts |= {1101: f"{texts[1100]} {texts[1100]}", 1103: "y " + "a b c d e f g h i j " * 3}
+    texts |= {2000 + i: " ".join([*chain[:84], *rng.sample(vocab, 10)]) for i in range(700)}  # more than one block
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and want[i] != want[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(want.values())
+
+
 def test_empty_table(spark, fixture_dir, tmp_path):
     at, *_ = fixture_dir
     for name in ("documents", "benchmark", "labels"):
