@@ -88,16 +88,17 @@ def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, item key, item_windows, windows, coverage, same_values): items of which at least one window stands in a text, slots consistent.
+def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int) -> DataFrame:
+    """(id, item, item_words, item_windows, windows, same_values, exact, plain, exact_words) of each alignment.
 
-    windows: how many of the item's windows were found; same_values: no slot was changed.
+    windows: found with slots consistent; exact: found with the same values; plain: item words in found windows that
+    are no placeholders; exact_words: item words in the windows with the same values.
     """
     items = _parsed(benchmark, item_key, item_text).where(F.size("ts") > 0)
     literal = lambda w: 2 * F.size(F.filter(w, _placeholder)) <= F.size(w)
     own = _windows(F.col("ts"), F.least(F.lit(window), F.size("ts")))
     cut = items.select("id", "bs", "ts", F.inline(own)).select(
-        F.col("id").alias("item"), F.col("at").alias("iat"), "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("its"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("ibs")
+        F.col("id").alias("item"), F.size("ts").alias("words"), F.col("at").alias("iat"), "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("its"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("ibs")
     )
     index = materialize(cut.where(literal(F.col("its"))), "benchmark-windows")
     lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # no more than ``window`` rows
@@ -113,22 +114,49 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     met = again.join(at.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id"))).select("id", "at", "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("dts"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("dbs"))
     same = met.join(_few(index, n_index), ["n", "h"]).where(F.col("dts") == F.col("its"))
     slots = F.filter(F.transform("its", lambda t, j: F.struct(F.when(_placeholder(t), F.get("ibs", j)).alias("i"), F.when(_placeholder(t), F.get("dbs", j)).alias("d"))), lambda s: s["i"].isNotNull())
-    lined = same.select("id", "item", "iat", (F.col("at") - F.col("iat")).alias("line"), slots.alias("slots")).withColumn("changed", F.exists("slots", lambda s: s["i"] != s["d"]))
+    plain = F.filter(F.transform("its", lambda t, j: F.when(~_placeholder(t), F.col("iat") + j)), lambda j: j.isNotNull())
+    span = F.sequence("iat", F.col("iat") + F.col("n") - 1)
+    lined = same.select("id", "item", "words", "iat", (F.col("at") - F.col("iat")).alias("line"), slots.alias("slots"), plain.alias("plain"), span.alias("span")).withColumn("changed", F.exists("slots", lambda s: s["i"] != s["d"]))
+    unchanged = lambda c: F.when(~F.col("changed"), F.col(c))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
     # Along one alignment there are no more slots than the item has words.
-    by_line = lined.groupBy("id", "item", "line").agg(
-        F.countDistinct("iat").alias("all"), F.countDistinct(F.when(~F.col("changed"), F.col("iat"))).alias("exact"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
+    by_line = lined.groupBy("id", "item", "words", "line").agg(
+        F.countDistinct("iat").alias("all"), F.countDistinct(unchanged("iat")).alias("exact"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        union(F.col("plain")).alias("plain"), union(unchanged("plain")).alias("exact_plain"), union(unchanged("span")).alias("exact_words"),
+    )
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    counted = by_line.select("id", "item", F.when(agree, F.col("all")).otherwise(F.col("exact")).alias("windows"), (F.col("exact") == F.col("all")).alias("same_values")).where("windows > 0")
-    by_item = counted.groupBy("id", "item").agg(F.max(F.struct("windows", "same_values")).alias("best"))
+    counted = by_line.select(
+        "id", "item", F.col("words").alias("item_words"), F.when(agree, F.col("all")).otherwise(F.col("exact")).alias("windows"), "exact",
+        (F.col("exact") == F.col("all")).alias("same_values"), F.when(agree, F.col("plain")).otherwise(F.col("exact_plain")).alias("plain"), "exact_words",
+    ).where("windows > 0")
     sizes = index.groupBy("item").agg(F.countDistinct("iat").alias("item_windows"))
-    return (
-        by_item.join(_few(sizes.withColumnRenamed("item", "__item"), n_index), F.col("item").eqNullSafe(F.col("__item")))
-        .select(F.col("id").alias(key), F.col("item").alias(item_key), F.col("item_windows"), F.col("best.windows").cast("long").alias("windows"), (F.col("best.windows") / F.col("item_windows")).alias("coverage"), "best.same_values")
-    )
+    return counted.join(_few(sizes.withColumnRenamed("item", "__item"), n_index), F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(key, item key, item_windows, windows, coverage, same_values): items of which at least one window stands in a text, slots consistent.
+
+    windows: how many of the item's windows were found; same_values: no slot was changed.
+    """
+    by_item = _matched(docs, benchmark, key, text, item_key, item_text, window).groupBy("id", "item", "item_windows").agg(F.max(F.struct("windows", "same_values")).alias("best"))
+    return by_item.select(F.col("id").alias(key), F.col("item").alias(item_key), F.col("item_windows"), F.col("best.windows").cast("long").alias("windows"), (F.col("best.windows") / F.col("item_windows")).alias("coverage"), "best.same_values")
+
+
+def evidence(window: int = WINDOW, least_words: int = 5, least_coverage: float = 0.5, least_plain: int = 6, run_words: int = 13) -> Column:
+    """Whether an alignment of _matched() is enough to remove a document.
+
+    Items under ``least_words`` words never are, and items under a window only whole and with the same values. Longer
+    ones are if ``least_coverage`` of the item stands there with the same values, or with others and ``least_plain``
+    words that are no placeholders, or if ``run_words`` words stand there unchanged or as words that are no placeholders.
+    """
+    share = lambda c: F.col(c) >= least_coverage * F.col("item_windows")
+    whole = share("exact") & (F.col("item_words") >= least_words)
+    part = (share("windows") & (F.col("plain") >= least_plain)) | (F.col("plain") >= run_words) | (F.col("exact_words") >= run_words)
+    return whole | (part & (F.col("item_words") >= window))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs without any hit, all columns unchanged."""
-    bad = materialize(hits(docs, benchmark, key, text, **more).select(F.col(key).alias("__bad")).distinct(), "contaminated")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, **more) -> DataFrame:
+    """The rows of docs without a hit that is enough by evidence(), all columns unchanged."""
+    found = _matched(docs, benchmark, key, text, item_key, item_text, window).where(evidence(window, **more))
+    bad = materialize(found.select(F.col("id").alias("__bad")).distinct(), "contaminated")
     return docs.join(_few(bad, bad.count()), F.col(key).eqNullSafe(F.col("__bad")), "left_anti")

@@ -61,3 +61,20 @@ def test_empty_tables_and_filter(spark):
     b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert sorted(str(r.doc_id) for r in D.drop_contaminated(d, b).collect()) == ["2", "3", "None"]
     assert D.drop_contaminated(d, b.limit(0)).count() == 4
+
+
+def test_clean_documents_with_a_common_phrase_stay(spark):
+    dated = "The fair on Monday 3 March 2021 at 9 on " + " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopq")
+    items = [(1, "Why not"), (2, dated), (3, "what is the capital of France"), (4, ITEM)]
+    docs = [
+        (1, "they said why not and went"),
+        (2, "we met on Friday 5 April 1999 at 7 on a hill and they wore green"),
+        (3, "we know what is the capital of Spain"),
+        (4, f"before {ITEM} after"),
+        (5, "It was so. " + ITEM.replace("10", "25").replace("Paris", "Rome").replace("Anna", "Bert")),
+        (6, "so what is the capital of France they ask"),
+        (7, " ".join(dated.split()[12:30])),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in D.drop_contaminated(d, b).collect()} == {1, 2, 3}
+    assert {1, 3, 4, 5, 6, 7} <= {r.doc_id for r in D.hits(d, b).collect()}
