@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, quality, simhash, substrings
-from larkspur.llm.common import materialize, table
+from larkspur.llm.common import few, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +26,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
+    """One document of each near-duplicate group stays, that with the smallest id; of repeated rows one."""
     # Near-duplicates share 0.8 of their five-word shingles; four lanes of 64 bits only choose what is compared.
-    made = simhash.near_copies(docs, shingle_words=5, least=0.8, radius=64, lanes=4, screen=22)
-    first = made.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    made = materialize(simhash.near_copies(docs, shingle_words=5, least=0.8, radius=64, lanes=4, screen=22), "near-copies")
+    rows = made.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    # What goes is told by (id, hash of the text); the texts themselves meet it once.
+    counted = materialize(rows.groupBy("__id", "__th").agg(F.count("*").alias("n"), F.every("stays").alias("stays")).where("n > 1 or not stays"), "near-copies-out")
+    kept = docs.join(few(counted.drop("n", "stays")), same, "left_anti")
+    repeated = counted.where("stays").drop("n", "stays")
+    if repeated.isEmpty():
+        return kept
+    # Whole texts are only shuffled for rows that are there more than once.
+    once = docs.join(few(repeated), same, "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return kept.unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more stay where they first stand; texts without a repeat stay as they are."""
-    made = substrings.dedup(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "text_hash", "kept_text")
-    met = docs.join(made, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash")), "left")
-    text = F.coalesce("kept_text", "text")
-    changed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return met.where("kept_text is null or kept_text != ''").select(*[F.when(F.col("kept_text").isNotNull(), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else c for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    made = substrings.dedup(docs.where("text is not null"), with_text=True, others=others)
+    changed = F.col("n_removed") > 0
+    columns = {
+        "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType),
+        "text": F.col("kept_text"),
+        "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("others.n_chars")) if "n_chars" in others else None,
+    }
+    kept = made.where(~changed | (F.col("kept_text") != "")).select(*[columns.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where("text is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

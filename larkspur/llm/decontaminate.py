@@ -3,18 +3,23 @@ r"""Benchmark decontamination by template windows.
 1. Words (runs of anything but ASCII white space, outer punctuation cut off) become template words: a
    number becomes ``<num>``, a unit behind a number ``<unit>``, a number with its unit in one word
    ``<qty>``, a capitalised word inside a sentence ``<name>``; any other word is itself in lower case.
-2. Windows of ``window`` template words are hashed on both sides and joined. Windows of an item with
-   more placeholders than words are left out. An item with fewer words than a window is one window.
+2. Windows of ``window`` template words are hashed on both sides and joined. A window with more
+   placeholders than words says little as a template; on both sides it is hashed by its words as they
+   are, so that it still matches a copy. An item with fewer words than a window is one window. What the
+   first word of an item is depends on what stands before it in a text, so the item's first window is
+   indexed with each of its readings (word, name, unit).
 3. Hits are compared word by word, then checked for slot consistency: along one alignment of an item
    and a text, equal slot values of the item must stand against equal values in the text. A question
    with other numbers or names passes, words that only look alike don't.
 
-Only DataFrame and SQL functions run. The windows of the benchmark, and the ids of texts with hits, are
-broadcast up to a checked number of rows; beyond it the same joins shuffle.
+Only DataFrame and SQL functions run. The hashes of the benchmark's windows, and the ids of texts with hits,
+are broadcast up to a checked number of rows, the words of these windows up to a checked number of bytes; beyond
+it the same joins shuffle.
 
 Defined results: null and empty texts have no windows and no hits, null and empty items likewise;
-repeated rows give one result row; null ids are ids like any other; an empty table on either side gives
-an empty result, and drop_contaminated() then keeps all; extra columns are ignored, so their names
+repeated rows give one result row, and so do rows with one id and other texts; null ids are ids like any other;
+an empty table on either side gives an empty result, and drop_contaminated() then keeps all; it judges rows by id
+and text, so of rows that share an id only those with a hit go; extra columns are ignored, so their names
 can't clash. Texts are scanned whole.
 """
 
@@ -23,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize
+from larkspur.llm.common import few, materialize
 
 WINDOW = 8
-#: Rows up to which a side is broadcast; each takes under 100 bytes.
-BROADCAST_ROWS = 500_000
+#: Bytes of words up to which the windows of the benchmark are broadcast.
+BROADCAST_BYTES = 32 << 20
 # Words that count as units behind a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -74,63 +79,92 @@ def _placeholder(t: Column) -> Column:
 
 
 def _parsed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("id"), words(F.col(text)).alias("ws")).withColumn("bs", bodies(F.col("ws"))).select("id", "bs", templates(F.col("ws"), F.col("bs")).alias("ts"))
+    """(id, th, bs, ts): the hash of the text, its words and its template words."""
+    split = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("ws")).withColumn("bs", bodies(F.col("ws")))
+    return split.select("id", "th", "bs", templates(F.col("ws"), F.col("bs")).alias("ts"))
 
 
-def _windows(ts: Column, length: Column | int) -> Column:
-    """array<struct<at, n, h>>: each window of ``length`` template words; none if there are fewer words."""
-    n = F.lit(length).cast("int") if isinstance(length, int) else length
-    starts = F.when(F.size(ts) >= n, F.sequence(F.lit(0), F.size(ts) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(F.slice(ts, i + 1, n)).alias("h")))
+def _hash(ts: Column, bs: Column, slots: Column, n: Column | int) -> Column:
+    """Hash of a window of n template words: of its words as they are if more than half are placeholders."""
+    return F.when(2 * slots > n, F.xxhash64(F.lit("words"), bs)).otherwise(F.xxhash64(ts))
 
 
-def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _starts(ts: Column, n: Column | int) -> Column:
+    return F.when(F.size(ts) >= n, F.sequence(F.lit(0), F.size(ts) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(n: int) -> Column:
+    """array<struct<at, n, h>> over ts, bs and ps (1 for a placeholder): each window of n template words; none if there are fewer."""
+
+    def one(i: Column) -> Column:
+        slots = F.get("ps", i)
+        for k in range(1, n):
+            slots = slots + F.get("ps", i + k)
+        return F.struct(i.alias("at"), F.lit(n).alias("n"), _hash(F.slice("ts", i + 1, n), F.slice("bs", i + 1, n), slots, n).alias("h"))
+
+    return F.transform(_starts(F.col("ts"), n), one)
+
+
+def _index(benchmark: DataFrame, item_key: str, item_text: str, window: int) -> DataFrame:
+    """(item, words, iat, its, ibs, n, h): each window of each item; the first one once for each reading of its first word."""
+    items = _parsed(benchmark, item_key, item_text).where(F.size("ts") > 0)
+    n = F.least(F.lit(window), F.size("ts"))
+    cut = items.select(F.col("id").alias("item"), F.size("ts").alias("words"), n.alias("n"), "ts", "bs", F.explode(_starts(F.col("ts"), n)).alias("iat")).select(
+        "item", "words", "n", "iat", F.slice("ts", F.col("iat") + 1, F.col("n")).alias("its"), F.slice("bs", F.col("iat") + 1, F.col("n")).alias("ibs")
+    )
+    first = F.get("ibs", 0)
+    others = F.filter(
+        F.array(F.get("its", 0), F.when(first.rlike(r"^\p{Lu}"), F.lit("<name>")), F.when(F.lower(first).isin(*UNITS), F.lit("<unit>"))),
+        lambda t: t.isNotNull(),
+    )
+    readings = F.when((F.col("iat") == 0) & ~F.get("its", 0).isin("<num>", "<qty>"), F.array_distinct(others)).otherwise(F.array(F.get("its", 0)))
+    every = cut.withColumn("head", F.explode(readings)).withColumn("its", F.concat(F.array("head"), F.slice("its", F.lit(2), F.size("its")))).drop("head")
+    slots = F.size(F.filter("its", _placeholder))
+    return every.distinct().withColumn("h", _hash(F.col("its"), F.col("ibs"), slots, F.col("n")))
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int) -> DataFrame:
-    """(id, item, item_words, item_windows, windows, same_values, exact, plain, exact_words) of each alignment.
+    """(id, th, item, item_words, item_windows, windows, same_values, exact, plain, exact_words) of each alignment.
 
     windows: found with slots consistent; exact: found with the same values; plain: item words in found windows that
     are no placeholders; exact_words: item words in the windows with the same values.
     """
-    items = _parsed(benchmark, item_key, item_text).where(F.size("ts") > 0)
-    literal = lambda w: 2 * F.size(F.filter(w, _placeholder)) <= F.size(w)
-    own = _windows(F.col("ts"), F.least(F.lit(window), F.size("ts")))
-    cut = items.select("id", "bs", "ts", F.inline(own)).select(
-        F.col("id").alias("item"), F.size("ts").alias("words"), F.col("at").alias("iat"), "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("its"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("ibs")
-    )
-    index = materialize(cut.where(literal(F.col("its"))), "benchmark-windows")
+    index = materialize(_index(benchmark, item_key, item_text, window), "benchmark-windows")
     lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # no more than ``window`` rows
-    n_index = index.count()
-    parsed = _parsed(docs, key, text)
-    every = F.flatten(F.array(*[_windows(F.col("ts"), n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
-    found = parsed.select("id", F.inline(every)).join(_few(index.select("n", "h").distinct(), n_index), ["n", "h"], "left_semi")
-    at = materialize(found.select("id", "at", "n", "h").distinct(), "window-hits")
+    size = index.agg(F.sum(F.octet_length(F.array_join("its", " ")) + F.octet_length(F.array_join("ibs", " "))).alias("b")).first()["b"] or 0
+    small = F.broadcast(index) if size <= BROADCAST_BYTES else index
+    hashes = materialize(index.select("n", "h").distinct(), "benchmark-hashes")
+    parsed = _parsed(docs, key, text).withColumn("ps", F.transform("ts", lambda t: _placeholder(t).cast("int")))
+    every = F.flatten(F.array(*[_windows(n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
+    found = parsed.select("id", "th", F.inline(every)).join(few(hashes), ["n", "h"], "left_semi")
+    at = materialize(found.select("id", "th", "at", "n", "h").distinct(), "window-hits")
     # Texts with a hit are read again, to compare words and slots.
-    ids = at.select("id").distinct()
-    with_hit = docs.join(_few(ids.withColumnRenamed("id", "__id"), ids.count()), F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+    ids = materialize(at.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "texts-with-hits")
+    with_hit = docs.join(few(ids), F.col(key).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__th")), "left_semi")
     again = _parsed(with_hit, key, text).distinct()
-    met = again.join(at.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id"))).select("id", "at", "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("dts"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("dbs"))
-    same = met.join(_few(index, n_index), ["n", "h"]).where(F.col("dts") == F.col("its"))
+    met = again.join(at.withColumnsRenamed({"id": "__id", "th": "__th"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select(
+        "id", "th", "at", "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("dts"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("dbs")
+    )
+    wordy = 2 * F.size(F.filter("its", _placeholder)) <= F.col("n")
+    same = met.join(small, ["n", "h"]).where((F.col("dts") == F.col("its")) & (wordy | (F.col("dbs") == F.col("ibs"))))
     slots = F.filter(F.transform("its", lambda t, j: F.struct(F.when(_placeholder(t), F.get("ibs", j)).alias("i"), F.when(_placeholder(t), F.get("dbs", j)).alias("d"))), lambda s: s["i"].isNotNull())
     plain = F.filter(F.transform("its", lambda t, j: F.when(~_placeholder(t), F.col("iat") + j)), lambda j: j.isNotNull())
     span = F.sequence("iat", F.col("iat") + F.col("n") - 1)
-    lined = same.select("id", "item", "words", "iat", (F.col("at") - F.col("iat")).alias("line"), slots.alias("slots"), plain.alias("plain"), span.alias("span")).withColumn("changed", F.exists("slots", lambda s: s["i"] != s["d"]))
+    lined = same.select("id", "th", "item", "words", "iat", (F.col("at") - F.col("iat")).alias("line"), slots.alias("slots"), plain.alias("plain"), span.alias("span")).withColumn("changed", F.exists("slots", lambda s: s["i"] != s["d"]))
     unchanged = lambda c: F.when(~F.col("changed"), F.col(c))
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
     # Along one alignment there are no more slots than the item has words.
-    by_line = lined.groupBy("id", "item", "words", "line").agg(
+    by_line = lined.groupBy("id", "th", "item", "words", "line").agg(
         F.countDistinct("iat").alias("all"), F.countDistinct(unchanged("iat")).alias("exact"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         union(F.col("plain")).alias("plain"), union(unchanged("plain")).alias("exact_plain"), union(unchanged("span")).alias("exact_words"),
     )
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     counted = by_line.select(
-        "id", "item", F.col("words").alias("item_words"), F.when(agree, F.col("all")).otherwise(F.col("exact")).alias("windows"), "exact",
+        "id", "th", "item", F.col("words").alias("item_words"), F.when(agree, F.col("all")).otherwise(F.col("exact")).alias("windows"), "exact",
         (F.col("exact") == F.col("all")).alias("same_values"), F.when(agree, F.col("plain")).otherwise(F.col("exact_plain")).alias("plain"), "exact_words",
     ).where("windows > 0")
-    sizes = index.groupBy("item").agg(F.countDistinct("iat").alias("item_windows"))
-    return counted.join(_few(sizes.withColumnRenamed("item", "__item"), n_index), F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
+    sizes = materialize(index.groupBy(F.col("item").alias("__item")).agg(F.countDistinct("iat").alias("item_windows")), "benchmark-items")
+    return counted.join(few(sizes), F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -158,5 +192,5 @@ def evidence(window: int = WINDOW, least_words: int = 5, least_coverage: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, **more) -> DataFrame:
     """The rows of docs without a hit that is enough by evidence(), all columns unchanged."""
     found = _matched(docs, benchmark, key, text, item_key, item_text, window).where(evidence(window, **more))
-    bad = materialize(found.select(F.col("id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(_few(bad, bad.count()), F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = materialize(found.select(F.col("id").alias("__bad"), F.col("th").alias("__bad_th")).distinct(), "contaminated")
+    return docs.join(few(bad), F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(text) == F.col("__bad_th")), "left_anti")

@@ -9,15 +9,15 @@ shard, or what all shards have in one bucket; the number of buckets grows with t
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import fresh_path, materialize
+from larkspur.llm.common import dropping_shuffles, fresh_path
 
 #: Bytes of text in a shard, and of the text whose keys meet in a bucket, about.
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
@@ -68,56 +68,59 @@ def pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a, b], axis=1).astype(">u8").view("S16").ravel()
 
 
-def shards(docs: DataFrame, key: str, text: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """(shard, ids, ends, blob), written to the shared folder, and the bytes of all texts. The order of the shards is that of the keys, null first."""
+def shards(docs: DataFrame, key: str, text: str, shard_bytes: int = SHARD_BYTES, others: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """(shard, ids, ends, blob, others), written to the shared folder, and the bytes of all texts. The order of the shards is that of the keys, null first.
+
+    others: columns that go along with the texts, as structs.
+    """
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // (8 * shard_bytes)))
-    ranged = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    more = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
+    ranged = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), more.alias("o")).repartitionByRange(parts, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = 0, 0, 0
         ids: list[int | None] = []
         texts: list[bytes] = []
+        along: list[pa.Array] = []
 
         def flush():
-            nonlocal ids, texts, number, held
-            row = [[part * 1_000_000 + number], [ids], [np.cumsum([len(t) for t in texts]).tolist()], [b"".join(texts)]]
-            ids, texts, number, held = [], [], number + 1, 0
-            return pa.record_batch([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["shard", "ids", "ends", "blob"])
+            nonlocal ids, texts, along, number, held
+            lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([np.cumsum([len(t) for t in texts]).tolist()], pa.list_(pa.int64()))]
+            beside = pa.concat_arrays(along)
+            row = pa.record_batch([pa.array([part * 1_000_000 + number]), *lists, pa.array([b"".join(texts)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(beside)], pa.int32()), beside)], names=["shard", "ids", "ends", "blob", "others"])
+            ids, texts, along, number, held = [], [], [], number + 1, 0
+            return row
 
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else part
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            begin = 0
+            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 body = (t.as_py() or "").encode()
                 if ids and held + len(body) > shard_bytes:
+                    along.append(b.column(3).slice(begin, i - begin))
+                    begin = i
                     yield flush()
                 ids.append(k)
                 texts.append(body)
                 held += len(body)
+            along.append(b.column(3).slice(begin))
         if ids:
             yield flush()
 
-    made = ranged.select("k", "t", F.spark_partition_id().alias("p")).mapInArrow(run, "shard long, ids array<long>, ends array<long>, blob binary")
+    kind = ranged.schema["o"].dataType
+    fields = "shard long, ids array<long>, ends array<long>, blob binary"
+    made = ranged.select("k", "t", F.spark_partition_id().alias("p"), "o").mapInArrow(run, T.StructType([*T.StructType.fromDDL(fields).fields, T.StructField("others", T.ArrayType(kind))]))
     # Bucketed by shard, the texts need no shuffle when answers are joined to them.
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * shard_bytes)))
     path = fresh_path(spark, "shards")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    made.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "shard").saveAsTable(name)
-    _drop_unused(spark)
-    return spark.table(name), size
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """materialize(), then let Spark drop the shuffle files that nothing needs any more."""
-    out = materialize(df, name)
-    _drop_unused(df.sparkSession)
-    return out
-
-
-def _drop_unused(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with dropping_shuffles(spark):
+        made.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "shard").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog only had to carry the bucketing; the files stay
+    return written, size
 
 
 def bucket_bits(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -9,13 +9,15 @@
    by the population counts of the four quarters of the fingerprint.
 4. A tile pair gives back a spanning forest of its links, never all links of a dense group; Spark
    joins the forests into components by alternating large-star and small-star steps, each of which
-   is written to the shared folder.
+   is written to the shared folder. Nodes are ordered by their smallest id, so the smallest node of a
+   component names it.
 
 near_copies() takes links of a wider radius only as candidates: texts are compared by their sets of
 shingles inside each group that the candidates join, in pairs of blocks, and the links that hold are joined anew.
 
-The comparison of fingerprints is exact: no bands, no candidates that could be missed. Its work grows with the
-square of the number of *different* fingerprints; the tile size grows with that number.
+The comparison of fingerprints is exact for the radius and, with several lanes, the screen of the first lane. Its
+work grows with the square of the number of *different* fingerprints. The tile size grows with that number, so a
+fingerprint is sent to at most TILES + 1 tasks up to TILES * TILE_MAX fingerprints.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other;
 a text with fewer words than a shingle is one shingle; repeated rows and null ids are rows like any
@@ -34,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, shared_dir
+from larkspur.llm.common import few, materialize, shared_dir
 
 #: Rows compared at once: a block of the left tile against a whole right tile.
 BLOCK = 256
-#: Blocks into which a large group of candidates is cut at most.
-GROUP_BLOCKS = 32
-TILE_MIN, TILE_MAX, TILES = 2048, 65536, 64
+#: Fingerprints in a tile, and the number of tiles aimed at between these bounds.
+TILE_MIN, TILE_MAX, TILES = 16_384, 1 << 20, 64
+#: Sets, and bytes of their hashes, in a block of a group of candidates.
+GROUP_ROWS, GROUP_BYTES = 2048, 24 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -183,7 +186,7 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, screen: int | None =
     """
     screen = radius if screen is None or lanes == 1 else screen
     n = distinct.count()
-    tile = min(TILE_MAX, max(TILE_MIN, n // TILES))
+    tile = min(TILE_MAX, max(TILE_MIN, -(-n // TILES)))
     parts = max(1, -(-n // (4 * tile)))  # a task sorts four tiles, however many there are
     tiles = materialize(_tiles(distinct, lanes, tile, parts), "tiles")
     spans = tiles.select("tile", "lo", "hi")
@@ -191,22 +194,23 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, screen: int | None =
     left = spans.select(F.col("tile").alias("a"), F.col("lo").alias("alo"), F.explode(F.sequence(F.col("lo") - screen, F.col("hi") + screen)).alias("pop"))
     right = spans.select(F.col("tile").alias("b"), F.col("lo").alias("blo"), F.explode(F.sequence("lo", "hi")).alias("pop"))
     pairs = left.join(right, "pop").where((F.col("pop") == F.greatest(F.col("alo") - screen, F.col("blo"))) & (F.col("a") <= F.col("b"))).select("a", "b")
-    work = pairs.join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fa")), "a").join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fb")), "b")
-    work = work.repartition(max(1, min(4096, (n // tile + 1) ** 2 // 4 + 1)), "a", "b").select("a", "b", "fa", "fb")
+    # A tile goes once to each pair that it is part of.
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    n_tiles = n // tile + 1
+    work = ends.join(tiles.select("tile", "fps"), "tile").repartition(max(1, min(4096, n_tiles * (n_tiles + 1) // 2)), "a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, fa, fb in zip(*(batch.column(i) for i in range(4)), strict=True):
-                same = a.as_py() == b.as_py()
-                x, y = _words(fa.as_py(), lanes), _words(fb.as_py(), lanes)
-                label = compare(x, y, radius, screen, same)
-                rows = x if same else np.concatenate([x, y])
-                at = np.flatnonzero(label != np.arange(len(label)))
-                if len(at):
-                    raw = lambda w: [r.tobytes() for r in w.astype(">u8")]
-                    yield pa.record_batch([pa.array(raw(rows[at]), pa.binary()), pa.array(raw(rows[label[at]]), pa.binary())], names=["a", "b"])
+    def run(key: tuple[pa.Scalar, ...], pair: pa.Table) -> pa.Table:
+        blobs = dict(zip(pair["tile"].to_pylist(), pair["fps"].to_pylist(), strict=True))
+        a, b = (k.as_py() for k in key)
+        x = _words(blobs[a], lanes)
+        y = x if a == b else _words(blobs[b], lanes)
+        label = compare(x, y, radius, screen, a == b)
+        rows = x if a == b else np.concatenate([x, y])
+        at = np.flatnonzero(label != np.arange(len(label)))
+        raw = lambda w: pa.array([r.tobytes() for r in w.astype(">u8")], pa.binary())
+        return pa.table([raw(rows[at]), raw(rows[label[at]])], names=["a", "b"])
 
-    return work.mapInArrow(run, "a binary, b binary")
+    return work.groupBy("a", "b").applyInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,29 +231,39 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def _ordered(key: str, *more: str):
+    """A struct that is ordered by key, null last, and then by the other columns."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), *more)
+
+
+def classes(edges: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+    """(by, root): the smallest node reachable from each node. edges (a, b) name nodes by ``by``; nodes: (by, node), node as _ordered() makes it."""
+    end = lambda c: nodes.select(F.col(by).alias(c), F.struct("node", F.col(by).alias("id")).alias(f"node_{c}"))
+    named = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = components(named).select(F.col("node.id").alias(by), F.col("root.node").alias("root"))
+    return nodes.join(roots, by, "left").select(by, F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, radius: int = 3, lanes: int = 1, screen: int | None = None) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links of at most ``radius`` bits."""
     shared_dir(docs.sparkSession)
     prints = materialize(fingerprints(docs, key, text, shingle_words, lanes), "prints")
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(links(distinct.select("fp"), radius, lanes, screen)).select(F.col("node").alias("fp"), "root")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(key, "fp", "component_id")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(_ordered(key)).alias("node")), "nodes")
+    by_print = classes(links(nodes.select("fp"), radius, lanes, screen), nodes, "fp")
+    return prints.join(by_print, "fp").select(key, "fp", F.col("root.k").alias("component_id"))
 
 
 def _sets(docs: DataFrame, key: str, text: str, shingle_words: int, lanes: int) -> DataFrame:
-    """(key, th, set_id, fp): hash of the text; 128-bit hash and fingerprint of its set of shingles, repeats left out."""
+    """(key, th, set_id, n, fp): hash of the text; 128-bit hash, size and fingerprint of its set of shingles, repeats left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [np.unique(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(2)]
             ids = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in made], pa.binary())
-            yield pa.record_batch([b.column(0), b.column(1), ids, pa.array([fingerprint(h, lanes) for h in made], pa.binary())], names=[key, "th", "set_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), ids, pa.array([len(h) for h in made], pa.int64()), pa.array([fingerprint(h, lanes) for h in made], pa.binary())], names=[key, "th", "set_id", "n", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, f"`{key}` {kind}, th long, set_id binary, fp binary")
+    return docs.select(key, F.xxhash64(text).alias("th"), text).mapInArrow(run, f"`{key}` {kind}, th long, set_id binary, n long, fp binary")
 
 
 def same_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -263,8 +277,10 @@ def same_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def verified(ids: list[bytes], words: np.ndarray, sets: list[np.ndarray], left: np.ndarray, least: float, radius: int, within: bool) -> list[tuple[bytes, bytes]]:
     """A forest of the links that hold among the rows (within), or else between the rows of left and the others."""
     label, out = np.arange(len(ids)), []
+    rest = np.flatnonzero(~left)
     for i in range(len(ids)) if within else np.flatnonzero(left).tolist():
-        others = np.arange(i + 1, len(ids)) if within else np.flatnonzero(~left)
+        others = np.arange(i + 1, len(ids)) if within else rest
+        others = others[label[others] != label[i]]
         near = others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= radius]
         for j in near.tolist():
             if label[i] != label[j] and same_enough(sets[i], sets[j], least):
@@ -274,21 +290,26 @@ def verified(ids: list[bytes], words: np.ndarray, sets: list[np.ndarray], left:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, least: float = 0.8, radius: int = 64, lanes: int = 4, screen: int = 22) -> DataFrame:
-    """(key, fp, component_id): component_id is the smallest key reachable over links of texts whose sets of shingles have a Jaccard similarity of at least ``least``.
+    """(key, th, component_id, stays) of each row.
+
+    component_id is the smallest key reachable over links of texts whose sets of shingles have a Jaccard similarity of at
+    least ``least``. th: Spark's xxhash64 of the text. stays: the row has the component's smallest (key, th); repeated rows
+    all have it.
 
     radius and screen choose the pairs that are compared. At 0.8 the expected distance is 39 of 256 bits with a
-    deviation of 5.7, so a radius of 64 is more than four deviations off.
+    deviation of 5.7, so a radius of 64 is more than four deviations off; of the first 64 bits, 10 with a deviation of 2.9.
     """
     shared_dir(docs.sparkSession)
     prints = materialize(_sets(docs, key, text, shingle_words, lanes), "sets")
-    sets = prints.groupBy("set_id", "fp").agg(F.min(key).alias("first"), F.min(F.struct(F.col(key).alias("k"), "th")).alias("rep"))
+    sets = materialize(prints.groupBy("set_id", "fp", "n").agg(F.min(_ordered(key, "th")).alias("node")), "set-nodes")
     roots = components(links(sets.select("fp").distinct(), radius, lanes, screen)).select(F.col("node").alias("fp"), "root")
-    placed = materialize(sets.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
-    groups = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    size = F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / GROUP_BLOCKS))
-    wanted = placed.join(groups, "root").select("rep.*", "set_id", "fp", "root", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    placed = sets.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = placed.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes")).where("rows > 1")
+    blocks = F.ceil(F.greatest(F.col("rows") / GROUP_ROWS, 8 * F.col("hashes") / GROUP_BYTES)).cast("int")
+    wanted = materialize(placed.join(groups.select("root", blocks.alias("blocks")), "root").select("set_id", "fp", "root", "blocks", F.col("node.k").alias("__k"), F.col("node.th").alias("__th")), "wanted")
     # One text for each set that has candidates is read again.
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).join(wanted.withColumnRenamed("k", "__k").withColumnRenamed("th", "__th"), F.col("k").eqNullSafe(F.col("__k")) & (F.col("th") == F.col("__th")))
+    mine = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    texts = mine.join(few(wanted), F.col("k").eqNullSafe(F.col("__k")) & (F.col("th") == F.col("__th")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,8 +329,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                 if found:
                     yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
-    edges = pairs.select("lo", "hi", "rows").mapInArrow(verify, "a binary, b binary")
-    joined = components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("group"))
-    final = placed.select("set_id", "first").join(joined, "set_id", "left").withColumn("group", F.coalesce("group", "set_id"))
-    named = final.groupBy("group").agg(F.min("first").alias("component_id"))
-    return prints.select(key, "fp", "set_id").join(final.join(named, "group").select("set_id", "component_id"), "set_id").select(key, "fp", "component_id")
+    edges = materialize(pairs.select("lo", "hi", "rows").mapInArrow(verify, "a binary, b binary"), "verified")
+    named = classes(edges, sets.select("set_id", "node"), "set_id")
+    stays = F.col(key).eqNullSafe(F.col("root.k")) & (F.col("th") == F.col("root.th"))
+    return prints.select(key, "th", "set_id").join(named, "set_id").select(key, "th", F.col("root.k").alias("component_id"), stays.alias("stays"))

@@ -20,13 +20,16 @@ white space, unchanged; the kept text has one space between words.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from larkspur.llm import repeats as R
+from larkspur.llm.common import materialize
 
 WINDOW, BLOCK = 20, 10
 #: Bits of a probe's hash, behind the bucket's, and the flags below them: in the index; occurs twice in the shard.
@@ -121,25 +124,26 @@ def _first(keys: np.ndarray) -> np.ndarray:
     return np.frombuffer(keys.tobytes(), ">u8").reshape(-1, 2)[:, 0].astype(np.uint64)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, shard_bytes: int = R.SHARD_BYTES, with_text: bool = False) -> DataFrame:
-    """(key, n_words, n_removed, n_spans, kept_sha256) and, if asked for, text_hash and kept_text.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, shard_bytes: int = R.SHARD_BYTES, with_text: bool = False, others: Sequence[str] = ()) -> DataFrame:
+    """(key, n_words, n_removed, n_spans, kept_sha256) and, if asked for, kept_text and a struct of other columns of docs.
 
-    n_spans: maximal runs of removed words. text_hash: Spark's xxhash64 of the text (null as empty), to tell equal keys apart.
+    n_spans: maximal runs of removed words. kept_text: the text itself where nothing was removed.
     """
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it begins: 2 * block - 1 <= window")
-    shards, size = R.shards(docs, key, text, shard_bytes)
+    shards, size = R.shards(docs, key, text, shard_bytes, others)
     bits = R.bucket_bits(size)
-    probes = R.each_shard(shards, lambda row: _probe_rows(_Shard(row, window, block), bits), R.EXCHANGE)
-    hits = R.settle(R.exchange(probes, _hits).withColumnRenamed("answers", "hits"), "block-hits")
+    texts = shards.select("shard", "ids", "ends", "blob")
+    probes = R.each_shard(texts, lambda row: _probe_rows(_Shard(row, window, block), bits), R.EXCHANGE)
+    hits = materialize(R.exchange(probes, _hits).withColumnRenamed("answers", "hits"), "block-hits")
 
     def windows(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, block)
         _, keys, _ = _local(s, row["hits"], bits)
         return R.to_buckets(s.number, keys, (_first(keys) >> np.uint64(64 - bits)).astype(np.int64), bits)
 
-    prints = R.each_shard(shards.join(hits, "shard"), windows, R.EXCHANGE)
-    seen = R.settle(R.exchange(prints, R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
+    prints = R.each_shard(texts.join(hits, "shard"), windows, R.EXCHANGE)
+    seen = materialize(R.exchange(prints, R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
 
     def decide(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, block)
@@ -148,18 +152,25 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         first = np.full(len(keys), s.n, np.int64)
         np.minimum.at(first, which, at)
         gone = R.covered(at[before[which] | (first[which] < at)] if len(at) else at, window, s.n)
-        kept_text, shas, spans, removed = [], [], [], []
         blob, limits = row["blob"].as_py(), row["ends"].as_py()
-        hashes = np.array([xxhash.xxh64_intdigest(blob[a:b], 42) for a, b in zip([0, *limits[:-1]], limits, strict=True)], np.uint64).astype(np.int64) if with_text else None
-        for words, a, b in zip(s.docs, s.starts.tolist(), s.ends.tolist(), strict=True):
+        kept_text, shas, spans, removed = [], [], [], []
+        for words, a, b, x, y in zip(s.docs, s.starts.tolist(), s.ends.tolist(), [0, *limits[:-1]], limits, strict=True):
             g = gone[a:b]
             removed.append(n := int(np.count_nonzero(g)))
             spans.append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[:1].any()) if n else 0)
-            kept = b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x] if n else words)
+            kept = b" ".join([w for w, out in zip(words, g.tolist(), strict=True) if not out] if n else words)
             shas.append(hashlib.sha256(kept).hexdigest())
-            kept_text.append(kept.decode() if with_text else None)
+            if with_text:
+                kept_text.append((kept if n else blob[x:y]).decode())
         columns = [pa.array(s.ids, pa.int64()), pa.array(s.ends - s.starts), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())]
-        return pa.record_batch([*columns, *([pa.array(hashes), pa.array(kept_text, pa.string())] if with_text else [])], names=[key, "n_words", "n_removed", "n_spans", "kept_sha256", *(["text_hash", "kept_text"] if with_text else [])])
-
-    schema = f"`{key}` long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", text_hash long, kept_text string" if with_text else "")
-    return R.each_shard(shards.join(hits, "shard", "left").join(seen, "shard", "left"), decide, schema)
+        names = [key, "n_words", "n_removed", "n_spans", "kept_sha256"]
+        if with_text:
+            columns, names = [*columns, pa.array(kept_text, pa.string())], [*names, "kept_text"]
+        if others:
+            columns, names = [*columns, row["others"].values], [*names, "others"]
+        return pa.record_batch(columns, names=names)
+
+    fields = T.StructType.fromDDL(f"`{key}` long, n_words long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")).fields
+    schema = T.StructType([*fields, *([T.StructField("others", shards.schema["others"].dataType.elementType)] if others else [])])
+    whole = shards if others else texts
+    return R.each_shard(whole.join(hits, "shard", "left").join(seen, "shard", "left"), decide, schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larkspur.llm import repeats as R
+from larkspur.llm.common import materialize
 
 WINDOW, ANCHOR = 100, 48
 _U = np.uint64
@@ -190,14 +191,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         s = _Shard(row, window, anchor)
         return R.to_buckets(s.number, s.keys, (_first(s.keys) >> _U(64 - bits)).astype(np.int64), bits)
 
-    codes = R.settle(R.exchange(R.each_shard(shards, segments, R.EXCHANGE), _codes).withColumnRenamed("answers", "codes"), "segment-codes")
+    codes = materialize(R.exchange(R.each_shard(shards, segments, R.EXCHANGE), _codes).withColumnRenamed("answers", "codes"), "segment-codes")
 
     def windows(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, anchor)
         prints = np.sort(s.distinct_windows(R.joined(row["codes"])))
         return R.to_buckets(s.number, prints, (_first(prints) >> _U(64 - bits)).astype(np.int64), bits)
 
-    seen = R.settle(R.exchange(R.each_shard(shards.join(codes, "shard"), windows, R.EXCHANGE), R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
+    seen = materialize(R.exchange(R.each_shard(shards.join(codes, "shard"), windows, R.EXCHANGE), R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
 
     def decide(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, anchor)

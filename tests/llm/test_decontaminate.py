@@ -78,3 +78,63 @@ def test_clean_documents_with_a_common_phrase_stay(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id for r in D.drop_contaminated(d, b).collect()} == {1, 2, 3}
     assert {1, 3, 4, 5, 6, 7} <= {r.doc_id for r in D.hits(d, b).collect()}
+
+
+def test_copies_with_many_placeholders_are_found(spark):
+    values, shout = "so Anna 3 Bob 4 km 7 Rome 8", "WHICH OF THE FOLLOWING RIVERS FLOWS NORTH TODAY IN SPAIN"
+    short, unit = "What is the capital of France?", "Minutes pass slowly in old waiting rooms"
+    items = [(1, values), (2, shout), (3, short), (4, "12 7 19 3 44 5 6 71 2"), (5, unit)]
+    docs = [(i, f"an open line\n{t} and on") for i, t in items] + [(6, "so Anna 3 Bob 4 km 7 Rome 9 and 12 7 19 3 44 5 6 72 2"), (7, values.replace("Anna", "Carl"))]
+    got = run(spark, docs, items)
+    assert {k for k in got if k[0] < 6} == {(i, i) for i in range(1, 6)}
+    assert all(got[i, i].same_values and got[i, i].coverage == 1 for i in range(1, 6))
+    assert (7, 1) not in got and got[6, 1].coverage == 0.5 and (6, 4) not in got
+
+
+def test_rows_that_share_an_id_are_judged_by_text(spark):
+    d = spark.createDataFrame([(None, f"x {ITEM}"), (None, "fine"), (4, ITEM), (4, "fine too")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert sorted(r.text for r in D.drop_contaminated(d, b).collect()) == ["fine", "fine too"]
+
+
+def test_slots_against_brute_force(spark):
+    """Windows of templates, slots consistent along an alignment, over small texts of names, numbers and words."""
+    rng = random.Random(8)
+    pool = ["3", "4", "Rome", "Oslo", "km", "red", "old", "new", "far"]
+    make = lambda k: ["so", *rng.choices(pool, k=k)]
+    items = [(i, make(rng.randint(4, 9))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        source = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 2)):
+            source[rng.randrange(len(source))] = rng.choice(pool)
+        docs.append((i, ["so", *rng.choices(pool, k=rng.randint(0, 4)), *source, *rng.choices(pool, k=2)]))
+    units = ("km",)
+
+    def template(ws):
+        out = []
+        for i, w in enumerate(ws):
+            number = lambda x: x.isdigit()
+            out.append("<num>" if number(w) else "<unit>" if w in units and i and number(ws[i - 1]) else "<name>" if i and w[0].isupper() else w.lower())
+        return out
+
+    n, want = 5, set()
+    for d, dw in docs:
+        dt = template(dw)
+        for j, iw in items:
+            it, m = template(iw), min(n, len(iw))
+            lines = {}
+            for a in range(len(iw) - m + 1):
+                heads = {it[a]} | ({"<name>"} if a == 0 and iw[0][0].isupper() else set()) | ({"<unit>"} if a == 0 and iw[0] in units else set())
+                for x in range(len(dw) - m + 1):
+                    for h in heads:
+                        w = [h, *it[a + 1 : a + m]]
+                        slots = [k for k in range(m) if w[k][0] == "<"]
+                        if w == dt[x : x + m] and (2 * len(slots) <= m or iw[a : a + m] == dw[x : x + m]):
+                            lines.setdefault(x - a, []).append({(iw[a + k], dw[x + k]) for k in slots})
+            for found in lines.values():
+                pairs = set().union(*found)
+                if len({p for p, _ in pairs}) == len(pairs) or any(all(p == q for p, q in f) for f in found):
+                    want.add((d, j))
+    got = run(spark, [(d, " ".join(w)) for d, w in docs], [(j, " ".join(w)) for j, w in items], window=n)
+    assert set(got) == want and 10 < len(want)
