@@ -3,14 +3,14 @@ r"""Benchmark decontamination by template windows.
 1. Words (runs of anything but ASCII white space, outer punctuation cut off) become template words: a
    number becomes ``<num>``, a unit behind a number ``<unit>``, a number with its unit in one word
    ``<qty>``, a capitalised word inside a sentence ``<name>``; any other word is itself in lower case.
-2. Windows of ``window`` template words are hashed on both sides and joined. A window with more
-   placeholders than words says little as a template; on both sides it is hashed by its words as they
-   are, so that it still matches a copy. An item with fewer words than a window is one window. What the
-   first word of an item is depends on what stands before it in a text, so the item's first window is
-   indexed with each of its readings (word, name, unit).
-3. Hits are compared word by word, then checked for slot consistency: along one alignment of an item
-   and a text, equal slot values of the item must stand against equal values in the text. A question
-   with other numbers or names passes, words that only look alike don't.
+2. Windows of ``window`` template words are hashed on both sides and joined. An item with fewer words
+   than a window is one window. What the first word of an item is depends on what stands before it in a
+   text, so the item's first window is indexed with each of its readings (word, name, unit).
+3. Hits are compared word by word. A window with more placeholders than words says little as a template;
+   it must have the same words as they are, so that it matches copies only. Then hits are checked for slot
+   consistency: along one alignment of an item and a text, equal slot values of the item must stand
+   against equal values in the text. A question with other numbers or names passes, words that only look
+   alike don't.
 
 Only DataFrame and SQL functions run. The hashes of the benchmark's windows, and the ids of texts with hits,
 are broadcast up to a checked number of rows, the words of these windows up to a checked number of bytes; beyond
@@ -47,6 +47,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def _from(w: Column, first: str, behind: str) -> Column:
+    """Begins with a character from ``first`` on and before ``behind``: a comparison of bytes, far cheaper than a pattern."""
+    return (w >= first) & (w < behind)
+
+
 def _body(w: Column) -> Column:
     cut = F.regexp_replace(w, r"^[^\p{L}\p{N}$€£+\-]+|[^\p{L}\p{N}%]+$", "")
     return F.when(w.rlike(r"^[\p{L}\p{N}]+$"), w).when(cut == "", w).otherwise(cut)
@@ -63,7 +68,8 @@ def templates(ws: Column, bs: Column) -> Column:
         before, told = F.get(bs, i - 1), F.get(ws, i - 1)
         inside = (i > 0) & ~told.rlike(r"[.!?:][\p{Pe}\p{Pf}\p{Po}]*$")
         return (
-            F.when(b.rlike(r"^\p{Ll}") & ~F.lower(b).isin(*UNITS), F.lower(b))  # most words: no further test
+            F.when(_from(b, "a", "{") & ~F.lower(b).isin(*UNITS), F.lower(b))  # most words: no further test
+            .when(b.rlike(r"^\p{Ll}") & ~F.lower(b).isin(*UNITS), F.lower(b))
             .when(b.rlike(rf"^{_NUMBER}%?$"), F.lit("<num>"))
             .when(b.rlike(rf"^{_NUMBER}\p{{L}}{{1,3}}$") & F.regexp_extract(F.lower(b), r"(\p{L}+)$", 1).isin(*UNITS), F.lit("<qty>"))
             .when(F.lower(b).isin(*UNITS) & (i > 0) & before.rlike(rf"^{_NUMBER}$"), F.lit("<unit>"))
@@ -84,29 +90,26 @@ def _parsed(df: DataFrame, key: str, text: str) -> DataFrame:
     return split.select("id", "th", "bs", templates(F.col("ws"), F.col("bs")).alias("ts"))
 
 
-def _hash(ts: Column, bs: Column, slots: Column, n: Column | int) -> Column:
-    """Hash of a window of n template words: of its words as they are if more than half are placeholders."""
-    return F.when(2 * slots > n, F.xxhash64(F.lit("words"), bs)).otherwise(F.xxhash64(ts))
+def _hashed(ts: Column) -> Column:
+    return F.transform(ts, lambda t: F.xxhash64(t))
 
 
 def _starts(ts: Column, n: Column | int) -> Column:
     return F.when(F.size(ts) >= n, F.sequence(F.lit(0), F.size(ts) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(n: int) -> Column:
-    """array<struct<at, n, h>> over ts, bs and ps (1 for a placeholder): each window of n template words; none if there are fewer."""
+def _windows(hs: Column, n: int) -> Column:
+    """array<struct<at, n, h>> over hashes of template words: each window of n of them; none if there are fewer."""
+    return F.transform(_starts(hs, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(hs, i + 1, n)).alias("h")))
 
-    def one(i: Column) -> Column:
-        slots = F.get("ps", i)
-        for k in range(1, n):
-            slots = slots + F.get("ps", i + k)
-        return F.struct(i.alias("at"), F.lit(n).alias("n"), _hash(F.slice("ts", i + 1, n), F.slice("bs", i + 1, n), slots, n).alias("h"))
 
-    return F.transform(_starts(F.col("ts"), n), one)
+def _said(ts: Column, bs: Column) -> Column:
+    """What a window is compared by besides its template: nothing, or its words as they are if more than half are placeholders."""
+    return F.when(2 * F.size(F.filter(ts, _placeholder)) > F.size(ts), F.xxhash64(bs)).otherwise(F.lit(0).cast("long"))
 
 
 def _index(benchmark: DataFrame, item_key: str, item_text: str, window: int) -> DataFrame:
-    """(item, words, iat, its, ibs, n, h): each window of each item; the first one once for each reading of its first word."""
+    """(item, words, iat, its, ibs, n, h, said): each window of each item; the first one once for each reading of its first word."""
     items = _parsed(benchmark, item_key, item_text).where(F.size("ts") > 0)
     n = F.least(F.lit(window), F.size("ts"))
     cut = items.select(F.col("id").alias("item"), F.size("ts").alias("words"), n.alias("n"), "ts", "bs", F.explode(_starts(F.col("ts"), n)).alias("iat")).select(
@@ -119,8 +122,7 @@ def _index(benchmark: DataFrame, item_key: str, item_text: str, window: int) ->
     )
     readings = F.when((F.col("iat") == 0) & ~F.get("its", 0).isin("<num>", "<qty>"), F.array_distinct(others)).otherwise(F.array(F.get("its", 0)))
     every = cut.withColumn("head", F.explode(readings)).withColumn("its", F.concat(F.array("head"), F.slice("its", F.lit(2), F.size("its")))).drop("head")
-    slots = F.size(F.filter("its", _placeholder))
-    return every.distinct().withColumn("h", _hash(F.col("its"), F.col("ibs"), slots, F.col("n")))
+    return every.distinct().withColumns({"h": F.xxhash64(_hashed(F.col("its"))), "said": _said(F.col("its"), F.col("ibs"))})
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int) -> DataFrame:
@@ -134,8 +136,8 @@ def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_ke
     size = index.agg(F.sum(F.octet_length(F.array_join("its", " ")) + F.octet_length(F.array_join("ibs", " "))).alias("b")).first()["b"] or 0
     small = F.broadcast(index) if size <= BROADCAST_BYTES else index
     hashes = materialize(index.select("n", "h").distinct(), "benchmark-hashes")
-    parsed = _parsed(docs, key, text).withColumn("ps", F.transform("ts", lambda t: _placeholder(t).cast("int")))
-    every = F.flatten(F.array(*[_windows(n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
+    parsed = _parsed(docs, key, text).select("id", "th", _hashed(F.col("ts")).alias("hs"))
+    every = F.flatten(F.array(*[_windows(F.col("hs"), n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint>>")
     found = parsed.select("id", "th", F.inline(every)).join(few(hashes), ["n", "h"], "left_semi")
     at = materialize(found.select("id", "th", "at", "n", "h").distinct(), "window-hits")
     # Texts with a hit are read again, to compare words and slots.
@@ -145,8 +147,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_ke
     met = again.join(at.withColumnsRenamed({"id": "__id", "th": "__th"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select(
         "id", "th", "at", "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("dts"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("dbs")
     )
-    wordy = 2 * F.size(F.filter("its", _placeholder)) <= F.col("n")
-    same = met.join(small, ["n", "h"]).where((F.col("dts") == F.col("its")) & (wordy | (F.col("dbs") == F.col("ibs"))))
+    same = met.withColumn("said", _said(F.col("dts"), F.col("dbs"))).join(small, ["n", "h", "said"]).where((F.col("dts") == F.col("its")) & ((F.col("said") == 0) | (F.col("dbs") == F.col("ibs"))))
     slots = F.filter(F.transform("its", lambda t, j: F.struct(F.when(_placeholder(t), F.get("ibs", j)).alias("i"), F.when(_placeholder(t), F.get("dbs", j)).alias("d"))), lambda s: s["i"].isNotNull())
     plain = F.filter(F.transform("its", lambda t, j: F.when(~_placeholder(t), F.col("iat") + j)), lambda j: j.isNotNull())
     span = F.sequence("iat", F.col("iat") + F.col("n") - 1)

@@ -17,7 +17,7 @@ Defined results: a null or empty text has no words, measures of zero and feature
 base rule (fewer than 10 words); without labels of both classes the list is empty and only the base rule
 rejects; labels without a document, null labels and null ids are left out of the sample; a document
 labelled twice counts twice; repeated rows are judged each; an empty table gives an empty result; extra
-columns pass through decide(), where a column named like a measure is an error, and don't matter elsewhere.
+columns pass through decide() under any name, and don't matter elsewhere.
 """
 
 from __future__ import annotations
@@ -210,9 +210,10 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_labelled: int) -> DataFrame:
-    """(k, y, t) of at most ``max_labelled`` labelled documents."""
+    """(k, y, t) of the documents of at most ``max_labelled`` labels; labels without a document are not counted."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    sample = rows.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)
+    there = rows.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+    sample = there.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled)
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")  # no more than max_labelled rows
 
 
@@ -220,7 +221,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """Features of at most ``max_labelled`` labelled documents, and whether each is labelled 0."""
     texts = _sample(docs, labels, key, text, label, max_labelled)
     kept = measures(texts.select(F.struct("k", "y").alias("k"), "t"), "k", "t")
-    got = kept.select("k.y", *[F.expr(e).cast("double").alias(f"f_{f}") for f, e in FEATURES.items()]).toPandas()
+    got = kept.select("k.k", "k.y", *[F.expr(e).cast("double").alias(f"f_{f}") for f, e in FEATURES.items()])
+    got = got.orderBy(F.xxhash64("k"), "k", "y").limit(max_labelled).toPandas()  # an id may stand in docs more than once
     return {f: got[f"f_{f}"].to_numpy(float) for f in FEATURES}, got["y"].to_numpy() == 0
 
 
@@ -262,7 +264,9 @@ def learn_toxic(
             yield pa.record_batch([b.column(0), pa.array([len(t.encode().split()) for t in said], pa.int64()), pa.array([count_toxic(t, lexicon) for t in said], pa.int64())], names=["y", "n_words", "n_toxic"])
 
     counted = texts.mapInArrow(count, "y int, n_words long, n_toxic long")
-    got = counted.select("y", *[F.expr(e).cast("double").alias(f) for f, e in TOXIC_FEATURES.items()]).orderBy("y", *TOXIC_FEATURES).toPandas()
+    alike = counted.select("y", *[F.expr(e).cast("double").alias(f) for f, e in TOXIC_FEATURES.items()]).groupBy("y", *TOXIC_FEATURES).agg(F.count("*").alias("n")).toPandas()
+    got = alike.sort_values(["y", *TOXIC_FEATURES])
+    got = got.loc[got.index.repeat(got["n"])]
     return lexicon, learn({f: got[f].to_numpy(float) for f in TOXIC_FEATURES}, got["y"].to_numpy() == 1, least_precision)
 
 
@@ -287,14 +291,15 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def decide(docs: DataFrame, rules: list[Rule], text: str = "text", toxic: tuple[frozenset[bytes], list[Rule]] = (frozenset(), [])) -> DataFrame:
     """The rows of docs that the base rule, the list and the toxic list of learn_toxic() keep, all columns unchanged."""
-    names, added, (lexicon, toxic_rules) = docs.columns, [*MEASURES, "n_toxic"], toxic
+    names, added, (lexicon, toxic_rules) = [f"c{i}" for i in range(len(docs.columns))], [*MEASURES, "n_toxic"], toxic
+    columns, text = docs.columns, names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([(*measure(t.as_py()), count_toxic(t.as_py(), lexicon)) for t in b.column(text)], np.int64).reshape(-1, len(added))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[:, i]) for i in range(len(added)))], names=[*names, *added])
 
-    if clash := set(names) & set(added):
-        raise ValueError(f"columns named like measures: {sorted(clash)}")
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in added)])
-    return docs.mapInArrow(run, schema).where(~base_failed() & (verdict(rules) == 0) & (verdict(toxic_rules) == 0)).select(*names)
+    # Columns go through under names of our own, so that theirs can't clash with the measures.
+    schema = T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields, strict=True)), *(T.StructField(m, T.LongType()) for m in added)])
+    kept = docs.toDF(*names).mapInArrow(run, schema).where(~base_failed() & (verdict(rules) == 0) & (verdict(toxic_rules) == 0))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])

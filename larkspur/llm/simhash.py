@@ -128,8 +128,8 @@ def _tiles(distinct: DataFrame, lanes: int, tile: int, parts: int) -> DataFrame:
 class _Forest:
     """Links between the rows of one or two tiles, kept as a label for each row."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         a, b = self.label[i], self.label[j]
@@ -154,9 +154,10 @@ class _Forest:
         self.label = to[self.label]
 
 
-def compare(left: np.ndarray, right: np.ndarray, radius: int, screen: int, same: bool) -> np.ndarray:
-    """Labels of the rows of left and then right: equal for rows that links of at most ``radius`` bits join."""
-    n, forest = len(left), _Forest(len(left) + (0 if same else len(right)))
+def compare(left: np.ndarray, right: np.ndarray, radius: int, screen: int, same: bool, label: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the rows of left and then right: equal for rows that links of at most ``radius`` bits join, or that had equal labels before."""
+    n = len(left)
+    forest = _Forest(np.arange(n + (0 if same else len(right))) if label is None else label)
     ql, qr = _quarters(left), _quarters(right)
     starts = range(0, len(right), BLOCK)
     boxes = [(qr[s : s + BLOCK].min(axis=0), qr[s : s + BLOCK].max(axis=0)) for s in starts]
@@ -189,28 +190,46 @@ def links(distinct: DataFrame, radius: int, lanes: int = 1, screen: int | None =
     tile = min(TILE_MAX, max(TILE_MIN, -(-n // TILES)))
     parts = max(1, -(-n // (4 * tile)))  # a task sorts four tiles, however many there are
     tiles = materialize(_tiles(distinct, lanes, tile, parts), "tiles")
-    spans = tiles.select("tile", "lo", "hi")
+    raw = lambda w: pa.array([r.tobytes() for r in w.astype(">u8")], pa.binary())
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _words(batch.column(3)[i].as_py(), lanes)
+                label = compare(x, x, radius, screen, True)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([label.astype("<u4").tobytes()], pa.binary())], names=[*batch.schema.names, "labels"])
+
+    # First each tile by itself, so that a pair of tiles gives only the links that join what is apart in them.
+    n_tiles = n // tile + 1
+    known = materialize(tiles.repartition(max(1, min(4096, n_tiles)), "tile").mapInArrow(inside, "tile long, lo int, hi int, fps binary, labels binary"), "tiles-inside")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fps, labels in zip(batch.column(0), batch.column(1), strict=True):
+                x, label = _words(fps.as_py(), lanes), np.frombuffer(labels.as_py(), "<u4").astype(np.int64)
+                at = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.record_batch([raw(x[at]), raw(x[label[at]])], names=["a", "b"])
+
+    own = known.select("fps", "labels").mapInArrow(forests, "a binary, b binary")
+    spans = known.select("tile", "lo", "hi")
     # Tiles meet on a population count that both can have; the least such count names the pair once.
     left = spans.select(F.col("tile").alias("a"), F.col("lo").alias("alo"), F.explode(F.sequence(F.col("lo") - screen, F.col("hi") + screen)).alias("pop"))
     right = spans.select(F.col("tile").alias("b"), F.col("lo").alias("blo"), F.explode(F.sequence("lo", "hi")).alias("pop"))
-    pairs = left.join(right, "pop").where((F.col("pop") == F.greatest(F.col("alo") - screen, F.col("blo"))) & (F.col("a") <= F.col("b"))).select("a", "b")
+    pairs = left.join(right, "pop").where((F.col("pop") == F.greatest(F.col("alo") - screen, F.col("blo"))) & (F.col("a") < F.col("b"))).select("a", "b")
     # A tile goes once to each pair that it is part of.
-    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    n_tiles = n // tile + 1
-    work = ends.join(tiles.select("tile", "fps"), "tile").repartition(max(1, min(4096, n_tiles * (n_tiles + 1) // 2)), "a", "b")
-
-    def run(key: tuple[pa.Scalar, ...], pair: pa.Table) -> pa.Table:
-        blobs = dict(zip(pair["tile"].to_pylist(), pair["fps"].to_pylist(), strict=True))
-        a, b = (k.as_py() for k in key)
-        x = _words(blobs[a], lanes)
-        y = x if a == b else _words(blobs[b], lanes)
-        label = compare(x, y, radius, screen, a == b)
-        rows = x if a == b else np.concatenate([x, y])
-        at = np.flatnonzero(label != np.arange(len(label)))
-        raw = lambda w: pa.array([r.tobytes() for r in w.astype(">u8")], pa.binary())
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("tile"))
+    work = ends.join(known.select("tile", "fps", "labels"), "tile").repartition(max(1, min(4096, n_tiles * (n_tiles - 1) // 2)), "a", "b")
+
+    def across(key: tuple[pa.Scalar, ...], pair: pa.Table) -> pa.Table:
+        blobs = {t: (_words(f, lanes), np.frombuffer(v, "<u4").astype(np.int64)) for t, f, v in zip(*(pair[c].to_pylist() for c in ("tile", "fps", "labels")), strict=True)}
+        (x, lx), (y, ly) = (blobs[k.as_py()] for k in key)
+        before = np.concatenate([lx, ly + len(x)])
+        label = compare(x, y, radius, screen, False, before.copy())
+        rows = np.concatenate([x, y])
+        at = np.flatnonzero((before == np.arange(len(before))) & (label != before))
         return pa.table([raw(rows[at]), raw(rows[label[at]])], names=["a", "b"])
 
-    return work.groupBy("a", "b").applyInArrow(run, "a binary, b binary")
+    return own.unionByName(work.groupBy("a", "b").applyInArrow(across, "a binary, b binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,19 +293,19 @@ def same_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return len(a) + len(b) == both or both / (len(a) + len(b) - both) >= least
 
 
-def verified(ids: list[bytes], words: np.ndarray, sets: list[np.ndarray], left: np.ndarray, least: float, radius: int, within: bool) -> list[tuple[bytes, bytes]]:
-    """A forest of the links that hold among the rows (within), or else between the rows of left and the others."""
-    label, out = np.arange(len(ids)), []
-    rest = np.flatnonzero(~left)
-    for i in range(len(ids)) if within else np.flatnonzero(left).tolist():
-        others = np.arange(i + 1, len(ids)) if within else rest
+def verified(label: np.ndarray, words: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None, least: float, radius: int) -> np.ndarray:
+    """Labels joined by the links that hold among all rows (left is None), or else between the rows of left and the others."""
+    label = label.copy()
+    rest = np.flatnonzero(~left) if left is not None else None
+    for i in range(len(label)) if left is None else np.flatnonzero(left).tolist():
+        others = np.arange(i + 1, len(label)) if left is None else rest
         others = others[label[others] != label[i]]
         near = others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= radius]
         for j in near.tolist():
             if label[i] != label[j] and same_enough(sets[i], sets[j], least):
-                out.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
-    return out
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+    return label
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, least: float = 0.8, radius: int = 64, lanes: int = 4, screen: int = 22) -> DataFrame:
@@ -306,7 +325,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     placed = sets.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = placed.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes")).where("rows > 1")
     blocks = F.ceil(F.greatest(F.col("rows") / GROUP_ROWS, 8 * F.col("hashes") / GROUP_BYTES)).cast("int")
-    wanted = materialize(placed.join(groups.select("root", blocks.alias("blocks")), "root").select("set_id", "fp", "root", "blocks", F.col("node.k").alias("__k"), F.col("node.th").alias("__th")), "wanted")
+    sized = materialize(groups.select("root", blocks.alias("blocks")), "candidate-groups")
+    wanted = materialize(placed.join(few(sized), "root").select("set_id", "fp", "root", "blocks", F.col("node.k").alias("__k"), F.col("node.th").alias("__th")), "wanted")
     # One text for each set that has candidates is read again.
     mine = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     texts = mine.join(few(wanted), F.col("k").eqNullSafe(F.col("__k")) & (F.col("th") == F.col("__th")))
@@ -316,20 +336,38 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([np.unique(shingle_hashes(t.as_py(), shingle_words)).tobytes() for t in b.column(0)], pa.binary())], names=[*b.schema.names[1:], "hs"])
 
     with_sets = texts.select("t", "set_id", "fp", "root", "blocks").mapInArrow(shingled, "set_id binary, fp binary, root binary, blocks int, hs binary")
-    own = with_sets.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    met = own.select("root", "own", "set_id", "fp", "hs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = met.groupBy("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("own", "set_id", "fp", "hs")).alias("rows"))
+    shingles = materialize(with_sets.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")), "candidate-sets")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(rows: pa.Scalar) -> tuple[list[dict], np.ndarray, list[np.ndarray]]:
+        got = sorted(rows.as_py(), key=lambda r: r["set_id"])
+        return got, _words(b"".join(r["fp"] for r in got), lanes), [np.frombuffer(r["hs"], np.uint64) for r in got]
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                got, words, sets = unpacked(rows)
+                label = verified(np.arange(len(got)), words, sets, None, least, radius)
+                at = np.flatnonzero(label != np.arange(len(got))).tolist()
+                yield pa.record_batch([pa.array([got[i]["set_id"] for i in at], pa.binary()), pa.array([got[label[i]]["set_id"] for i in at], pa.binary())], names=["a", "b"])
+
+    # First each block by itself, so that a pair of blocks gives only the links that join what is apart in them.
+    entry = F.struct("set_id", "fp", "hs")
+    own = materialize(shingles.groupBy("root", "own").agg(F.collect_list(entry).alias("rows")).select("rows").mapInArrow(inside, "a binary, b binary"), "verified-inside")
+    large = shingles.where("blocks > 1").join(own.select(F.col("a").alias("set_id"), F.col("b").alias("first")).distinct(), "set_id", "left")
+    met = large.select("root", "own", "set_id", F.coalesce("first", "set_id").alias("first"), "fp", "hs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own != other")
+    pairs = met.groupBy("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("own", "set_id", "first", "fp", "hs")).alias("rows"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, rows in zip(*(batch.column(i) for i in range(3)), strict=True):
-                got = rows.as_py()
-                lo, hi = lo.as_py(), hi.as_py()
-                found = verified([r["set_id"] for r in got], _words(b"".join(r["fp"] for r in got), lanes), [np.frombuffer(r["hs"], np.uint64) for r in got], np.array([r["own"] == lo for r in got]), least, radius, lo == hi)
-                if found:
-                    yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-
-    edges = materialize(pairs.select("lo", "hi", "rows").mapInArrow(verify, "a binary, b binary"), "verified")
+            for lo, rows in zip(batch.column(0), batch.column(1), strict=True):
+                got, words, sets = unpacked(rows)
+                place = {r["set_id"]: i for i, r in enumerate(got)}
+                before = np.array([place[r["first"]] for r in got])
+                label = verified(before, words, sets, np.array([r["own"] == lo.as_py() for r in got]), least, radius)
+                at = np.flatnonzero((before == np.arange(len(got))) & (label != before)).tolist()
+                yield pa.record_batch([pa.array([got[i]["set_id"] for i in at], pa.binary()), pa.array([got[label[i]]["set_id"] for i in at], pa.binary())], names=["a", "b"])
+
+    edges = own.unionByName(materialize(pairs.select("lo", "rows").mapInArrow(across, "a binary, b binary"), "verified-across"))
     named = classes(edges, sets.select("set_id", "node"), "set_id")
     stays = F.col(key).eqNullSafe(F.col("root.k")) & (F.col("th") == F.col("root.th"))
     return prints.select(key, "th", "set_id").join(named, "set_id").select(key, "th", F.col("root.k").alias("component_id"), stays.alias("stays"))

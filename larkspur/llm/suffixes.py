@@ -8,8 +8,9 @@
    depth from 7 bytes on, and only groups that are still equal are sorted again.
    Kasai's algorithm gives the common prefixes of neighbours; windows with a common prefix of the full
    length are the same string, of which the first place counts.
-3. Across shards, the sorted distinct windows of all shards (as 128-bit fingerprints) are merged pairwise
-   by binary search; each is told whether an earlier shard has it.
+   The verdict inside a shard comes from these groups.
+3. Across shards, the sorted groups of all shards (as 128-bit fingerprints of their windows) are merged
+   pairwise by binary search; each is told whether an earlier shard has it.
 
 Equal windows have equal anchors, so they are in equal segments or in open ones: nothing is missed.
 
@@ -143,24 +144,27 @@ class _Shard:
         source = np.arange(int(sizes.sum())) + np.repeat(a - shift, sizes)
         return source, np.flatnonzero(np.arange(len(source)) - np.repeat(shift, sizes) <= np.repeat(sizes - self.window, sizes))
 
-    def prints(self, source: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Fingerprints of the windows from these places of the open text."""
-        if not len(at):
-            return np.empty(0, "S16")
-        values = _BYTE[self.text[source]]
-        return R.pack(*(R.window_hashes(R.prefix_hashes(values, base), base, self.window)[at] for base in R.BASES))
-
-    def distinct_windows(self, codes: np.ndarray) -> np.ndarray:
-        """Fingerprints of the different windows of the open segments, found by the suffix array."""
+    def groups(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the windows of the open segments in suffix order, the group of equal windows of each, and the first place of each group, by suffix array and common prefixes."""
         source, at = self.open_text(codes)
         text = self.text[source]
         sa, _ = suffix_array(text, len(text))  # to the end: Kasai's bound needs the true order
         prefixes = common_prefixes(text.tobytes(), sa, self.window)
         starts = np.zeros(len(sa), bool)
         starts[at] = True
-        group = np.cumsum(prefixes < self.window)[starts[sa]]
-        _, one = np.unique(group, return_index=True)
-        return self.prints(source, sa[starts[sa]][one])
+        # Neighbours whose common prefix is a whole window are one string.
+        _, group = np.unique(np.cumsum(prefixes < self.window)[starts[sa]], return_inverse=True)
+        places = source[sa[starts[sa]]]
+        first = np.full(int(group.max()) + 1 if len(group) else 0, len(self.text), np.int64)
+        np.minimum.at(first, group, places)
+        return places, group, first
+
+    def group_prints(self, first: np.ndarray) -> np.ndarray:
+        """Fingerprints of the groups' windows, by which shards tell each other of them."""
+        if not len(first):
+            return np.empty(0, "S16")
+        values = _BYTE[self.text]
+        return R.pack(*(R.window_hashes(R.prefix_hashes(values, base), base, self.window)[first] for base in R.BASES))
 
 
 def _first(keys: np.ndarray) -> np.ndarray:
@@ -195,7 +199,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def windows(row: dict) -> pa.RecordBatch:
         s = _Shard(row, window, anchor)
-        prints = np.sort(s.distinct_windows(R.joined(row["codes"])))
+        prints = np.sort(s.group_prints(s.groups(R.joined(row["codes"]))[2]))
         return R.to_buckets(s.number, prints, (_first(prints) >> _U(64 - bits)).astype(np.int64), bits)
 
     seen = materialize(R.exchange(R.each_shard(shards.join(codes, "shard"), windows, R.EXCHANGE), R.first_windows).withColumnRenamed("answers", "seen"), "window-verdicts")
@@ -205,14 +209,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         code = R.joined(row["codes"])
         whole = s.repeated_segments(code) if len(s.first) else np.zeros(0, bool)
         gone = R.covered(s.first[whole], (s.last - s.first + window - 1)[whole], len(s.text))
-        source, at = s.open_text(code)
-        if len(at):
-            # In the order of their fingerprints, the different windows are those that were asked for.
-            keys, which = np.unique(s.prints(source, at), return_inverse=True)
-            places, before = source[at], R.joined(row["seen"]) > 0
-            first = np.full(len(keys), len(s.text), np.int64)
-            np.minimum.at(first, which, places)
-            gone |= R.covered(places[before[which] | (first[which] < places)], window, len(s.text))
+        places, group, first = s.groups(code)
+        if len(places):
+            # The shard asked about its groups in the order of their fingerprints.
+            before = np.empty(len(first), bool)
+            before[np.argsort(s.group_prints(first), kind="stable")] = R.joined(row["seen"]) > 0
+            gone |= R.covered(places[before[group] | (first[group] < places)], window, len(s.text))
         removed, count, shas, spans = [], [], [], []
         for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True):
             g = gone[a:b]

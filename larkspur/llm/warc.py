@@ -2,12 +2,15 @@
 
 1. Pages are grouped by payload digest (SHA-1); the record with the largest id of a group is the
    response, the others are revisits of it. Grouping counts before it shuffles, so a payload that a
-   third of all pages share is one row for each task.
+   third of all pages share is one row for each task. Groups of two and more are joined to the pages by
+   broadcast, the largest first, up to a checked number; payloads are only shuffled for groups beyond it.
 2. Each task writes gzip members, one for each record, into archive files, and with each file a run of
    its index, sorted by URL key and timestamp.
 3. The runs are cut at common bounds (range partitioning); in each range the pieces of all runs are
    merged by a loser tree. The result is ordered inside and across partitions, so the captures of one
    URL stand together in time order.
+4. Records are read by the index alone, in its order: file, place and length of each entry. A task
+   checks that order, and that each record is the one its entry names.
 
 URL key: host labels reversed and joined by commas, without ``www.``, then ``)`` and the path and query
 in lower case; the scheme, the fragment and a default port are dropped.
@@ -24,22 +27,21 @@ import datetime
 import gzip
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fresh_path, materialize
+from larkspur.llm.common import BROADCAST_ROWS, fresh_path, materialize
 from larkspur.llm.files import make_folder, read_file, write_file
 
 INDEX = "urlkey string, ts string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, at long, length long"
 _INDEX_SCHEMA = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+#: Entries of a part of the merged index, and compressed bytes of their records.
+PART_ROWS, PART_BYTES = 50_000, 8 << 20
 #: Compressed bytes after which a new archive file begins.
 FILE_BYTES = 32 << 20
-#: Compressed bytes given to zlib at once on reading.
-STEP_BYTES = 16 << 10
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
 
@@ -86,14 +88,19 @@ def timestamp(page_id: int | None) -> str:
     return (EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, file_bytes: int = FILE_BYTES, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Write archive files and return their index runs (INDEX), each file's rows sorted by URL key, timestamp and id."""
     make_folder(path)
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("u"), url_key(F.col(url)).alias("urlkey"), body.alias("body"), F.sha1(body).alias("digest"))
     prints = pages.select(F.col(key).cast("long").alias("id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
-    groups = prints.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.count("*").alias("m"), F.max("id").alias("last")).where("m > 1").drop("m")
-    marked = rows.join(groups, "digest", "left")
+    groups = materialize(prints.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.count("*").alias("m"), F.max("id").alias("last")).where("m > 1"), "warc-groups")
+    if groups.count() <= most_broadcast:
+        marked = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        largest = materialize(groups.orderBy(F.desc("m"), "digest").limit(most_broadcast), "warc-largest")
+        others = groups.join(largest, "digest", "left_anti").select("digest", F.col("last").alias("also"))
+        marked = rows.join(F.broadcast(largest), "digest", "left").join(others, "digest", "left").withColumn("last", F.coalesce("last", "also"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[bytes] = []
@@ -110,8 +117,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             return out
 
         for b in batches:
-            for i, u, key_, text, last in zip(*(b.column(c).to_pylist() for c in ("id", "u", "urlkey", "body", "last")), strict=True):
-                data = text.encode()
+            for entry in zip(*(b.column(c) for c in ("id", "u", "urlkey", "body", "last")), strict=True):
+                i, u, key_, data, last = entry[0].as_py(), entry[1].as_py(), entry[2].as_py(), entry[3].as_buffer().to_pybytes(), entry[4].as_py()
                 raw = hashlib.sha1(data)
                 digest, ts = base64.b32encode(raw.digest()).decode(), timestamp(i)
                 first = last is None or i == last
@@ -170,8 +177,9 @@ class LoserTree:
 
 
 def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
-    """One index in order of (URL key, timestamp, id), over all partitions."""
-    n = parts or max(1, -(-runs.count() // 200_000))
+    """One index in order of (URL key, timestamp, id), over all partitions; ``part`` numbers them."""
+    size = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    n = parts or max(1, -(-size["n"] // PART_ROWS), -(-size["b"] // PART_BYTES))
     ranged = runs.repartitionByRange(n, F.col("urlkey"), F.col("ts"), F.col("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,53 +201,81 @@ def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
         if out:
             yield make()
 
-    return ranged.mapInArrow(run, INDEX)
+    return ranged.mapInArrow(run, INDEX).withColumn("part", F.spark_partition_id())
 
 
-def member(content: memoryview, step: int = STEP_BYTES) -> tuple[bytes, memoryview]:
-    """The first gzip member of some bytes, uncompressed, and the bytes behind it.
+#: Bytes between two records of a file up to which one read takes both.
+GAP_BYTES = 256 << 10
+#: Index entries that a task looks at together, and compressed bytes that it holds at most, about.
+LOOK_AHEAD, HELD_BYTES = 5000, 32 << 20
 
-    Fed in steps: zlib copies what it was given and didn't use, which for a whole archive would copy all the rest with each record.
-    """
-    d, out, at = zlib.decompressobj(31), [], 0
-    while not d.eof:
-        if at >= len(content):
-            raise ValueError("an archive ends inside a record")
-        out.append(d.decompress(content[at : at + step]))
-        at += step
-    return b"".join(out), content[min(at, len(content)) - len(d.unused_data) :]
+
+def _fetch(entries: list[tuple[str, int, int]]) -> list[bytes]:
+    """The bytes of each (file, at, length), with one read for neighbours in a file."""
+    out: list[bytes] = [b""] * len(entries)
+    order = sorted(range(len(entries)), key=entries.__getitem__)
+    i = 0
+    while i < len(order):
+        file, begin, length = entries[order[i]]
+        end, j = begin + length, i + 1
+        while j < len(order) and entries[order[j]][0] == file and entries[order[j]][1] <= end + GAP_BYTES:
+            end, j = max(end, sum(entries[order[j]][1:])), j + 1
+        content = read_file(file, begin, end - begin)
+        for k in order[i:j]:
+            _, at, size = entries[k]
+            out[k] = content[at - begin : at - begin + size]
+        i = j
+    return out
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that an index names, read back from the files: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload (null for revisits)."""
+    """The records that a merged index names, read back by file, place and length, in its order.
+
+    page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload (null for revisits). An index out of order in
+    a part, or an entry that names another record than is there, is an error.
+    """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())]
     schema = pa.schema(fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        now, held = [], 0
         for b in batches:
-            for file in b.column(0).to_pylist():
-                content = memoryview(read_file(file))
-                out, size = [], 0
-                while len(content):
-                    raw, content = member(content)
-                    headers, payload = parse(raw)
-                    number = lambda k: int(headers[k]) if k in headers else None  # noqa: E731, B023
-                    kind = headers["warc-type"]
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"a damaged record in {file}")
-                    out.append((number("x-page-id"), headers["warc-target-uri"], kind, digest, number("x-payload-length"), number("x-refers-to-page"), payload if kind == "response" else None))
-                    size += len(payload)
-                    if size > 4 << 20 or len(out) >= 5000:
-                        yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
-                        out, size = [], 0
-                if out:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                now.append(row)
+                held += row[-1]
+                if held > HELD_BYTES or len(now) >= LOOK_AHEAD:
+                    yield now
+                    now, held = [], 0
+        if now:
+            yield now
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for rows in steps(batches):
+            out, size = [], 0
+            for (part, key, ts, page, digest, file, at, _), raw in zip(rows, _fetch([r[5:] for r in rows]), strict=True):
+                place = (key, ts, page is not None, page or 0)
+                if part != now:  # a task may read several parts, in any order
+                    now, last = part, None
+                if last is not None and place < last:
+                    raise ValueError(f"the index is out of order at {place}")
+                last = place
+                headers, payload = parse(gzip.decompress(raw))
+                number = lambda k: int(headers[k]) if k in headers else None  # noqa: E731, B023
+                kind = headers["warc-type"]
+                told = headers["warc-payload-digest"].removeprefix("sha1:")
+                if (number("x-page-id"), told) != (page, digest) or (kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != told):
+                    raise ValueError(f"another or a damaged record in {file} at {at}")
+                out.append((page, headers["warc-target-uri"], kind, told, number("x-payload-length"), number("x-refers-to-page"), payload if kind == "response" else None))
+                size += len(payload)
+                if size > 4 << 20:
                     yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], schema=schema)
 
-    files = index.select("file").distinct()
-    n = max(1, files.count())
-    # By number, not by file: the few rows of the list would else be put into one task.
-    return files.repartition(min(n, 10_000)).mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    wanted = index.select("part", "urlkey", "ts", "page_id", "payload_digest", "file", "at", "length")
+    return wanted.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def write_new(pages: DataFrame, **more) -> DataFrame:

@@ -1,11 +1,13 @@
 """Token ids on disk: a wavelet matrix for each shard, one compressed file.
 
-Format of a file (little-endian): magic ``WVM1``, then unsigned 32-bit counts: documents, tokens, bits;
-then the compressed sizes of the document table and of each bit-plane; then these parts. The document
-table holds the ids of the documents (int64) and the token position behind each (int64). Plane i holds
-bit ``bits - 1 - i`` of every token, in the order that the planes above leave: stably sorted by the bit
-before, zeros first. Rank is a table of ones before each 64-bit word plus a bit count in the word; it is
-built when a file is opened. Select walks the table by binary search.
+Format of a file (little-endian): magic ``WVM2``; unsigned 32-bit counts: documents, tokens, bits, entries of
+the directory for each plane; the compressed sizes of the document table and of each bit-plane (64 bits each);
+the directory; then these parts. The document table holds the ids of the documents (int64) and the token
+position behind each (int64). Plane i holds bit ``bits - 1 - i`` of every token, in the order that the planes
+above leave: stably sorted by the bit before, zeros first. A plane is compressed in blocks. The directory holds,
+for each plane, the ones before each block and, after those of all planes, where each block begins in its
+plane; one entry more gives the end. Inside a block, rank counts bits word by word; select walks the
+directory, then the block, by binary search. So an access opens one block of each plane.
 
 Access, counting and finding occurrences take ``bits`` steps each, whatever the shard's size.
 
@@ -23,7 +25,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from tokenizers import Tokenizer
 from larkspur.llm.common import fresh_path, materialize
 from larkspur.llm.files import make_folder, read_file, write_file
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+#: Bytes of a plane that are compressed together.
+BLOCK_BYTES = 64 << 10
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
 
@@ -49,7 +52,7 @@ class Encoder:
     """
 
     CUT = re.compile(r"(?<=\S)(?= \S)")
-    #: Chunks that are remembered, and the longest of them.
+    #: Chunks that are remembered in each of two generations, and the longest of them.
     MOST, LONGEST = 600_000, 64
 
     def __init__(self, path: str):
@@ -59,24 +62,37 @@ class Encoder:
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.seen: dict[str, list[int]] = {}
+        self.dtype = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def raw(self, text: str) -> bytes:
+        """The ids of a text, end to end, as numbers of type ``dtype``."""
         if any(t in text for t in self.added):
-            return self.library.encode(text, add_special_tokens=False).ids
-        chunks = self.CUT.split(text)
-        if len(self.seen) > self.MOST:
-            self.seen = {}
-        own = self.seen
-        if new := list({c for c in chunks if c not in own}):
-            made: dict[str, list[int]] = {}
-            for i in range(0, len(new), 8192):
-                part = new[i : i + 8192]
-                made.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            own.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
-            if any(len(c) > self.LONGEST for c in new):
-                return list(chain.from_iterable(own[c] if c in own else made[c] for c in chunks))
-        return list(chain.from_iterable(map(own.__getitem__, chunks)))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        chunks, own = self.CUT.split(text), self.seen
+        try:
+            return b"".join(map(own.__getitem__, chunks))
+        except KeyError:
+            pass
+        new = []
+        for c in {c for c in chunks if c not in own}:
+            if (ids := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                own[c] = ids
+        made: dict[str, bytes] = {}
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            made.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        own.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
+        out = b"".join(own[c] if c in own else made[c] for c in chunks)
+        if len(own) > self.MOST:  # what was not met since the last time is forgotten
+            self.seen, self.older = {}, own
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.raw(text), self.dtype).tolist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,61 +103,78 @@ def encoder(path: str) -> Encoder:
 def build(keys: np.ndarray, ends: np.ndarray, tokens: np.ndarray, bits: int) -> bytes:
     """The file of a shard."""
     parts = [zlib.compress(keys.astype("<i8").tobytes() + ends.astype("<i8").tobytes(), 1)]
+    ranks, sizes = [], []
     now = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
         one = (now >> now.dtype.type(level)) & now.dtype.type(1) != 0
-        parts.append(zlib.compress(np.packbits(one, bitorder="little").tobytes(), 1))
+        plane = np.packbits(one, bitorder="little").tobytes()
+        blocks = [plane[i : i + BLOCK_BYTES] for i in range(0, len(plane), BLOCK_BYTES)]
+        counts = [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum(dtype=np.int64)) for b in blocks]
+        ranks.append(np.cumsum([0, *counts]))
+        packed = [zlib.compress(b, 1) for b in blocks]
+        sizes.append(np.cumsum([0, *map(len, packed)]))
+        parts.append(b"".join(packed))
         now = np.concatenate([now[~one], now[one]])
-    return MAGIC + struct.pack(f"<3I{len(parts)}I", len(keys), len(tokens), bits, *map(len, parts)) + b"".join(parts)
+    directory = np.concatenate([*ranks, *sizes]).astype("<u8").tobytes() if bits else b""
+    return MAGIC + struct.pack(f"<4I{len(parts)}Q", len(keys), len(tokens), bits, len(ranks[0]), *map(len, parts)) + directory + b"".join(parts)
 
 
 class WaveletMatrix:
-    """An opened file."""
+    """An opened file: the rank directory and the document table are read at once, blocks of planes when they are asked for."""
 
     def __init__(self, content: bytes):
         if content[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        docs, self.n, self.bits = struct.unpack_from("<3I", content, 4)
-        sizes = struct.unpack_from(f"<{self.bits + 1}I", content, 16)
-        at, parts = 16 + 4 * len(sizes), []
-        for s in sizes:
-            parts.append(zlib.decompress(content[at : at + s]))
-            at += s
-        table = np.frombuffer(parts[0], "<i8")
+        docs, self.n, self.bits, entries = struct.unpack_from("<4I", content, 4)
+        sizes = struct.unpack_from(f"<{self.bits + 1}Q", content, 20)
+        at = 20 + 8 * len(sizes)
+        table = np.frombuffer(content, "<u8", 2 * self.bits * entries, at).astype(np.int64).reshape(2, self.bits, entries)
+        at += table.nbytes
+        #: Ones before each block of each plane, and where its compressed bytes begin.
+        self.before, begins = table
+        self._content, starts = memoryview(content), at + np.concatenate([[0], np.cumsum(sizes[:-1])])
+        self._at = begins + starts[1:, None]
+        table = np.frombuffer(zlib.decompress(content[at : at + sizes[0]]), "<i8")
         self.keys, self.ends = table[:docs], table[docs:]
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[1:]]
-        self._ranks: list[tuple[np.ndarray, np.ndarray, int]] | None = None
-
-    def _rank_tables(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """For each plane: its 64-bit words, the ones before each word, and the number of zeros."""
-        if self._ranks is None:
-            self._ranks = []
-            for p in self.planes:
-                words = np.frombuffer(p.tobytes() + bytes(-len(p) % 8 + 8), "<u8")
-                before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-                self._ranks.append((words, before, self.n - int(before[-1])))
-        return self._ranks
+        self._words: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _bytes(self, level: int, block: int) -> bytes:
+        return zlib.decompress(self._content[self._at[level, block] : self._at[level, block + 1]])
+
+    def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit words of a block, and the ones before each of them in the block."""
+        if (level, block) not in self._words:
+            raw = self._bytes(level, block)
+            words = np.frombuffer(raw + bytes(-len(raw) % 8 + 8), "<u8")
+            self._words[level, block] = words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+        return self._words[level, block]
+
+    def _zeros(self, level: int) -> int:
+        return self.n - int(self.before[level, -1])
 
     def _ones(self, level: int, i: int) -> int:
-        words, before, _ = self._rank_tables()[level]
-        return int(before[i >> 6]) + (int(words[i >> 6]) & ((1 << (i & 63)) - 1)).bit_count()
+        block, rest = divmod(i, 8 * BLOCK_BYTES)
+        if block + 1 >= self.before.shape[1]:  # the end of the last block
+            return int(self.before[level, -1])
+        words, before = self._block(level, block)
+        return int(self.before[level, block]) + int(before[rest >> 6]) + (int(words[rest >> 6]) & ((1 << (rest & 63)) - 1)).bit_count()
 
     def access(self, i: int) -> int:
-        """The token at position i."""
+        """The token at position i: one block of each plane is read."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         token = 0
         for level in range(self.bits):
-            words, _, zeros = self._rank_tables()[level]
-            bit, ones = int(words[i >> 6]) >> (i & 63) & 1, self._ones(level, i)
-            token, i = token << 1 | bit, zeros + ones if bit else i - ones
+            block, rest = divmod(i, 8 * BLOCK_BYTES)
+            bit, ones = int(self._block(level, block)[0][rest >> 6]) >> (rest & 63) & 1, self._ones(level, i)
+            token, i = token << 1 | bit, self._zeros(level) + ones if bit else i - ones
         return token
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
         low, high = 0, end
         for level in range(self.bits):
             a, b = self._ones(level, low), self._ones(level, high)
-            zeros = self._rank_tables()[level][2]
+            zeros = self._zeros(level)
             low, high = (zeros + a, zeros + b) if token >> (self.bits - 1 - level) & 1 else (low - a, high - b)
         return low, high
 
@@ -159,20 +192,20 @@ class WaveletMatrix:
             raise IndexError(k)
         i = self._range(token, self.n)[0] + k
         for level in range(self.bits - 1, -1, -1):
-            words, before, zeros = self._rank_tables()[level]
-            if token >> (self.bits - 1 - level) & 1:
-                k, flip = i - zeros, False
-                w = int(np.searchsorted(before, k, side="right")) - 1
-                k -= int(before[w])
-            else:
-                k, flip = i, True
-                nought = np.arange(len(before)) * 64 - before
-                w = int(np.searchsorted(nought, k, side="right")) - 1
-                k -= int(nought[w])
-            word = int(words[w]) ^ (2**64 - 1 if flip else 0)
+            one = token >> (self.bits - 1 - level) & 1
+            k = i - self._zeros(level) if one else i
+            ones = self.before[level]
+            counts = ones if one else np.minimum(np.arange(len(ones)) * 8 * BLOCK_BYTES, self.n) - ones
+            block = int(np.searchsorted(counts, k, side="right")) - 1
+            k -= int(counts[block])
+            words, before = self._block(level, block)
+            inside = before if one else np.arange(len(before)) * 64 - before
+            w = int(np.searchsorted(inside, k, side="right")) - 1
+            k -= int(inside[w])
+            word = int(words[w]) ^ (0 if one else 2**64 - 1)
             for _ in range(k):
                 word &= word - 1
-            i = w * 64 + (word & -word).bit_length() - 1
+            i = block * 8 * BLOCK_BYTES + w * 64 + (word & -word).bit_length() - 1
         return i
 
     def occurrences(self, token: int) -> list[int]:
@@ -182,7 +215,8 @@ class WaveletMatrix:
         """All tokens in order: the planes are undone from the lowest."""
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = np.frombuffer(b"".join(self._bytes(level, b) for b in range(self.before.shape[1] - 1)), np.uint8)
+            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
             zeros = self.n - int(np.count_nonzero(one))
             up[~one] = now[:zeros]
@@ -203,17 +237,17 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        dtype = np.uint16 if e.bits <= 16 else np.uint32
+        end = np.array([end_id], e.dtype).tobytes()
         part, number = None, 0
         keys: list[int] = []
-        made: list[np.ndarray] = []
+        made: list[bytes] = []
         held = 0
 
         def flush():
             nonlocal keys, made, held, number
             name = f"{path}/part-{part:05d}-{number:05d}.wvm"
-            ends = np.cumsum([len(m) for m in made])
-            write_file(name, build(np.array(keys, np.int64), ends, np.concatenate(made), e.bits))
+            ends = np.cumsum([len(m) // e.dtype.itemsize for m in made])
+            write_file(name, build(np.array(keys, np.int64), ends, np.frombuffer(b"".join(made), e.dtype), e.bits))
             row = pa.record_batch([pa.array([name]), pa.array([part * 100_000 + number]), pa.array([len(keys)]), pa.array([int(ends[-1])])], names=["file", "shard", "n_docs", "n_tokens"])
             keys, made, held, number = [], [], 0, number + 1
             return row
@@ -223,7 +257,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
             for k, t in zip(b.column(0), b.column(1), strict=True):
                 body = t.as_py() or ""
                 keys.append(_NULL if (at := k.as_py()) is None else at)
-                made.append(np.array([*e.encode(body), end_id], dtype))
+                made.append(e.raw(body) + end)
                 held += len(body)
                 if held >= shard_bytes:
                     yield flush()

@@ -26,9 +26,10 @@ def reference(text):
     return library().encode(text or "", add_special_tokens=False).ids + [2]
 
 
-def test_access_count_and_find():
+def test_access_count_and_find(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK_BYTES", 64)
     rng = np.random.default_rng(1)
-    for n, bits in ((1, 1), (64, 3), (1000, 16), (777, 17)):
+    for n, bits in ((1, 1), (64, 3), (1000, 16), (777, 17), (9000, 6)):
         x = rng.integers(0, min(2**bits, 50), n)
         m = wavelet.WaveletMatrix(wavelet.build(np.array([7]), np.array([n]), x, bits))
         assert m.tokens().tolist() == x.tolist()
