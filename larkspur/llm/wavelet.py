@@ -46,12 +46,17 @@ SHARD_BYTES = 8 << 20
 class Encoder:
     """The tokenizers library with a byte-level vocabulary, called once for each different chunk of text.
 
-    A text is cut before every single space between two other characters. There a piece of the vocabulary's
-    pre-tokenizer always begins, so the ids of the chunks, one after the other, are the ids of the text.
-    Texts that hold an added token are encoded in one call.
+    A text is cut before each space that stands before another character than white space. There a piece of the
+    vocabulary's pre-tokenizer always begins, so the ids of the chunks, one after the other, are the ids of the text.
+    Texts with a space before white space, or with an added token, are encoded in one call.
+
+    New chunks are handed over together, a line for each: a line feed before a chunk that begins with one space
+    or none, and behind one that doesn't end in white space, is a piece of its own, whose id parts the chunks' ids.
+    In the same way a chunk is cut at line feeds that stand alone, and before the punctuation behind a last letter.
     """
 
-    CUT = re.compile(r"(?<=\S)(?= \S)")
+    #: Chunks that fit in a line, chunks of several lines, and chunks that end in punctuation.
+    LINE, LINES, CLOSED = re.compile(r" ?\S(?:[^\n]*\S)?"), re.compile(r" ?\S+(?:\n\S+)+"), re.compile(r"( ?\S*[A-Za-zÀ-ÖØ-öø-ſ])([!-/:-@\[-`{-~]+)")
     #: Chunks that are remembered in each of two generations, and the longest of them.
     MOST, LONGEST = 600_000, 64
 
@@ -63,33 +68,69 @@ class Encoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bits = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
+        self.line = self._ids("\n")
+        # Keys: a chunk behind a space without that space; any other with a space put before it.
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids of chunks by their keys."""
+        text = lambda k: k[1:] if k[0] == " " else f" {k}"
+        joint = [k for k in keys if self.LINE.fullmatch(text(k))] if len(self.line) == self.dtype.itemsize else []
+        out: dict[str, bytes] = {}
+        for i in range(0, len(joint), 8192):
+            part = joint[i : i + 8192]
+            raw = self._ids("\n".join(map(text, part)))
+            ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.line, self.dtype)[0]) * self.dtype.itemsize
+            begins = [0, *(ends + self.dtype.itemsize).tolist()]
+            out.update(zip(part, (raw[a:b] for a, b in zip(begins, [*ends.tolist(), len(raw)], strict=True)), strict=True))
+        out.update((k, self._ids(text(k)) if k != " " else b"") for k in set(keys).difference(out))
+        return out
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks; short ones are remembered. Keys that are no chunks are left out."""
+        new, several, more = [], {}, set()
+        for k in keys:
+            if k in self.seen or not k or (k[0] != " " and k[0].isspace()):
+                continue
+            if (ids := self.older.get(k)) is not None:
+                self.seen[k] = ids
+            elif "\n" in k and self.LINES.fullmatch(k):
+                first, *rest = k.split("\n")
+                several[k] = self.line, [first, *(f" {r}" for r in rest)]
+                more.update(several[k][1])
+            elif found := self.CLOSED.fullmatch(k):
+                several[k] = b"", [found[1], f" {found[2]}"]
+                more.update(several[k][1])
+            else:
+                new.append(k)
+        made = self._learn(more) if more else {}
+        known = lambda k: made[k] if k in made else self.seen[k]
+        composed = {k: glue.join(map(known, parts)) for k, (glue, parts) in several.items()}
+        made = made | composed | self._encoded(new)
+        self.seen.update((k, v) for k, v in made.items() if len(k) <= self.LONGEST)
+        return made
+
     def raw(self, text: str) -> bytes:
         """The ids of a text, end to end, as numbers of type ``dtype``."""
         if any(t in text for t in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        chunks, own = self.CUT.split(text), self.seen
+            return self._ids(text)
+        head, *parts = text.split(" ")
+        keys, own = [f" {head}", *parts], self.seen
         try:
-            return b"".join(map(own.__getitem__, chunks))
+            return b"".join(map(own.__getitem__, keys))
         except KeyError:
-            pass
-        new = []
-        for c in {c for c in chunks if c not in own}:
-            if (ids := self.older.get(c)) is None:
-                new.append(c)
-            else:
-                own[c] = ids
-        made: dict[str, bytes] = {}
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            made.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        own.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
-        out = b"".join(own[c] if c in own else made[c] for c in chunks)
-        if len(own) > self.MOST:  # what was not met since the last time is forgotten
-            self.seen, self.older = {}, own
-        return out
+            made = self._learn(set(keys).difference(own))
+        try:
+            return b"".join([own[k] if k in own else made[k] for k in keys])
+        except KeyError:  # a space before white space
+            return self._ids(text)
+        finally:
+            if len(own) > self.MOST:  # what was not met since the last time is forgotten
+                self.seen, self.older = {}, own
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.raw(text), self.dtype).tolist()
