@@ -42,3 +42,24 @@ def test_shards(spark):
     assert sharding.assign(df.limit(0)).collect() == []
     heavy = [r.shard for r in sharding.assign(df, weights=(3.0, 1.0)).collect()]
     assert 0.7 < heavy.count(0) / len(heavy) < 0.8
+
+
+def test_shards_against_a_plain_argmax(spark):
+    import math
+
+    import xxhash
+
+    def hashed(key, i):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        return xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
+
+    def best(key, weights):
+        scores = [w / -math.log(((hashed(key, i) >> 12) + 0.5) * 2.0**-52) for i, w in enumerate(weights)]
+        return max(range(len(scores)), key=lambda i: (scores[i], -i))
+
+    rows = [(i * 37 - 50, f"t{i}") for i in range(300)] + [(None, None), (7, "x" * 2_000_000)]
+    weights = [1.0, 2.5, 0.5, 1.0]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()
+    assert len(got) == len(rows)
+    assert all((r.shard, r.grown_shard) == (best(r.doc_id, weights), best(r.doc_id, [*weights, 1.0])) for r in got)
+    assert all(r.grown_shard in (r.shard, 4) for r in got)
