@@ -72,6 +72,7 @@ def sql(body: str, *views: str) -> str:
     """A query with the named views in front."""
     head = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in views)
     rest = body.strip()
-    if rest[:5].upper() == "WITH ":
-        return f"WITH {head}, {rest[5:]}"
+    for begin in ("WITH RECURSIVE ", "WITH "):
+        if rest.startswith(begin):
+            return f"{begin}{head}, {rest[len(begin) :]}"
     return f"WITH {head} {rest}"

@@ -148,8 +148,8 @@ def uuid_or_error(c: Column) -> Column:
 
 
 def url_decoded(c: Column) -> Column:
-    """STR18: percent escapes; a plus sign stays."""
-    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    """STR18: percent escapes; a plus sign stays, and so does a percent sign that begins no escape."""
+    return F.url_decode(F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
 
 
 def english_path(c: Column) -> Column:
@@ -168,8 +168,8 @@ def path_part(c: Column, word: str) -> Column:
 
 
 def either_key(m: Column, snake: str, camel: str) -> Column:
-    """JS8: an empty value falls through."""
-    return F.coalesce(F.nullif(F.try_element_at(m, F.lit(snake)), F.lit("")), F.nullif(F.try_element_at(m, F.lit(camel)), F.lit("")))
+    """JS8: the second name counts where the first has no value; an empty value is one."""
+    return F.coalesce(F.try_element_at(m, F.lit(snake)), F.try_element_at(m, F.lit(camel)))
 
 
 def allowed_metadata(m: Column, keys: list[str]) -> Column:

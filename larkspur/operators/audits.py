@@ -24,6 +24,11 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+def version_counts(df: DataFrame, version: str, columns: list[str]) -> DataFrame:
+    """AG17: rows and nulls of each version."""
+    return df.groupBy(version).agg(F.count("*").alias("chunks"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+
+
 def state_counts(documents: DataFrame, active: Column) -> DataFrame:
     """AG16, AG19."""
     return documents.agg(F.count("*").alias("documents"), F.count_if(active).alias("active"), F.count_if(~active).alias("inactive"))

@@ -22,10 +22,10 @@ from larkspur.functions.text import english_path
 
 VERSION = "structure-1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:larkspur:chunks")
-_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
+_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*)$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-_RULER = re.compile(r"\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)+\|?$")
-_ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])\s+\S")
+_RULER = re.compile(r"\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$")
+_ITEM = re.compile(r" {0,3}(?:[-*+]|\d+[.)])\s")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+")
 
 
@@ -52,6 +52,11 @@ class Block:
     flags: dict = field(default_factory=dict, hash=False)
 
 
+def _title(found: re.Match[str] | None) -> str:
+    """A heading's text, without the marks that close it."""
+    return found[2].rstrip(" \t").rstrip("#").strip(" \t") if found else ""
+
+
 def _lines(text: str) -> list[tuple[int, str]]:
     out, at = [], 0
     for line in text.splitlines(keepends=True):
@@ -84,7 +89,7 @@ class _Scanner:
             return "blank"
         if _FENCE.match(line):
             return "fence"
-        if _HEADING.match(line) and _HEADING.match(line)[2]:
+        if _title(_HEADING.match(line)):
             return "heading"
         if self._table(i):
             return "table"
@@ -120,7 +125,7 @@ class _Scanner:
             if kind == "heading":
                 found = _HEADING.match(self._bare(i))
                 level = len(found[1])
-                self.stack = [s for s in self.stack if s[0] < level] + [(level, found[2].strip())]
+                self.stack = [s for s in self.stack if s[0] < level] + [(level, _title(found))]
                 self.section = self.lines[i][0]
             elif kind == "table":
                 while j < n and "|" in self._bare(j):
@@ -306,11 +311,14 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", options: Opt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True), 1):
                 made = chunk_text(str(k), t.as_py(), o)
                 ids += [k] * len(made)
                 rows += made
-            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), *(pa.array([r[n] for r in rows], kind) for n, kind in _FIELDS)], names=["document_id", *(n for n, _ in _FIELDS)])
+                if len(rows) < 500 and i < b.num_rows:
+                    continue
+                yield pa.record_batch([pa.array(ids, b.schema.field(0).type), *(pa.array([r[n] for r in rows], kind) for n, kind in _FIELDS)], names=["document_id", *(n for n, _ in _FIELDS)])
+                ids, rows = [], []
 
     return docs.select(key, text).mapInArrow(run, f"document_id {docs.schema[key].dataType.simpleString()}, {_DDL}")
 

@@ -12,9 +12,6 @@ from pyspark.sql.pandas.functions import PandasUDFType
 
 _FENCED = re.compile(r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)")
 _INLINE = re.compile(r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)")
-_DEFINITION = re.compile(r"(?m)^ {0,3}\[([^\]\n]+)\]:[ \t]*\S+.*$\n?")
-
-
 def code_spans(text: str) -> list[tuple[int, int]]:
     """Where code stands: fenced blocks, then inline code outside them."""
     spans = [m.span() for m in _FENCED.finditer(text)]
@@ -32,32 +29,118 @@ def outside_code(text: str, change) -> str:
     return "".join([*out, change(text[at:])])
 
 
+def _definition(line: str) -> str | None:
+    """The label that a line defines as a link, in lower case with single spaces."""
+    bare = line.lstrip(" ")
+    if len(line) - len(bare) > 3 or not bare.startswith("["):
+        return None
+    label, closed, rest = bare[1:].partition("]:")
+    return " ".join(label.lower().split()) if closed and label.strip() and "]" not in label and "[" not in label and rest.strip() else None
+
+
+def _is_id(label: str) -> bool:
+    return label.isascii() and label.isdigit() and label[0] != "0"
+
+
+def _labels(text: str) -> set[str]:
+    """Labels of link definitions: at the start, behind a blank line or behind another definition."""
+    found, may = set(), True
+    for line in text.split("\n"):
+        label = _definition(line) if may else None
+        if label is not None:
+            found.add(label)
+        may = label is not None or not line.strip()
+    return found
+
+
+def _rewritten(text: str, change) -> str:
+    """Brackets ``[label]`` that a target in brackets follows, each replaced by what change(label, kind, target, image) says; None keeps it."""
+    out, at = [], 0
+    while (i := text.find("[", at)) >= 0:
+        end = text.find("]", i)
+        label = text[i + 1 : end] if end >= 0 else ""
+        mark = text[end + 1 : end + 2] if end >= 0 else ""
+        close = text.find(")" if mark == "(" else "]", end + 2) if mark in ("(", "[") and mark else -1
+        new = None
+        if label and "\n" not in label and close >= 0:
+            new = change(label, mark, text[end + 2 : close], text[i - 1 : i] == "!")
+        if new is None:
+            out.append(text[at : i + 1])
+            at = i + 1
+        else:
+            out += [text[at:i], new]
+            at = close + 1
+    return "".join([*out, text[at:]])
+
+
+def _without_definitions(text: str) -> str:
+    """Definitions of numbers go, with the indented lines that go on with them."""
+    kept, going = [], False
+    for line in text.splitlines(keepends=True):
+        going = (going and line[:1] in (" ", "\t") and bool(line.strip())) or _is_id(_definition(line) or "x")
+        if not going:
+            kept.append(line)
+    return "".join(kept)
+
+
 def normalise(text: str | None) -> str | None:
-    """RAG15: every form of a citation link becomes ``[n]``."""
+    """RAG15: every form of a citation link becomes ``[n]``; old links keep their label."""
     if text is None:
         return None
-    labels = {m[1].strip().lower() for m in _DEFINITION.finditer(text)}
+    old = lambda label, mark, target, _: f"[{label.strip()}]" if mark == "(" and target.startswith("citation:") and len(target) > 9 else None
+    inline = lambda label, mark, target, image: f"[{label}]" if mark == "(" and not image and _is_id(label) and "\n" not in target else None
+    now = outside_code(outside_code(text, lambda p: _rewritten(p, old)), lambda p: _rewritten(p, inline))
+    labels = _labels(now)
 
-    def change(part: str) -> str:
-        part = re.sub(r"\[[^\]\n]*\]\(citation:([^)\s]+)\)", r"[\1]", part)
-        part = re.sub(r"(?<!!)\[([1-9]\d*)\]\([^)\n]*\)", r"[\1]", part)
-        part = re.sub(r"(?<!!)\[([1-9]\d*)\]\[([^\]\n]*)\]", lambda m: f"[{m[1]}]" if (m[2] or m[1]).strip().lower() in labels else m[0], part)
-        return _DEFINITION.sub(lambda m: "" if m[1].strip().isdigit() else m[0], part)
+    def reference(label: str, mark: str, target: str, image: bool) -> str | None:
+        named = " ".join((target.strip() or label).lower().split())
+        return f"[{label}]" if mark == "[" and not image and _is_id(label) and "\n" not in target and named in labels else None
 
-    return outside_code(text, change)
+    return outside_code(outside_code(now, lambda p: _rewritten(p, reference)), _without_definitions)
 
 
-def cited(text: str | None, known: set[str]) -> list[str]:
-    """RAG16: known ids in the order of the text, each once; no code, images or links with other labels."""
-    found: list[str] = []
+def _closing(text: str, i: int, pair: str) -> int:
+    """Place of the bracket that closes the one at i; -1 if a paragraph ends first."""
+    depth = 0
+    for j in range(i, len(text)):
+        if text[j] == "\\":
+            continue
+        if text[j] == pair[0] and text[j - 1 : j] != "\\":
+            depth += 1
+        elif text[j] == pair[1] and text[j - 1 : j] != "\\":
+            depth -= 1
+            if not depth:
+                return j
+        elif text.startswith("\n\n", j):
+            return -1
+    return -1
 
-    def look(part: str) -> str:
-        for m in re.finditer(r"(?<![!\\\]])\[([1-9]\d*)\](?![(\[:])", part):
-            if m[1] in known and m[1] not in found:
-                found.append(m[1])
-        return part
 
-    outside_code(text or "", look)
+def cited(text: str | None, known: set[str]) -> list[str]:
+    """RAG16: known ids in the order of the text, each once. Code, images, definitions and links with other labels don't count; the label of a link that is a number does."""
+    plain: list[str] = []
+    outside_code(text or "", lambda p: plain.append(p) or p)
+    body, labels = "\x00".join(plain), _labels("\x00".join(plain))
+    body = "\n".join(line for line in body.split("\n") if _definition(line) not in labels)
+    found: list[str] = []
+    i = 0
+    while (i := body.find("[", i)) >= 0:
+        end = _closing(body, i, "[]")
+        if end < 0 or body[i - 1 : i] == "\\":
+            i += 1
+            continue
+        label, behind = body[i + 1 : end], end + 1
+        link = False
+        if body[behind : behind + 1] == "(" and (close := _closing(body, behind, "()")) >= 0:
+            link, behind = True, close + 1
+        elif body[behind : behind + 1] == "[" and (close := body.find("]", behind)) >= 0 and " ".join((body[behind + 1 : close] or label).lower().split()) in labels:
+            link, behind = True, close + 1
+        elif " ".join(label.lower().split()) in labels:
+            link = True
+        image = body[i - 1 : i] == "!" and link
+        if not image and _is_id(label or "x") and label in known and label not in found:
+            found.append(label)
+        i = behind if link or _is_id(label or "x") else i + 1
     return found
 
 

@@ -38,10 +38,14 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """NM3: null where a vector is zero."""
-    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when(norm > 0, _dot(a, b) / F.nullif(norm, F.lit(0.0)))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """NM3: null where a vector is zero. Norms that are known already can be given."""
+    both = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when(both > 0, _dot(a, b) / F.nullif(both, F.lit(0.0)))
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
@@ -57,7 +61,9 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_
 
     def local(block: DataFrame) -> DataFrame:
         # A stated query set against all rows: the comparison itself is the work.
-        near = chunks.join(F.broadcast(block), F.lit(True)).withColumn("distance", 1 - similarity(F.col("embedding"), F.col("vector"))).drop("vector", "embedding")
+        # Norms are computed once for each vector, not for each pair.
+        left, right = chunks.withColumn("__n", norm(F.col("embedding"))), block.withColumn("__m", norm(F.col("vector")))
+        near = left.join(F.broadcast(right), F.lit(True)).withColumn("distance", 1 - similarity(F.col("embedding"), F.col("vector"), F.col("__n"), F.col("__m"))).drop("vector", "embedding", "__n", "__m")
         return near.withColumn("__task", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k).drop("__task", "__r")
 
     def best(found: DataFrame) -> DataFrame:

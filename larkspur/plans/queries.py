@@ -3,35 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
 from larkspur.operators import audits, chunking, citations, dml, guardrails, reports, search
+from larkspur.plans import more  # noqa: F401, it adds its queries
+from larkspur.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from larkspur.session import table
 from larkspur.windows import admin_window, instructor_window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 ADMIN, TEACHER = admin_window("2024-01-05", "2024-01-20"), instructor_window("2024-01-05", "2024-01-20")
 _IN = "created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at < TIMESTAMP '2024-01-20 00:00:00'"
 _IN_EAST = "created_at >= TIMESTAMP '2024-01-05 05:00:00' AND created_at < TIMESTAMP '2024-01-20 05:00:00'"
 TODAY = dt.date(2024, 1, 29)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(
     A.sql(
         f"""WITH m AS (SELECT count(DISTINCT user_id) AS active_users, count(*) FILTER (role = 'user') AS user_queries, count(*) FILTER (role = 'assistant') AS assistant_responses,
@@ -155,27 +143,30 @@ def retrieval_log(spark, d):
 
 
 def _candidates(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), T.content_hash(F.col("text")).alias("content_hash"))
-    offsets = [F.lit(0).alias("char_start"), F.length("content").alias("char_end")]
-    return _found(spark, d, search.Settings().pool).join(docs, "chunk_id").select("query_id", "rank", "chunk_id", F.col("chunk_id").alias("document_id"), "content_hash", "content", *offsets)
+    """The nearest chunks, with contents and offsets planted so that each reason for suppression occurs."""
+    i = F.col("chunk_id")
+    digest = F.when(i % 3 != 0, F.concat(F.lit("h"), (i % 13).cast("string")))
+    start = (i % 5 * 10).cast("int")
+    found = _found(spark, d, search.Settings().pool)
+    return found.select("query_id", "rank", (i - i % 2).alias("chunk_id"), (i % 7).alias("document_id"), digest.alias("content_hash"), F.concat(F.lit(" c  "), (i % 11).cast("string")).alias("content"), start.alias("char_start"), (start + 12).alias("char_end"))
 
 
-@query(
-    A.sql(
-        _TOPK
-        + """, c AS (SELECT query_id, rank, chunk_id, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS h FROM k JOIN documents ON chunk_id = doc_id WHERE rank <= 15),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY rank) AS o FROM c),
-    s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f WHERE o = 1)
-    SELECT query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS retained FROM s WHERE place <= 5 GROUP BY 1""",
-        "v_embedding",
-    )
-)
+_FOLD = _TOPK.replace("WITH q", "WITH RECURSIVE q") + """,
+    c AS (SELECT query_id, rank, {'id': chunk_id - chunk_id % 2, 'doc': chunk_id % 7, 'h': CASE WHEN chunk_id % 3 <> 0 THEN chunk_id % 13 END, 'body': chunk_id % 11, 'a': chunk_id % 5 * 10} AS x FROM k WHERE rank <= 15),
+    f AS (SELECT query_id, 0 AS rank, [x][1:0] AS kept, NULL::VARCHAR AS reason FROM c WHERE rank = 1
+      UNION ALL SELECT query_id, rank, CASE WHEN reason IS NULL THEN list_append(kept, x) ELSE kept END, reason FROM (SELECT c.query_id, c.rank, f.kept, c.x, list_filter(list_transform(f.kept, lambda r:
+        CASE WHEN r.id = c.x.id THEN 'chunk_id' WHEN r.h = c.x.h THEN 'content_hash' WHEN (r.h IS NULL OR c.x.h IS NULL) AND r.body = c.x.body THEN 'normalized_content'
+          WHEN r.doc = c.x.doc AND greatest(0, least(r.a, c.x.a) + 12 - greatest(r.a, c.x.a)) / 12.0 >= 0.8 THEN 'overlapping_offsets' END), lambda w: w IS NOT NULL)[1] AS reason
+      FROM f JOIN c ON c.query_id = f.query_id AND c.rank = f.rank + 1))"""
+
+
+@query(A.sql(_FOLD + " SELECT query_id, array_to_string(list_transform(kept, lambda r: r.id)[1:5], ',') AS retained FROM f WHERE rank = (SELECT max(g.rank) FROM f g WHERE g.query_id = f.query_id)", "v_embedding"))
 def retrieve_dedup(spark, d):
     made = search.retrieve(_candidates(spark, d), search.Settings())
     return made.select("query_id", F.array_join("retained.chunk_id", ",").alias("retained"))
 
 
-@query()
+@query(A.sql(_FOLD + " SELECT reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY 1", "v_embedding"))
 def suppression_counts(spark, d):
     return search.suppression_counts(search.retrieve(_candidates(spark, d), search.Settings()))
 

@@ -16,7 +16,9 @@ SKIPPED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".next", "dis
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """SRC1, SRC4: (source_path, file_name, file_type, week, day, content) of each file below a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Names are filtered by Spark's listing; contents of other files are never read.
+    glob = "*.{" + ",".join(f"[{a}{a.upper()}]" + "".join(f"[{c}{c.upper()}]" for c in rest) for a, *rest in SUFFIXES) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     plain = lambda c: F.regexp_replace(c, r"^[a-z]+:/*", "/")
@@ -31,9 +33,10 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 def decoded(content: Column) -> Column:
     """SRC2: UTF-8, invalid bytes dropped, line ends as LF."""
-    text = F.replace(F.decode(F.try_validate_utf8(content.cast("string")).cast("binary"), "UTF-8"), F.lit("�"), F.lit(""))
-    loose = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
-    return F.regexp_replace(F.coalesce(text, loose), r"\r\n?", "\n")
+    raw, genuine = content.cast("string"), "\ue0fd\ue0fe"  # stands for a replacement character that the file itself holds
+    marked = F.replace(raw, F.lit("\ufffd"), F.lit(genuine))
+    loose = F.replace(F.replace(F.make_valid_utf8(marked), F.lit("\ufffd"), F.lit("")), F.lit(genuine), F.lit("\ufffd"))
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(raw), loose), r"\r\n?", "\n")
 
 
 def notebook(text: Column) -> Column:

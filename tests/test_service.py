@@ -92,13 +92,60 @@ def test_chunker_keeps_its_invariants():
         chunking.Options(10, 10)
 
 
-def test_citations(spark):
-    text = "See [1], [2](http://x), [o](citation:3), `[4]`, ![5](i), [6][lab] and [7][none]\n\n[lab]: http://y\n[8]: http://z\n"
-    now = citations.normalise(text)
-    assert "[2]," in now and "[3]," in now and "`[4]`" in now and "[6] and [7][none]" in now and "[8]:" not in now
-    assert citations.cited(now, {"1", "2", "3", "4", "5", "6"}) == ["1", "2", "3", "6"]
+def test_citations_are_normalised():
+    text = "See [1], [2](http://x), [o](citation:3), `[4](u)`, ![5](i), [6][lab] and [7][none]\n\n[lab]: http://y\n[8]: http://z\n  more\n[0]: http://w\n"
+    assert citations.normalise(text) == "See [1], [2], [o], `[4](u)`, ![5](i), [6] and [7][none]\n\n[lab]: http://y\n[0]: http://w\n"
+    assert citations.normalise("[ 3 ](citation:3) and [x](citation:%33)") == "[3] and [x]"
+    assert citations.normalise(None) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "ids"),
+    [
+        ("Both [1][2].", ["1", "2"]),
+        ("Both [1][2].\n\n[2]: https://x.example", ["1"]),
+        ("One [1].\n\n[1]: https://x.example", ["1"]),
+        ("[1]: https://x.example", []),
+        ("As in [1]: so it is, [9] too.", ["1"]),
+        ("[2](https://x.example), [1], again [2].", ["2", "1"]),
+        ("Not [docs [1] and [2]](https://x.example), but [3].", ["3"]),
+        ("[1][s], not [s [2]][d] nor [label][3]; [4].\n\n[s]: http://x\n[d]: http://x\n[3]: http://x", ["1", "4"]),
+        ("`[1]` and ![2](i.png)\n\n```\n[3]\n```\n\n[4]", ["4"]),
+        ("[", []),
+        ("", []),
+    ],
+)
+def test_cited_ids(text, ids):
+    assert citations.cited(text, {"1", "2", "3", "4"}) == ids
+
+
+def test_visible_text(spark):
     assert citations.visible("# T\n\n**bold** _x_ [l](u) ![i](u) `a*b*`\n> q\n\n| a | b |\n|---|---|\n") == "T bold x l a*b* q a b"
-    assert {r.content[:3]: r.used for r in queries.QUERIES["citations_validate"](spark, DATA).collect()} == {"See": "1,2", "Old": "2", "Ref": "1", "No ": ""}
+
+
+def test_chunker_headings_rulers_and_lists():
+    kinds = lambda t: [(c["chunk_type"], c["heading_path"]) for c in chunking.chunk_text("d", t, chunking.Options(least=0))]
+    assert kinds("# C#\n\nx y") == [("prose", ["C"])]
+    assert kinds("## A ##\n\nx y") == [("prose", ["A"])]
+    assert kinds("a | b\n- | -\n") == [("prose", [])] or kinds("a | b\n- | -\n")[0][0] != "table"
+    assert kinds("a | b\n--- | ---\n1 | 2") == [("table", [])]
+    assert kinds("1234567890. x") == [("list", [])]
+
+
+def test_genuine_replacement_characters_and_percent_signs_stay(spark):
+    rows = spark.createDataFrame([("a\ufffdb\r\n".encode(),), ("a\ufffd".encode() + b"\xffb",)], "content binary")
+    assert [r[0] for r in rows.select(corpus.decoded(F.col("content"))).collect()] == ["a\ufffdb\n", "a\ufffdb"]
+    assert [r[0] for r in spark.createDataFrame([("50%",), ("a%2Fb+%zz",)], "u string").select(T.url_decoded(F.col("u"))).collect()] == ["50%", "a/b+%zz"]
+
+
+def test_daily_activity_stream(spark, tmp_path):
+    from larkspur.streaming.activity import daily_activity
+
+    rows = [(1, dt.datetime(2024, 1, 5, 20)), (1, dt.datetime(2024, 1, 6, 2)), (1, dt.datetime(2024, 1, 6, 12))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = daily_activity(spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((str(r.activity_date), r.login_count) for r in spark.table("daily").collect()) == [("2024-01-05", 2), ("2024-01-06", 1)]
 
 
 def test_dedup_compares_with_retained_only(spark):
