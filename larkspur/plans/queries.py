@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, chunking, citations, dml, guardrails, reports, search
+from larkspur.operators import audits, chunking, citations, dml, guardrails, ingestion, reports, search
 from larkspur.plans import more  # noqa: F401, it adds its queries
 from larkspur.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from larkspur.session import table
@@ -434,3 +434,37 @@ def citations_validate(spark, d):
 def visible_text_search(spark, d):
     found = citations.search_visible(A.turns(spark, d), "the")
     return found.select("conv_id", "sequence", T.matches(F.col("visible"), "the").alias("n"))
+
+
+_INGEST = f"""WITH {_OLD.replace("'p/'", "'p/en/'")}, s AS (SELECT 'p/' || CASE page_id % 4 WHEN 3 THEN 'fr' ELSE 'en' END || '/' || 5 * page_id AS source_path, page_id % 4 AS k, CASE WHEN page_id % 4 = 2 THEN ' ' ELSE coalesce(html, '') END AS body FROM pages),
+    f AS (SELECT *, CASE WHEN k = 3 THEN 'skipped_non_english' WHEN regexp_replace(body, '[ \\t\\n\\v\\f\\r]+', '', 'g') = '' THEN 'skipped_empty' ELSE 'prepared' END AS outcome FROM s)"""
+
+
+def _ingest(spark, d, **more):
+    """Pages stand for the files of a scan: some are not English, some are blank."""
+    old = _old(spark, d).withColumn("source_path", F.concat(F.lit("p/en/"), F.col("id").cast("string")))
+    fourth = F.col("page_id") % 4
+    path = F.concat(F.lit("p/"), F.when(fourth == 3, "fr").otherwise("en"), F.lit("/"), (5 * F.col("page_id")).cast("string"))
+    scan = table(spark, d, "pages").select((-1 - F.col("page_id")).alias("id"), path.alias("source_path"), F.lit("new").alias("title"), F.when(fourth == 2, " ").otherwise(F.coalesce("html", F.lit(""))).alias("text"))
+    return ingestion.ingest(scan, old, None, F.to_timestamp_ntz(F.lit(_NOW)), ingestion.Settings("repo", "src1", reconcile=True, **more))
+
+
+@query(
+    f"""{_INGEST}, g AS (SELECT *, is_active AND (source_path IN (SELECT source_path FROM f WHERE outcome <> 'prepared') OR coalesce(course_name = 'src1', false) AND source_path NOT IN (SELECT source_path FROM f)) AS gone FROM o),
+    p AS (SELECT source_path AS path, body FROM f WHERE outcome = 'prepared')
+    SELECT coalesce(source_path, path) AS source_path, CASE WHEN path IS NOT NULL THEN 'new' ELSE title END AS title, CASE WHEN path IS NOT NULL THEN 'src1' ELSE course_name END AS course_name,
+      CASE WHEN path IS NOT NULL THEN sha256(regexp_replace(body, '\\r\\n?', chr(10), 'g')) ELSE content_hash END AS content_hash, path IS NOT NULL OR (is_active AND NOT gone) AS is_active,
+      CASE WHEN path IS NULL THEN CASE WHEN gone THEN TIMESTAMP '{_NOW}' ELSE deleted_at END END AS deleted_at, path IS NOT NULL AS chunked
+    FROM g FULL JOIN p ON source_path = path"""
+)
+def corpus_ingest(spark, d):
+    made = _ingest(spark, d)
+    chunked = made.chunks.select("source_path").distinct().withColumn("chunked", F.lit(True))
+    return made.documents.join(chunked, "source_path", "left").select("source_path", "title", "course_name", "content_hash", "is_active", "deleted_at", F.coalesce("chunked", F.lit(False)).alias("chunked"))
+
+
+@query(f"{_INGEST} SELECT count(*) AS discovered, count(*) FILTER (outcome = 'prepared') AS prepared, count(*) FILTER (outcome = 'skipped_non_english') AS skipped_non_english, count(*) FILTER (outcome = 'skipped_empty') AS skipped_empty, 0::BIGINT AS failed, (SELECT count(*) FROM o) AS documents FROM f")
+def corpus_ingest_dry_run(spark, d):
+    made = _ingest(spark, d, dry_run=True)
+    counts = [F.lit(made.counts[c]).cast("long").alias(c) for c in ("discovered", "prepared", "skipped_non_english", "skipped_empty", "failed")]
+    return made.documents.agg(F.count("*").alias("documents")).select("documents", *counts)

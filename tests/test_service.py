@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import chunking, citations, dml, guardrails, reports, search
+from larkspur.operators import chunking, citations, dml, guardrails, ingestion, reports, search
 from larkspur.plans import queries
 from larkspur.sources import corpus
 from larkspur.windows import instructor_window, month_range, resolve
@@ -223,3 +223,25 @@ def test_rate_limit_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     got = {r.event_id: r.admitted for r in spark.table("admitted").collect()}
     assert [got[i] for i in range(15)] == [True] * 10 + [False] * 5 and got[99]
+
+
+def test_ingest_keeps_unread_files_and_replaces_chunks(spark):
+    now = F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
+    fields = "id long, source_type string, source_path string, title string, course_name string, content_hash string, is_active boolean, deleted_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
+    old = spark.createDataFrame([(i, "repo", f"x/en/{p}", "t", "c", "h", True, None, None, None) for i, p in enumerate("abcd")], fields)
+    scan = lambda b: spark.createDataFrame([(10, "x/en/a", "n", "# A\n\nwords"), (11, "x/en/b", "n", b), (12, "x/en/e", "n", "more"), (13, "x/fr/c", "n", "pas")], "id long, source_path string, title string, text string")
+    settings = ingestion.Settings("repo", "c", reconcile=True, dimensions=8)
+    active = lambda made: sorted(r.source_path for r in made.documents.where("is_active").collect())
+    blank = ingestion.ingest(scan(" \n"), old, None, now, settings, chunking.hash_embedder(8))
+    assert active(blank) == ["x/en/a", "x/en/e"] and blank.counts["skipped_empty"] == 1
+    assert sorted((r.source_path, len(r.embedding)) for r in blank.chunks.collect()) == [("x/en/a", 8), ("x/en/e", 8)]
+    failed = ingestion.ingest(scan(None), old, None, now, settings)
+    assert active(failed) == ["x/en/a", "x/en/b", "x/en/c", "x/en/d", "x/en/e"] and failed.counts["failed"] == 1
+    again = ingestion.ingest(scan("b now"), old, failed.chunks, now, settings)
+    assert sorted((r.source_path, r.content) for r in again.chunks.collect()) == [("x/en/a", "# A\n\nwords"), ("x/en/b", "b now"), ("x/en/e", "more")]
+    with pytest.raises(ValueError, match="could not be read"):
+        ingestion.ingest(scan(None), old, None, now, ingestion.Settings(fail_fast=True))
+    with pytest.raises(ValueError, match="more than once"):
+        ingestion.ingest(scan("b").union(scan("b")), old, None, now, settings)
+    empty = ingestion.ingest(scan("b").limit(0), old, None, now, settings)
+    assert active(empty) == ["x/en/a", "x/en/b", "x/en/c", "x/en/d"] and empty.chunks is None
