@@ -216,10 +216,27 @@ def guardrail_scan(spark, d):
     return A.turns(spark, d).select("conv_id", "sequence", "content").unionByName(more).select("conv_id", "sequence", guardrails.check_input(F.col("content"))["rail"].alias("rail"))
 
 
-@query()
+#: Planted answers of a judge, and what is made of them: blocked, reason, confidence, missing, invalid.
+_JUDGED = [
+    ('{"blocked": true, "reason": "r", "confidence": 0.5}', "true, 'r', 0.5, 'rail', ''"),
+    ('```json\n{"blocked": false}\n```', "false, 'no reason given', NULL, 'reason,rail,confidence', ''"),
+    ('text {"blocked": "yes"} more', "true, 'no reason given', NULL, 'reason,rail,confidence', 'blocked'"),
+    ("nothing", "true, 'no reason given', NULL, 'blocked,reason,rail,confidence', ''"),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    "SELECT answer, blocked, reason, 'judge' AS rail, CAST(confidence AS DOUBLE) AS confidence, missing, invalid FROM (SELECT props AS answer, true AS blocked, 'no reason given' AS reason, NULL AS confidence, 'blocked,reason,rail,confidence' AS missing, '' AS invalid FROM events UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({_quoted(t)}, {made})" for t, made in _JUDGED)
+    + "))"
+)
 def judge_normalise(spark, d):
-    answers = ['{"blocked": true, "reason": "r", "confidence": 0.5}', '```json\n{"blocked": false}\n```', 'text {"blocked": "yes"} more', "nothing"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, answers))).alias("answer"))
+    planted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t, _ in _JUDGED])).alias("answer"))
+    rows = table(spark, d, "events").select(F.col("props").alias("answer")).unionByName(planted)
     return rows.select("answer", guardrails.normalised_verdict(guardrails.judge_json(F.col("answer"))).alias("v")).select("answer", "v.blocked", "v.reason", "v.rail", "v.confidence", F.array_join("v.missing", ",").alias("missing"), F.array_join("v.invalid", ",").alias("invalid"))
 
 
@@ -404,7 +421,7 @@ def chunk_documents(spark, d):
     return chunking.chunk(table(spark, d, "documents")).drop("metadata")
 
 
-@query()
+@query(more.NO_VIOLATIONS)
 def chunk_audit(spark, d):
     return audits.chunk_audit(chunking.chunk(table(spark, d, "documents")))
 
@@ -419,12 +436,19 @@ def ingestion_summary(spark, d):
     return chunking.summary(chunking.prepared(table(spark, d, "pages"), "url", "html"))
 
 
-_ANSWERS = ["See [1] and [2](http://x) but `[3]` and ![4](i).", "Old [a](citation:2) form, again [2].", "Ref [1][one]\n\n[one]: http://y\n[1]: http://z\n", "No citation."]
+#: Planted answers, what is shown of them, and the records used.
+_ANSWERS = [
+    ("See [1] and [2](http://x) but `[3]` and ![4](i).", "See [1] and [2] but `[3]` and ![4](i).", "1,2"),
+    ("Old [a](citation:2) form, again [2].", "Old [a] form, again [2].", "2"),
+    ("Ref [1][one]\n\n[one]: http://y\n[1]: http://z\n", "Ref [1]\n\n[one]: http://y\n", "1"),
+    ("No citation.", "No citation.", ""),
+]
 
 
-@query()
+@query("SELECT text AS content, text AS answer, '' AS used FROM conversations WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({_quoted(t)}, {_quoted(a)}, '{u}')" for t, a, u in _ANSWERS) + ")")
 def citations_validate(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _ANSWERS))).alias("content"))
+    planted = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t, _, _ in _ANSWERS])).alias("content"))
+    rows = table(spark, d, "conversations").where("text is not null").select(F.col("text").alias("content")).unionByName(planted)
     records = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.cast("string").alias("citationId"), F.concat(F.lit("h"), i.cast("string")).alias("heading")))
     made = citations.validated(rows.withColumn("records", records))
     return made.select("content", "answer", F.array_join("used.citationId", ",").alias("used"))
