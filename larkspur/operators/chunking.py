@@ -25,8 +25,8 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:larkspur:chunks")
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*)$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 _RULER = re.compile(r"\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$")
-_ITEM = re.compile(r" {0,3}(?:[-*+]|\d+[.)])\s")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+")
+_ITEM = re.compile(r" {0,3}(?:[-*+]|\d+[.)])[ \t]")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 
 
 @dataclass(frozen=True)

@@ -52,6 +52,7 @@ def test_a_ruler_has_three_dashes_and_two_columns():
 
 def test_lists_go_on_over_indented_lines():
     assert kinds("- a\n  more\n12345678901) b\nc\n") == [("list", "- a\n  more\n12345678901) b"), ("prose", "c")]
+    assert kinds("-\u00a0a\n") == [("prose", "-\u00a0a")]
 
 
 def test_a_fence_closes_on_its_own_kind_and_length():
@@ -95,6 +96,7 @@ def test_sentences_are_packed_and_a_long_one_is_sliced_without_overlap():
     made = chunks('He said "go." She went.\nThen ' + "x" * 150)
     assert made[0]["content"] == 'He said "go." She went.' and {flags(c)["split_reason"] for c in made} == {"sentences"}
     assert all(a["char_end"] <= b["char_start"] for a, b in zip(made, made[1:], strict=False))
+    assert {flags(c)["split_reason"] for c in chunks("He said “go.” " + "and so on " * 8)} == {"whitespace"}  # a curly quote ends no sentence
 
 
 def test_one_sentence_is_cut_at_white_space_and_one_word_by_characters():
