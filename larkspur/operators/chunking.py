@@ -22,6 +22,7 @@ from larkspur.functions.text import english_path
 
 VERSION = "structure-1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:larkspur:chunks")
+# What begins a heading, a fence, a table and a list, and what ends a sentence, decides the chunks.
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*)$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
 _RULER = re.compile(r"\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$")
