@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, decontaminate, quality, sharding, simhash, substrings, suffixes, warc, wavelet
+from larkspur.llm import bpe, chat, decontaminate, interactions, quality, sharding, simhash, substrings, suffixes, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,42 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""
+    WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    seen AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+    worded AS (SELECT doc_id, part, t, least, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts JOIN seen USING (t)),
+    said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+    docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+      FROM worded LEFT JOIN said USING (doc_id)),
+    cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM docs GROUP BY part, mask),
+    f(letter, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    perms AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.own, b.own, c.own, d.own, e.own] AS owns
+      FROM f a, f b, f c, f d, f e WHERE a.own | b.own | c.own | d.own | e.own = 31),
+    steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, owns[s] AS own, coalesce(list_sum(owns[1:s - 1]), 0) AS before FROM perms, range(1, 6) r(s)),
+    made AS (SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (mask & (before + own) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS toxic_lost
+      FROM cells, steps GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+      CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+      CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM made
+    """
+)
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
