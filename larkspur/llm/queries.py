@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, decontaminate, interactions, quality, sharding, simhash, substrings, suffixes, warc, wavelet
+from larkspur.llm import bpe, chat, decontaminate, interactions, phrases, quality, sharding, simhash, substrings, suffixes, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,32 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query(
+    r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    numbered AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+    words AS (SELECT piece, lang, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM numbered),
+    runs AS (SELECT lang, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c, lead(a, 3) OVER s AS d FROM words WINDOW s AS (PARTITION BY piece ORDER BY i)),
+    each_size AS (SELECT lang, 1 AS m, a AS phrase FROM runs UNION ALL SELECT lang, 2, a || ' ' || b FROM runs WHERE b IS NOT NULL
+      UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM runs WHERE d IS NOT NULL),
+    grams AS (SELECT lang, m, phrase, count(*) AS f FROM each_size GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+    found AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM grams WHERE m >= 2 AND f >= 30),
+    cuts AS (SELECT lang, m, phrase, f, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS rest FROM found, range(1, 4) places(k) WHERE k < m),
+    scored AS (SELECT c.lang, c.m, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+      FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = head JOIN grams y ON y.lang = c.lang AND y.phrase = rest),
+    worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+    inner_phrases AS (SELECT lang, array_to_string(w[s:s + z - 1], ' ') AS phrase, max(f) AS most FROM found, range(1, 4) starts(s), range(2, 4) lengths(z) WHERE z < m AND s + z - 1 <= m GROUP BY ALL),
+    kept AS (SELECT w.lang, w.phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM worst w JOIN totals t ON t.lang = w.lang LEFT JOIN inner_phrases i ON i.lang = w.lang AND i.phrase = w.phrase
+      WHERE place = 1 AND (most IS NULL OR 100 * most < 80 * a)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
