@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from larkspur.llm import bpe, chat, decontaminate, interactions, phrases, quality, sharding, simhash, substrings, suffixes, warc, wavelet
+from larkspur.llm import bpe, chat, decontaminate, innerproduct, interactions, phrases, quality, sharding, simhash, substrings, suffixes, warc, wavelet
 from larkspur.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,19 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query(
+    r"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """
+)
+def op12_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return innerproduct.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query(
     r"""
     WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
