@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,38 +47,6 @@ def similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Colum
     return F.when(both > 0, _dot(a, b) / F.nullif(both, F.lit(0.0)))
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """RAG10, JN1, JN13, SO1: for each query the k nearest chunks, ties by chunk id.
-
-    chunks: chunk_id, embedding and what else is wanted, filtered by contract and activity before. Each
-    task keeps the k best of each query before anything is shuffled. queries: (query_id, vector), broadcast in
-    blocks of about ``most_queries`` rows of one vector each; with more than one block, what a block finds is written
-    to the checkpoint folder (without one, all blocks are one plan).
-    """
-    n_blocks = -(-queries.count() // most_queries) or 1
-    part, ranked = W.partitionBy("query_id", "__task").orderBy("distance", "chunk_id"), W.partitionBy("query_id").orderBy("distance", "chunk_id")
-
-    def local(block: DataFrame) -> DataFrame:
-        # A stated query set against all rows: the comparison itself is the work.
-        # Norms are computed once for each vector, not for each pair.
-        left, right = chunks.withColumn("__n", norm(F.col("embedding"))), block.withColumn("__m", norm(F.col("vector")))
-        near = left.join(F.broadcast(right), F.lit(True)).withColumn("distance", 1 - similarity(F.col("embedding"), F.col("vector"), F.col("__n"), F.col("__m"))).drop("vector", "embedding", "__n", "__m")
-        return near.withColumn("__task", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k).drop("__task", "__r")
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-
-    if n_blocks == 1:
-        found = best(local(queries))
-    else:
-        # A query's rows all have one hash, so each block has its final ranks.
-        number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        kept = queries.sparkSession.sparkContext.getCheckpointDir() is not None
-        made = (best(local(queries.where(number == i))) for i in range(n_blocks))
-        found = reduce(DataFrame.unionByName, [m.checkpoint() if kept else m for m in made])
-    return found.withColumn("similarity", 1 - F.col("distance"))
-
-
 CANDIDATE = "struct<rank:int,chunk_id:string,document_id:string,content_hash:string,content:string,char_start:int,char_end:int>"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, chunking, citations, dml, guardrails, ingestion, reports, search
+from larkspur.operators import audits, chunking, citations, dml, guardrails, ingestion, nearest, reports, search
 from larkspur.plans import more  # noqa: F401, it adds its queries
 from larkspur.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from larkspur.session import table
@@ -128,7 +128,7 @@ _TOPK = """WITH q AS (SELECT vec_id AS query_id, embedding AS vector FROM embedd
 def _found(spark, d, k):
     chunks = A.embeddings(spark, d).where(search.contract("local", "m1", 64) & F.col("is_active"))
     queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.top_k(chunks.select("chunk_id", "document_id", "embedding"), queries, k)
+    return nearest.nearest(chunks.select("chunk_id", "document_id", "embedding"), queries, k)
 
 
 @query(A.sql(_TOPK + " SELECT query_id, chunk_id, document_id, rank, round(abs(distance), 6) AS distance FROM k WHERE rank <= 15", "v_embedding"))

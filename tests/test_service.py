@@ -158,17 +158,6 @@ def test_dedup_compares_with_retained_only(spark):
         search.Settings(top_k=60)
 
 
-def test_top_k_in_blocks_of_queries(spark):
-    rng = random.Random(4)
-    vector = lambda: [rng.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(4)]
-    chunks = spark.createDataFrame([(i, vector()) for i in range(300)], "chunk_id long, embedding array<double>")
-    asked = spark.createDataFrame([(i, vector()) for i in range(57)], "query_id long, vector array<double>")
-    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.similarity) for r in df.collect())
-    whole = rows(search.top_k(chunks, asked, 3))
-    assert rows(search.top_k(chunks, asked, 3, most_queries=10)) == whole and len(whole) == 57 * 3
-    assert search.top_k(chunks, asked.limit(0), 3).collect() == []
-
-
 def test_guardrails(spark):
     df = spark.range(1).select(F.array(guardrails.no_check(F.lit("ok")), guardrails.check_input(F.lit("my password"))).alias("c"))
     got = df.select(guardrails.composite(F.col("c")).alias("g")).first().g
