@@ -45,7 +45,7 @@ from larkspur.llm.repeats import mix
 #: Bytes of text whose tries are made at once, and bits of a filter (16 MB).
 SHARD_BYTES, FILTER_BITS = 16 << 20, 27
 #: Pieces that are merged at once.
-FAN = 64
+FAN = 512
 _U, KEY_BITS = np.uint64, 40
 # Bytes between the words of a piece, and between pieces.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -102,8 +102,8 @@ class Filter:
         return (self.data[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def shards(texts: DataFrame, make: Callable[[str, list[bytes]], Iterator[tuple]], schema: str, shard_bytes: int) -> DataFrame:
-    """``make`` on the texts of each shard and language; it gives rows without the number of the run, which comes first. texts: (t, lang)."""
+def shards(texts: DataFrame, make: Callable[[dict[str, list[bytes]]], Iterator[tuple]], schema: str, shard_bytes: int) -> DataFrame:
+    """``make`` on the texts of each shard by language; it gives rows without the number of the run, which comes first. texts: (t, lang)."""
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = _arrow(schema).types
 
@@ -113,7 +113,7 @@ def shards(texts: DataFrame, make: Callable[[str, list[bytes]], Iterator[tuple]]
 
         def flush():
             nonlocal held, size, number
-            rows = [(part << 32 | number, *r) for lang, texts in held.items() for r in make(lang, texts)]
+            rows = [(part << 32 | number, *r) for r in make(held)]
             held, size, number = {}, 0, number + 1
             for i in range(0, len(rows), 64):
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names=names)
@@ -307,9 +307,12 @@ def merge_tries(tries: list[Trie]) -> Trie | None:
     return merged
 
 
+PIECE = ("lang", "word", "hash", "n", "pairs", "levels")
+
+
 def merge_rows(rows: list[dict]) -> dict:
     merged = merge_tries([Trie.unpack(r) for r in rows]) if all(r["levels"] is not None for r in rows) else None
-    return merged.pack() if merged else dict.fromkeys(("lang", "word", "hash", "n", "pairs", "levels"))
+    return merged.pack() if merged else dict.fromkeys(PIECE)
 
 
 TRIES = "run long, bucket int, lang array<string>, word array<binary>, hash binary, n binary, pairs array<binary>, levels array<binary>"
@@ -353,29 +356,44 @@ def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words
     # A range holds some megabytes of each round's pieces.
     bits = min(16, max(3, int(np.ceil(np.log2(max(1, size / (8 << 20)))))))
 
-    def word_rows(name: str, bodies: list[bytes]) -> Iterator[tuple]:
-        found = Words(name, bodies, seed)
-        yield None, None, None, name, len(found.at)
-        for row in key_runs(found.hashes, found.counts, bits):
-            yield *row, name, 0
+    def joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        """Languages differ in their hashes, so those of a shard are one run."""
+        keys, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return key_runs(*summed(keys, counts), bits)
+
+    def word_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
+        made = []
+        for name, bodies in held.items():
+            found = Words(name, bodies, seed)
+            made.append((found.hashes, found.counts))
+            yield None, None, None, name, len(found.at)
+        for row in joined(made):
+            yield *row, None, 0
 
     runs = materialize(shards(texts, word_rows, RUNS + ", lang string, words long", shard_bytes), "word-runs")
     totals = runs.where("bucket is null").groupBy("lang").agg(F.sum("words").alias("n"))
     words = spark.sparkContext.broadcast(frequent(runs.where("bucket is not null").drop("lang", "words"), least, bits, filter_bits, fan))
 
-    def pair_rows(name: str, bodies: list[bytes]) -> Iterator[tuple]:
-        found = Words(name, bodies, seed)
-        alive, a, b = words.value.has(found.hashes), found.at[:-1], found.at[1:]
-        live = found.goes_on & alive[a] & alive[b]
-        keys, counts = np.unique(a[live] * max(1, len(alive)) + b[live], return_counts=True)
-        hashes = pair_hash(found.hashes[keys // max(1, len(alive))], found.hashes[keys % max(1, len(alive))])
-        yield from key_runs(*summed(hashes, counts), bits)
+    def pair_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
+        made = []
+        for name, bodies in held.items():
+            found = Words(name, bodies, seed)
+            alive, a, b = words.value.has(found.hashes), found.at[:-1], found.at[1:]
+            live = found.goes_on & alive[a] & alive[b]
+            size = max(1, len(alive))
+            keys, counts = np.unique(a[live] * size + b[live], return_counts=True)
+            made.append((pair_hash(found.hashes[keys // size], found.hashes[keys % size]), counts))
+        yield from joined(made)
 
     pairs = spark.sparkContext.broadcast(frequent(materialize(shards(texts, pair_rows, RUNS, shard_bytes), "pair-runs"), least, bits, filter_bits, fan))
 
-    def trie_rows(name: str, bodies: list[bytes]) -> Iterator[tuple]:
-        made = trie_of(Words(name, bodies, seed), words.value, pairs.value, most_words)
-        for bucket, piece in made.pieces(bits):
+    def trie_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
+        made = [trie_of(Words(name, bodies, seed), words.value, pairs.value, most_words) for name, bodies in held.items()]
+        whole = merge_tries(made) if len(made) > 1 else made[0]
+        if whole is None:
+            yield 0, *dict.fromkeys(PIECE).values()
+            return
+        for bucket, piece in whole.pieces(bits):
             yield bucket, *piece.pack().values()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def test_equal_hashes_are_seen(spark, monkeypatch):
 
     assert phrases.merge_tries([trie(b"x"), trie(b"x")]).counts.tolist() == [6]
     assert phrases.merge_tries([trie(b"x"), trie(b"y")]) is None
-    assert phrases.merge_rows([trie(b"x").pack(), dict.fromkeys(("lang", "word", "hash", "n", "pairs", "levels"))])["levels"] is None
+    assert phrases.merge_rows([trie(b"x").pack(), dict.fromkeys(phrases.PIECE)])["levels"] is None
     assert phrases.clash().to_pylist()[0]["depth"] == 0
 
 
