@@ -135,33 +135,6 @@ def attempts_in_window(events: DataFrame, seconds: int = 60, most: int = 10) ->
     return events.select("event_id", "user_id", at.alias("at")).withColumn("attempts", F.count("*").over(w)).select("event_id", "user_id", "attempts", (F.col("attempts") > most).alias("over"))
 
 
-def admitted(events: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
-    """WN7: moving-window rate limit; refused events don't count. (event_id, user_id, admitted).
-
-    A pause of ``seconds`` clears the window, so each stretch without one is folded by itself; repeated rows count each.
-    """
-    micros = seconds * 1_000_000
-    order = W.partitionBy("user_id").orderBy("at", "event_id")
-    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    fresh = F.coalesce((F.col("at") - F.lag("at").over(order) >= micros).cast("int"), F.lit(1))
-    stretch = F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))
-    runs = rows.withColumn("fresh", fresh).withColumn("run", stretch).groupBy("user_id", "run").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("e"))
-    start = F.struct(F.array().cast("array<bigint>").alias("times"), F.array().cast("array<struct<event_id:bigint,admitted:boolean>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        live = F.filter(acc["times"], lambda t: t > e["at"] - micros)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.array_append(live, e["at"])).otherwise(live).alias("times"), F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("admitted"))).alias("out"))
-
-    return runs.select("user_id", F.inline(F.aggregate("e", start, step)["out"])).select("event_id", "user_id", "admitted")
-
-
-def recent_user_turns(turns: DataFrame, n: int = 3) -> DataFrame:
-    """WN2: the last completed user messages of each conversation."""
-    done = turns.where((F.col("role") == "user") & (F.col("status") == "completed"))
-    return done.withColumn("back", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("sequence")))).where(F.col("back") <= n)
-
-
 def status_rollup(checks: DataFrame) -> DataFrame:
     """AG11: the worst status wins."""
     rank = F.max(F.when(F.col("status") == "unhealthy", 3).when(F.col("status") == "degraded", 2).when(F.col("status") == "ok", 1).otherwise(0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, chunking, citations, conversations, dml, guardrails, reports, search
+from larkspur.operators import audits, chunking, citations, conversations, dml, guardrails, ratelimit, reports, search
 from larkspur.plans.registry import query
 from larkspur.session import table
 from larkspur.windows import clerk_time, elapsed_ms
@@ -283,7 +283,7 @@ def overlaps(spark, d):
     SELECT event_id, user_id, admitted FROM f"""
 )
 def rate_limit_admissions(spark, d):
-    return reports.admitted(table(spark, d, "events"))
+    return ratelimit.admitted(table(spark, d, "events"))
 
 
 #: What is planted behind a turn's text, the answer that is shown, and the records used.

@@ -1,14 +1,12 @@
-"""Structured Streaming forms of the event operators (DML7, DML8, DML15, WN7, EV2)."""
+"""Structured Streaming forms of the event operators (DML7, DML8, DML15, EV2; the rate limit is in operators/ratelimit.py)."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators import dml
 from larkspur.sources.corpus import read_snapshot, write_snapshot
@@ -23,28 +21,6 @@ def daily_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
     return found.select("user_id", F.to_date("day_start").alias("activity_date"), "first_seen_at", "last_seen_at", "login_count")
 
 
-def admissions(events: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
-    """WN7: moving-window rate limit by user; refused events don't count. The state of a user is at most ``most`` times. Events are put in order inside a micro-batch only."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        out = []
-        for at, event in sorted((r.ts.timestamp(), r.event_id) for f in frames for r in f.itertuples()):
-            times = [t for t in times if t > at - seconds]
-            ok = len(times) < most
-            if ok:
-                times.append(at)
-            out.append((key[0], event, ok))
-        state.update((times,))
-        state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def profile_sink(root: str) -> Callable[[DataFrame, int], None]:
     """DML8, DML15: for foreachBatch; each batch is merged into a new snapshot."""
 

@@ -202,18 +202,6 @@ def test_embedding_keeps_order_and_checks_lengths(spark):
         chunking.embed(chunks.select("content"), chunking.hash_embedder(8), 16).collect()
 
 
-def test_rate_limit_stream(spark, tmp_path):
-    from larkspur.streaming.activity import admissions
-
-    at = dt.datetime(2024, 1, 1)
-    rows = [(1, i, at + dt.timedelta(seconds=i)) for i in range(15)] + [(1, 99, at + dt.timedelta(seconds=65))]
-    spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = admissions(spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r.event_id: r.admitted for r in spark.table("admitted").collect()}
-    assert [got[i] for i in range(15)] == [True] * 10 + [False] * 5 and got[99]
-
-
 def test_ingest_keeps_unread_files_and_replaces_chunks(spark):
     now = F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
     fields = "id long, source_type string, source_path string, title string, course_name string, content_hash string, is_active boolean, deleted_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
