@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -30,3 +33,17 @@ def build_session(master: str | None = None, app: str = "larkspur", **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table, read by Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="larkspur-shared-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

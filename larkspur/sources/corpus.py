@@ -1,9 +1,7 @@
-"""Course files as a table (SRC1-SRC8), and the snapshot writer (SNK2, DML2): readers and writers of Spark only, so any Hadoop path works."""
+"""Course files as a table (SRC1-SRC8): readers and writers of Spark only, so any Hadoop path works."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,26 +65,3 @@ def write_json(df: DataFrame, path: str, text: str = "text") -> None:
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).json(path)
-
-
-def append(df: DataFrame, path: str, required: tuple[str, ...] = ()) -> None:
-    """SNK1-SNK3: append rows; a missing required value is an error before anything is written."""
-    if required:
-        bad = F.greatest(*[F.col(c).isNull() for c in required], F.lit(False))
-        first = df.columns[0]
-        df = df.withColumn(first, F.when(bad, F.raise_error(F.lit(f"a row lacks one of {required}")).cast(df.schema[first].dataType)).otherwise(F.col(first)))
-    df.write.mode("append").parquet(path)
-
-
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """DML2: a new version beside the old ones, then the pointer; readers of the old version go on undisturbed."""
-    name = uuid.uuid4().hex
-    df.write.parquet(f"{root}/{name}")
-    spark = df.sparkSession
-    spark.range(1).select(F.lit(name).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/_versions_log")
-    return name
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    log = spark.read.parquet(f"{root}/_versions_log").orderBy(F.desc("at")).limit(1)
-    return spark.read.parquet(f"{root}/{log.first()['version']}")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import dml
-from larkspur.sources.corpus import read_snapshot, write_snapshot
+from larkspur.sources.versions import Store, Transaction, batched
 from larkspur.windows import eastern_date
 
 
@@ -21,13 +21,32 @@ def daily_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
     return found.select("user_id", F.to_date("day_start").alias("activity_date"), "first_seen_at", "last_seen_at", "login_count")
 
 
-def profile_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """DML8, DML15: for foreachBatch; each batch is merged into a new snapshot."""
+PROFILES = "clerk_id string, first_name string, last_name string, role string, clerk_profile_updated_at timestamp, deleted_at timestamp"
 
-    def run(batch: DataFrame, _: int) -> None:
-        old = read_snapshot(batch.sparkSession, root)
-        merged = dml.merge_profiles(old, dml.dispatch(batch)["upserts"]).drop("applied")
-        write_snapshot(dml.soft_delete(merged, dml.dispatch(batch)["deletes"].select("clerk_id", F.col("profile_at").alias("event_at"))), root)
+
+def merge_account_events(old: DataFrame, events: DataFrame) -> DataFrame:
+    """DML8, DML11, DML15: profile updates and deletions of one batch. events: type, clerk_id, first_name, last_name, profile_at, arrival. A deletion of an unknown account does nothing, unless an update of the same batch makes the account."""
+    sides = dml.dispatch(events)
+    merged = dml.merge_profiles(old, sides["upserts"]).drop("applied")
+    return dml.soft_delete(merged, sides["deletes"].select("clerk_id", F.col("profile_at").alias("event_at")))
+
+
+def profile_sink(root: str, writer: str = "profiles", table: str = "user_account", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: only buckets with a changed account are rewritten, and a batch that comes again does nothing."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        store = Store(batch.sparkSession, root)
+
+        def work(t: Transaction) -> None:
+            if table not in t.tables:
+                t.put(table, batch.sparkSession.createDataFrame([], PROFILES), ("clerk_id",), buckets)
+            t.merge(table, batch.where("clerk_id is not null"), merge_account_events)
+
+        batch.persist()
+        try:
+            batched(store, writer, number, work)
+        finally:
+            batch.unpersist()
 
     return run
 

@@ -179,7 +179,7 @@ def test_merges(spark):
         dml.deactivate(old, spark.createDataFrame([], "source_path string"), F.current_timestamp(), "repo")
 
 
-def test_corpus_files_and_snapshots(spark, tmp_path):
+def test_corpus_files(spark, tmp_path):
     for name, body in (("week1/en/a.md", b"# A\r\nx\xff"), ("node_modules/b.md", b"no"), ("c.PY", b"print()"), ("d.bin", b"no"), ("Monday.ipynb", b'{"cells":[{"cell_type":"code","source":["a","b"]},{"source":"c"}]}')):
         p = tmp_path / "root" / name
         p.parent.mkdir(parents=True, exist_ok=True)
@@ -188,10 +188,6 @@ def test_corpus_files_and_snapshots(spark, tmp_path):
     assert set(got) == {"week1/en/a.md", "c.PY", "Monday.ipynb"}
     assert got["week1/en/a.md"].text == "# A\nx" and got["week1/en/a.md"].week == "week1"
     assert got["Monday.ipynb"].text == "[code cell]\nab\n\n[unknown cell]\nc" and got["Monday.ipynb"].day == "Monday.ipynb"
-    root = str(tmp_path / "snap")
-    corpus.write_snapshot(spark.range(3).toDF("id"), root)
-    corpus.write_snapshot(spark.range(5).toDF("id"), root)
-    assert corpus.read_snapshot(spark, root).count() == 5
 
 
 def test_embedding_keeps_order_and_checks_lengths(spark):
