@@ -43,7 +43,7 @@ from larkspur.llm.common import materialize
 from larkspur.llm.repeats import mix
 
 #: Bytes of text whose tries are made at once, and bits of a filter (16 MB).
-SHARD_BYTES, FILTER_BITS = 16 << 20, 27
+SHARD_BYTES, FILTER_BITS = 8 << 20, 27
 #: Pieces that are merged at once.
 FAN = 512
 _U, KEY_BITS = np.uint64, 40
@@ -145,23 +145,23 @@ def key_runs(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tupl
         yield i, np.diff(some, prepend=_U(0)).tobytes(), small[at[i] : at[i + 1]].tobytes()
 
 
-def in_rounds(runs: DataFrame, merge: Callable[[list[dict]], dict], schema: str, fan: int) -> DataFrame:
-    """Merge the runs of each bucket, at most about ``fan`` at once, until each bucket has one. Each round is written."""
+def in_rounds(runs: DataFrame, merge: Callable[[list[dict]], dict], schema: str, last: Callable[[dict], pa.Table], made: str, fan: int) -> DataFrame:
+    """Merge the runs of each bucket, at most about ``fan`` at once, until each bucket has one, of which ``last`` makes rows. Each round before the last is written."""
     columns = [f.split()[0] for f in schema.split(", ")]
 
-    def meet(group: pa.Table) -> pa.Table:
+    def meet(group: pa.Table) -> dict:
         rows = group.to_pylist()
-        return pa.Table.from_pylist([{"run": rows[0]["run"], "bucket": rows[0]["bucket"], **merge(rows)}]).select(columns).cast(_arrow(schema))
+        return {"run": rows[0]["run"], "bucket": rows[0]["bucket"], **merge(rows)}
 
-    def one_round(df: DataFrame, groups: int) -> DataFrame:
-        return df.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(groups))).groupBy("bucket", "run").applyInArrow(meet, schema)
+    def again(group: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([meet(group)]).select(columns).cast(_arrow(schema))
 
     left = runs.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
     while left > fan:
         groups = -(-left // fan)
-        runs = materialize(one_round(runs, groups), "runs")
+        runs = materialize(runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(groups))).groupBy("bucket", "run").applyInArrow(again, schema), "runs")
         left = groups
-    return one_round(runs, 1)
+    return runs.groupBy("bucket").applyInArrow(lambda group: last(meet(group)), made)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -187,17 +187,13 @@ def frequent(runs: DataFrame, least: int, bits: int, filter_bits: int, fan: int)
     """The filter of the keys whose counts add up to ``least``. What comes to the driver is the filter, whose size is fixed."""
     size = 1 << (filter_bits - bits)
 
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out = np.zeros(size, bool)
-                hit = np.cumsum(np.frombuffer(keys, _U))[np.frombuffer(counts, np.uint32) >= least]
-                out[hit >> _U(KEY_BITS - filter_bits)] = True
-                made.append(np.packbits(out, bitorder="little").tobytes())
-            yield pa.record_batch([b.column(2), pa.array(made, pa.binary())], names=["bucket", "bits"])
-
-    done = in_rounds(runs, merge_keys, RUNS, fan).select("keys", "counts", "bucket").mapInArrow(set_bits, "bucket int, bits binary")
+    def set_bits(row: dict) -> pa.Table:
+        out = np.zeros(size, bool)
+        hit = np.cumsum(np.frombuffer(row["keys"], _U))[np.frombuffer(row["counts"], np.uint32) >= least]
+        out[hit >> _U(KEY_BITS - filter_bits)] = True
+        return pa.table([pa.array([row["bucket"]], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+
+    done = in_rounds(runs, merge_keys, RUNS, set_bits, "bucket int, bits binary", fan)
     return Filter([(r["bucket"], bytes(r["bits"])) for r in done.collect()], bits, filter_bits)
 
 
@@ -396,13 +392,11 @@ def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words
         for bucket, piece in whole.pieces(bits):
             yield bucket, *piece.pack().values()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield from nodes(Trie.unpack(row), least) if row["levels"] is not None else [clash()]
+    def emit(row: dict) -> pa.Table:
+        return pa.Table.from_batches(list(nodes(Trie.unpack(row), least)) if row["levels"] is not None else [clash()], _arrow(NODES))
 
-    merged = in_rounds(materialize(shards(texts, trie_rows, TRIES, shard_bytes), "tries"), merge_rows, TRIES, fan)
-    return materialize(merged.mapInArrow(emit, NODES), "nodes"), totals
+    tries = materialize(shards(texts, trie_rows, TRIES, shard_bytes), "tries")
+    return materialize(in_rounds(tries, merge_rows, TRIES, emit, NODES, fan), "nodes"), totals
 
 
 def levels(found: DataFrame, most_words: int) -> list[DataFrame]:
