@@ -64,26 +64,80 @@ def providers(enabled: bool, regex: bool, judge: bool, output: bool) -> dict[str
     return {"input": inputs or ["noop"], "output": ["judge"] if output and judge else ["noop"]}
 
 
+#: A string with its escapes, a brace, what stands between, or a quote that nothing closes.
+_TOKENS = r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|[^"{}]++|"'''
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _balanced(text: Column) -> Column:
+    """From the first character, a brace, to the brace that closes it; null if none does. Braces inside strings don't count."""
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when((s["n"] > 0) & (s["depth"] == 0), s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n")))
+
+    def cut(tokens: Column) -> Column:
+        end = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)
+        return _once(end, lambda e: F.when(e["depth"] == 0, F.array_join(F.slice(tokens, F.lit(1), e["n"]), "")))
+
+    return _once(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), cut)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
+def first_object(c: Column) -> Column:
+    """JS1: the first text that is a whole JSON object, from any brace on; null if there is none. Linear in the text for each brace before it that a key or a brace follows."""
+
+    def find(parts: Column) -> Column:
+        def step(found: Column, i: Column) -> Column:
+            fresh = _balanced(F.array_join(F.slice(parts, i, F.size(parts)), ""))
+            return F.when(found.isNotNull(), found).otherwise(_once(fresh, lambda t: F.when(_is_object(F.try_parse_json(t)), t)))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.startswith(F.element_at(parts, i), F.lit("{")))
+        return F.aggregate(starts, F.lit(None).cast("string"), step)
+
+    # An object's brace is followed by a key or by the end; the text is cut before each.
+    return _once(F.split(c, r'(?=\{[ \t\r\n]*+["}])'), find)
+
+
 def judge_json(c: Column) -> Column:
-    """JS1: the verdict as a variant: fences off, the whole text, else what stands from the first to the last brace."""
-    bare = F.regexp_replace(T.strip(c), r"^```(?:json)?\s*|\s*```$", "")
-    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{[^{}]*\})", 1), F.lit(""))))
+    """JS1: the verdict as a variant, null if unreadable: a fence at the start and one at the end are taken off; then the whole text if it is JSON (null if that is no object), else the first object in it.
+
+    Of JSON as Spark reads it: an object that names a key twice is unreadable. A null answer is null.
+    """
+    text = T.strip(c)
+    bare = F.when(F.startswith(text, F.lit("```")), F.regexp_replace(F.regexp_replace(text, r"^```(?i:json)?\s*", ""), r"\s*```$", "")).otherwise(text)
+    # Spark stops after the first value and ignores what follows: the text is whole if an end mark behind it is the next value.
+    end = "end of the text"
+    framed = F.try_parse_json(F.concat(F.lit("["), bare, F.lit(f',"{end}"]')))
+    item = lambda i: F.try_variant_get(framed, f"$[{i}]", "variant")
+    whole = F.coalesce(F.try_variant_get(framed, "$[1]", "string") == end, F.lit(False)) & item(2).isNull()
+    return F.when(~whole, F.try_parse_json(first_object(bare))).when(_is_object(item(0)), item(0))
 
 
 def normalised_verdict(v: Column) -> Column:
-    """JS2, GR3, NM7: blocked must be a boolean; anything else is a block. Confidence is a number or null."""
-    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
-    ok = kind("blocked") == "BOOLEAN"
-    number = kind("confidence").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    missing = F.array_compact(F.array(*[F.when(kind(k) == "VOID", k) for k in ("blocked", "reason", "rail", "confidence")]))
-    invalid = F.array_compact(F.array(F.when(~ok & (kind("blocked") != "VOID"), "blocked"), F.when(~number & (kind("confidence") != "VOID"), "confidence")))
+    """JS2, GR3, NM7: blocked must be a boolean; anything else is a block. A reason or rail that is no text is invalid and replaced, an empty rail as well; a confidence is a number or null.
+
+    missing: fields that are not there; invalid: fields with a value that is not used, JSON null for rail, confidence and blocked included. A null verdict misses all fields.
+    """
+    field = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    kind = lambda k: F.coalesce(F.schema_of_variant(field(k)), F.lit(""))
+    names = ("blocked", "reason", "rail", "confidence")
+    text = lambda k: F.when(kind(k) == "STRING", F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")))
+    good = {"blocked": kind("blocked") == "BOOLEAN", "reason": kind("reason").isin("STRING", "VOID"), "rail": text("rail").isNotNull(), "confidence": kind("confidence").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")}
     return F.struct(
-        F.when(ok, F.try_variant_get(v, "$.blocked", "boolean")).otherwise(True).alias("blocked"),
-        F.coalesce(F.nullif(F.try_variant_get(v, "$.reason", "string"), F.lit("")), F.lit("no reason given")).alias("reason"),
-        F.coalesce(F.nullif(F.try_variant_get(v, "$.rail", "string"), F.lit("")), F.lit("judge")).alias("rail"),
-        F.when(number, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
-        missing.alias("missing"),
-        invalid.alias("invalid"),
+        F.when(good["blocked"], F.try_variant_get(v, "$.blocked", "boolean")).otherwise(True).alias("blocked"),
+        F.coalesce(text("reason"), F.lit("no reason given")).alias("reason"),
+        F.coalesce(text("rail"), F.lit("judge")).alias("rail"),
+        F.when(good["confidence"], F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
+        F.array_compact(F.array(*[F.when(field(k).isNull(), k) for k in names])).alias("missing"),
+        F.array_compact(F.array(*[F.when(field(k).isNotNull() & ~good[k], k) for k in names])).alias("invalid"),
     )
 
 

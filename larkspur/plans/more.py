@@ -221,6 +221,29 @@ def judge_answers(spark, d):
     return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", "v.blocked", "v.reason", "v.confidence", F.array_join("v.invalid", ",").alias("invalid"))
 
 
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 4 THEN true WHEN 5 THEN true ELSE user_id % 2 = 0 END AS blocked,
+      CASE WHEN event_id % 6 < 4 THEN CASE event_id % 6 WHEN 1 THEN '}{ "' || event_type || '"' ELSE event_type END ELSE 'no reason given' END AS reason,
+      CASE WHEN event_id % 6 < 4 THEN CAST(event_id AS DOUBLE) END AS confidence FROM events"""
+)
+def judge_objects(spark, d):
+    """Verdicts inside other text: behind braces that open nothing, with braces and quotes in strings, nested, cut off, in a list."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    blocked = F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")
+    verdict = lambda reason: F.concat(F.lit('{"blocked": '), blocked, F.lit(', "reason": "'), reason, F.lit('", "confidence": '), number, F.lit(', "m": {"a": [{}]}}'))
+    i = F.col("event_id") % 6
+    answer = (
+        F.when(i == 0, F.concat(F.lit("x {"), kind, F.lit('} {"'), kind, F.lit('" '), verdict(kind), F.lit(" }")))
+        .when(i == 1, F.concat(F.lit("so "), verdict(F.concat(F.lit('}{ \\"'), kind, F.lit('\\"')))))
+        .when(i == 2, F.concat(F.lit("```JSON\n"), verdict(kind), F.lit("\n```")))
+        .when(i == 3, F.concat(F.lit('{"k": nothing} '), verdict(kind), verdict(F.lit("second"))))
+        .when(i == 4, F.concat(F.lit("cut "), F.expr("left('{\"blocked\": false, \"reason\": \"x', 20)"), number))
+        .otherwise(F.concat(F.lit("["), verdict(kind), F.lit("]")))
+    )
+    v = guardrails.normalised_verdict(guardrails.judge_json(answer))
+    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", "v.blocked", "v.reason", "v.confidence")
+
+
 @query(A.sql("SELECT conv_id, 'system' || string_agg('|' || role, '' ORDER BY sequence) AS roles, count(*) + 1 AS n FROM v_turn WHERE role IN ('user', 'assistant') GROUP BY 1", "v_turn"))
 def assembled_messages(spark, d):
     made = search.assembled(search.history(A.turns(spark, d)), "be kind")

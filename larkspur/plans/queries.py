@@ -222,6 +222,12 @@ _JUDGED = [
     ('```json\n{"blocked": false}\n```', "false, 'no reason given', NULL, 'reason,rail,confidence', ''"),
     ('text {"blocked": "yes"} more', "true, 'no reason given', NULL, 'reason,rail,confidence', 'blocked'"),
     ("nothing", "true, 'no reason given', NULL, 'blocked,reason,rail,confidence', ''"),
+    ('x {not json} {"blocked": false, "m": {"a": 1}}', "false, 'no reason given', NULL, 'reason,rail,confidence', ''"),
+    ('a {b} {"blocked": false}', "false, 'no reason given', NULL, 'reason,rail,confidence', ''"),
+    ('{"open {"blocked": false, "reason": "a } in \\"it\\""} }', "false, 'a } in \"it\"', NULL, 'rail,confidence', ''"),
+    ('{{"blocked": true, "reason": 5, "rail": "", "confidence": null}}', "true, 'no reason given', NULL, '', 'reason,rail,confidence'"),
+    ('[{"blocked": false}]', "true, 'no reason given', NULL, 'blocked,reason,rail,confidence', ''"),
+    ('first {} then {"blocked": false}', "true, 'no reason given', NULL, 'blocked,reason,rail,confidence', ''"),
 ]
 
 
