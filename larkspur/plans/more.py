@@ -8,7 +8,8 @@ from larkspur import adapters as A
 from larkspur.functions import text as T
 from larkspur.operators import audits, chunking, citations, conversations, dml, guardrails, ratelimit, reports, search
 from larkspur.plans.registry import query
-from larkspur.session import table
+from larkspur.session import shared_path, table
+from larkspur.sources import corpus, coursefiles
 from larkspur.windows import clerk_time, elapsed_ms
 
 _NOW = "2024-02-01 00:00:00"
@@ -309,6 +310,27 @@ def rate_limit_admissions(spark, d):
     return ratelimit.admitted(table(spark, d, "events"))
 
 
+@query(
+    """WITH f AS (SELECT coalesce(lang, 'xx') AS lang, doc_id % 40 AS part, doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS body FROM documents),
+    n AS (SELECT lang || '/Week-' || part || '/day' || (part % 7) || '/' || doc_id || CASE part % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.py' ELSE '.ipynb' END AS source_path, part,
+        CASE WHEN part % 5 = 3 THEN chr(10) || '[code cell]' || chr(10) || doc_id || chr(10) || chr(10) || chr(10) || '[unknown cell]' || chr(10) || body ELSE body END AS text FROM f WHERE part % 5 <> 4)
+    SELECT source_path, 'Week-' || part AS week, 'day' || (part % 7) AS day, CASE part % 5 WHEN 0 THEN 'md' WHEN 1 THEN 'txt' WHEN 2 THEN 'py' ELSE 'ipynb' END AS file_type,
+      sha256(regexp_replace(regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+', ''), '[ \\t\\n\\v\\f\\r]+$', '')) AS sha FROM n"""
+)
+def course_files(spark, d):
+    """SRC1-SRC5: each document is written as a file of one of the kinds, some below folders that are skipped, and read back."""
+    part, text = F.col("part"), F.col("text")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("xx")).alias("lang"), (F.col("doc_id") % 40).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    cells = F.to_json(F.struct(F.array(F.to_variant_object(F.struct(F.lit("code").alias("cell_type"), F.array(F.col("doc_id").cast("string"), F.lit("\n")).alias("source"))), F.to_variant_object(F.struct(text.alias("source")))).alias("cells")))
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".py", ".ipynb", ".md"))), (part % 5 + 1).cast("int"))
+    skipped = F.element_at(F.array(*map(F.lit, coursefiles.SKIPPED)), (F.expr("part div 5") % len(coursefiles.SKIPPED) + 1).cast("int"))
+    folder = F.when(part % 5 == 4, skipped).otherwise(F.concat(F.lit("Week-"), part.cast("string")))
+    path = F.concat_ws("/", "lang", folder, F.concat(F.lit("day"), (part % 7).cast("string")), F.concat(F.col("doc_id").cast("string"), suffix))
+    root = shared_path(spark, "course-files")
+    coursefiles.write(docs.select(path.alias("source_path"), F.encode(F.when(part % 5 == 3, cells).otherwise(text), "UTF-8").alias("content")), root)
+    return corpus.documents(spark, root).select("source_path", "week", "day", "file_type", F.sha2("text", 256).alias("sha"))
+
+
 #: What is planted behind a turn's text, the answer that is shown, and the records used.
 _PLANTED = (
     ("See [1][2].", "See [1][2].", "1,2"),

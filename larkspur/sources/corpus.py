@@ -1,4 +1,4 @@
-"""Course files as a table (SRC1-SRC8): readers and writers of Spark only, so any Hadoop path works."""
+"""Course files as documents (SRC1-SRC7): texts and notebooks of the course_files source, and their JSON form."""
 
 from __future__ import annotations
 
@@ -6,34 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import path_part, strip
-
-# What is read, and folders that are not.
-SUFFIXES = ("md", "txt", "py", "ipynb")
-SKIPPED = (".git", "__pycache__", ".venv", "venv", "node_modules", ".next", "dist", "build")
+from larkspur.sources import coursefiles
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """SRC1, SRC4: (source_path, file_name, file_type, week, day, content) of each file below a folder."""
-    # Names are filtered by Spark's listing; contents of other files are never read.
-    glob = "*.{" + ",".join(f"[{a}{a.upper()}]" + "".join(f"[{c}{c.upper()}]" for c in rest) for a, *rest in SUFFIXES) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    plain = lambda c: F.regexp_replace(c, r"^[a-z]+:/*", "/")
-    path = F.replace(plain(F.col("path")), F.concat(plain(F.lit(full)), F.lit("/")), F.lit(""))
-    kind = F.lower(F.substring_index("source_path", ".", -1))
-    parts = F.split(plain(F.col("path")), "/")
-    kept = raw.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))).withColumn("source_path", path)
-    return kept.where(F.contains("source_path", F.lit(".")) & kind.isin(*SUFFIXES)).select(
-        "source_path", F.substring_index("source_path", "/", -1).alias("file_name"), kind.alias("file_type"), path_part(F.col("source_path"), "week").alias("week"), path_part(F.col("source_path"), "day").alias("day"), "content"
+    path = F.col("source_path")
+    return coursefiles.read(spark, root).select(
+        path, F.substring_index(path, "/", -1).alias("file_name"), F.lower(F.substring_index(path, ".", -1)).alias("file_type"), path_part(path, "week").alias("week"), path_part(path, "day").alias("day"), "content"
     )
 
 
 def decoded(content: Column) -> Column:
-    """SRC2: UTF-8, invalid bytes dropped, line ends as LF."""
-    raw, genuine = content.cast("string"), "\ue0fd\ue0fe"  # stands for a replacement character that the file itself holds
-    marked = F.replace(raw, F.lit("\ufffd"), F.lit(genuine))
-    loose = F.replace(F.replace(F.make_valid_utf8(marked), F.lit("\ufffd"), F.lit("")), F.lit(genuine), F.lit("\ufffd"))
+    """SRC2: UTF-8, invalid bytes dropped, line ends as LF. Every character that the bytes hold stays, replacement characters and private ones as well.
+
+    Bytes that are whole are read as they are. Others are cut at the bytes of a replacement character, which no other character contains; what Spark puts
+    for invalid bytes in between is then told from those that were there.
+    """
+    raw = content.cast("string")
+    pieces = F.split(F.decode(content, "ISO-8859-1"), "\u00ef\u00bf\u00bd", -1)
+    loose = F.array_join(F.transform(pieces, lambda p: F.replace(F.make_valid_utf8(F.encode(p, "ISO-8859-1").cast("string")), F.lit("\ufffd"), F.lit(""))), "\ufffd")
     return F.regexp_replace(F.coalesce(F.try_validate_utf8(raw), loose), r"\r\n?", "\n")
 
 
