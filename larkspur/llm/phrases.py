@@ -5,7 +5,7 @@ at blanks and tabs. All counts are by language (null: ``und``). The texts are re
 a shard of texts into sorted arrays, with numpy and Arrow only:
 
 1. Words. A shard gives its distinct words as sorted 40-bit hashes with counts. Summed over all shards, what is
-   frequent enough sets bits in a filter of fixed size, which is broadcast. Totals of words come along.
+   frequent enough sets bits in a filter of fixed size, which is broadcast.
 2. Pairs of words that pass the filter, in the same way: a second filter.
 3. A trie of each shard, of depth ``most_words``: words that pass, then the pairs that pass, then what continues a pair
    by pairs that pass. A part of a frequent phrase is as frequent, and filters err on one side only, so no frequent
@@ -19,8 +19,8 @@ so a phrase that every shard has never makes a task hold an entry for each shard
 What is frequent is then a table. Left parts of a phrase are counted on the walk down its trie; its right parts by the
 suffix link, the node of the same words without the first, which carries its own right parts.
 
-A word is a 64-bit hash of its language and itself inside the tries. Merging compares the words themselves: if two
-of them have one hash, the tries are made again with another seed, so hashes decide nothing.
+Inside the tries a word is a hash of its language and itself, of as many bytes as the number of frequent words asks for. Merging
+compares the words themselves: if two of them have one hash, the tries are made again with another seed, so hashes decide nothing.
 
 Defined results: a null text has no words; a null language is ``und``; repeated rows count each; ids are not looked at;
 an empty table gives no rows; a very long text is a shard of its own; extra columns are ignored. Of phrases of one score
@@ -71,7 +71,7 @@ class Words:
         order = np.argsort(hashes)
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
-        self.lang, self.hashes, self.words = lang, hashes[order], [found[i] for i in order]
+        self.lang, self.seed, self.hashes, self.words = lang, seed, hashes[order], [found[i] for i in order]
         self.at = number[made.indices.to_numpy()]
         #: Whether the next place is in the same piece.
         self.goes_on = piece[starts[1:]] == piece[starts[:-1]]
@@ -87,6 +87,29 @@ def cut(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
 
 
+def pack_ints(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in the least width that holds all of them; the first byte is the width."""
+    most = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpack_ints(b: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(kind)
+
+
+def pack_keys(x: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of 64-bit keys, byte plane by byte plane; the first byte is the width."""
+    return bytes([width]) + x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    width = b[0]
+    out = np.zeros(((len(b) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1).T
+    return out.view(">u8").ravel().astype(_U)
+
+
 class Filter:
     """Bits by the first FILTER_BITS bits of a hash."""
 
@@ -142,11 +165,11 @@ def key_runs(hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tupl
     short, small = hashes >> _U(64 - KEY_BITS), np.minimum(counts, 2**32 - 1).astype(np.uint32)
     for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
         some = short[at[i] : at[i + 1]] - _U(i << (KEY_BITS - bits))
-        yield i, np.diff(some, prepend=_U(0)).tobytes(), small[at[i] : at[i + 1]].tobytes()
+        yield i, pack_ints(np.diff(some, prepend=_U(0))), pack_ints(small[at[i] : at[i + 1]])
 
 
-def in_rounds(runs: DataFrame, merge: Callable[[list[dict]], dict], schema: str, last: Callable[[dict], pa.Table], made: str, fan: int) -> DataFrame:
-    """Merge the runs of each bucket, at most about ``fan`` at once, until each bucket has one, of which ``last`` makes rows. Each round before the last is written."""
+def in_rounds(runs: DataFrame, n: int, merge: Callable[[list[dict]], dict], schema: str, last: Callable[[dict], pa.Table], made: str, fan: int) -> DataFrame:
+    """Merge the runs of each bucket, ``n`` at most, at most about ``fan`` at once, until each bucket has one, of which ``last`` makes rows. Each round before the last is written."""
     columns = [f.split()[0] for f in schema.split(", ")]
 
     def meet(group: pa.Table) -> dict:
@@ -156,11 +179,9 @@ def in_rounds(runs: DataFrame, merge: Callable[[list[dict]], dict], schema: str,
     def again(group: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([meet(group)]).select(columns).cast(_arrow(schema))
 
-    left = runs.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    while left > fan:
-        groups = -(-left // fan)
-        runs = materialize(runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(groups))).groupBy("bucket", "run").applyInArrow(again, schema), "runs")
-        left = groups
+    while n > fan:
+        n = -(-n // fan)
+        runs = materialize(runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(n))).groupBy("bucket", "run").applyInArrow(again, schema), "runs")
     return runs.groupBy("bucket").applyInArrow(lambda group: last(meet(group)), made)
 
 
@@ -178,23 +199,24 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def merge_keys(rows: list[dict]) -> dict:
-    keys = np.concatenate([np.cumsum(np.frombuffer(r["keys"], _U)) for r in rows])
-    keys, counts = summed(keys, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64))
-    return {"keys": np.diff(keys, prepend=_U(0)).tobytes(), "counts": np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()}
+    keys = np.concatenate([np.cumsum(unpack_ints(r["keys"], _U)) for r in rows])
+    keys, counts = summed(keys, np.concatenate([unpack_ints(r["counts"]) for r in rows]))
+    return {"keys": pack_ints(np.diff(keys, prepend=_U(0))), "counts": pack_ints(np.minimum(counts, 2**32 - 1))}
 
 
-def frequent(runs: DataFrame, least: int, bits: int, filter_bits: int, fan: int) -> Filter:
+def frequent(runs: DataFrame, n: int, least: int, bits: int, filter_bits: int, fan: int) -> Filter:
     """The filter of the keys whose counts add up to ``least``. What comes to the driver is the filter, whose size is fixed."""
     size = 1 << (filter_bits - bits)
 
     def set_bits(row: dict) -> pa.Table:
         out = np.zeros(size, bool)
-        hit = np.cumsum(np.frombuffer(row["keys"], _U))[np.frombuffer(row["counts"], np.uint32) >= least]
+        hit = np.cumsum(unpack_ints(row["keys"], _U))[unpack_ints(row["counts"]) >= least]
         out[hit >> _U(KEY_BITS - filter_bits)] = True
         return pa.table([pa.array([row["bucket"]], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
-    done = in_rounds(runs, merge_keys, RUNS, set_bits, "bucket int, bits binary", fan)
-    return Filter([(r["bucket"], bytes(r["bits"])) for r in done.collect()], bits, filter_bits)
+    done = in_rounds(runs, n, merge_keys, RUNS, set_bits, "bucket int, bits binary", fan)
+    # Written first, so that the runs' shuffle files go.
+    return Filter([(r["bucket"], bytes(r["bits"])) for r in materialize(done, "filter").collect()], bits, filter_bits)
 
 
 class Trie:
@@ -203,22 +225,23 @@ class Trie:
     def __init__(self, words: list[bytes], langs: list[str], hashes: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], deeper: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.words, self.langs, self.hashes, self.counts, self.pairs, self.deeper = words, langs, hashes, counts, pairs, deeper
 
-    def pack(self) -> dict:
-        """Parents are stored as the number of children of each node."""
+    def pack(self, width: int = 8) -> dict:
+        """Parents are stored as the number of children of each node, words by the first ``width`` bytes of their hashes, which must hold all."""
         above, levels = len(self.pairs[0]), []
         for parent, word, n in self.deeper:
-            levels += [np.bincount(parent, minlength=above).astype(np.uint32).tobytes(), word.tobytes(), n.astype(np.int64).tobytes()]
+            levels += [pack_ints(np.bincount(parent, minlength=above)), pack_keys(word, width), pack_ints(n)]
             above = len(word)
-        return {"lang": self.langs, "word": self.words, "hash": self.hashes.tobytes(), "n": self.counts.astype(np.int64).tobytes(), "pairs": [self.pairs[0].tobytes(), self.pairs[1].tobytes(), self.pairs[2].astype(np.int64).tobytes()], "levels": levels}
+        a, b, n = self.pairs
+        return {"lang": self.langs, "word": self.words, "hash": pack_keys(self.hashes, width), "n": pack_ints(self.counts), "pairs": [pack_keys(a, width), pack_keys(b, width), pack_ints(n)], "levels": levels}
 
     @staticmethod
     def unpack(row: dict) -> Trie:
         deeper, levels = [], row["levels"]
         for i in range(0, len(levels), 3):
-            children = np.frombuffer(levels[i], np.uint32)
-            deeper.append((np.repeat(np.arange(len(children)), children), np.frombuffer(levels[i + 1], _U), np.frombuffer(levels[i + 2], np.int64)))
+            children = unpack_ints(levels[i])
+            deeper.append((np.repeat(np.arange(len(children)), children), unpack_keys(levels[i + 1]), unpack_ints(levels[i + 2])))
         first, second, n = row["pairs"]
-        return Trie(row["word"], row["lang"], np.frombuffer(row["hash"], _U), np.frombuffer(row["n"], np.int64), (np.frombuffer(first, _U), np.frombuffer(second, _U), np.frombuffer(n, np.int64)), deeper)
+        return Trie(row["word"], row["lang"], unpack_keys(row["hash"]), unpack_ints(row["n"]), (unpack_keys(first), unpack_keys(second), unpack_ints(n)), deeper)
 
     def pieces(self, bits: int) -> Iterator[tuple[int, Trie]]:
         """The trie cut by ranges of its prefixes."""
@@ -233,8 +256,12 @@ class Trie:
             yield i, Trie(self.words[a:b], self.langs[a:b], self.hashes[a:b], self.counts[a:b], tuple(x[c:d] for x in self.pairs), deeper)
 
 
-def trie_of(found: Words, words: Filter, pairs: Filter, most_words: int) -> Trie:
-    """The trie of a shard. Numbers of words are in order of their hashes, so paths sort as numbers."""
+def trie_of(found: Words, words: Filter, pairs: Filter, most_words: int, width: int = 8) -> Trie:
+    """The trie of a shard. Numbers of words are in order of their hashes, so paths sort as numbers.
+
+    Of a hash ``width`` bytes are kept. The root, the empty phrase, counts all words of the language and stands among the words.
+    """
+    short = found.hashes & _U((2**64 - 1) ^ ((1 << 64 - 8 * width) - 1))
     alive = words.has(found.hashes)
     at, n = found.at, len(found.at)
     a, b = at[:-1], at[1:]
@@ -245,7 +272,7 @@ def trie_of(found: Words, words: Filter, pairs: Filter, most_words: int) -> Trie
     size = max(1, len(found.hashes))
     # Pairs, put in order of (pair hash, first, second).
     keys, number, counts = np.unique(a[live] * size + b[live], return_inverse=True, return_counts=True)
-    first, second = found.hashes[keys // size], found.hashes[keys % size]
+    first, second = short[keys // size], short[keys % size]
     order = np.lexsort((second, first, pair_hash(first, second)))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -256,9 +283,13 @@ def trie_of(found: Words, words: Filter, pairs: Filter, most_words: int) -> Trie
         more = np.flatnonzero(holds[np.minimum(where + depth - 2, len(holds) - 1)] & (where + depth - 1 < n))
         where, node = where[more], node[more]
         keys, node, counts = np.unique(node * size + at[where + depth - 1], return_inverse=True, return_counts=True)
-        deeper.append((keys // size, found.hashes[keys % size], counts))
+        deeper.append((keys // size, short[keys % size], counts))
     kept = np.flatnonzero(alive)
-    return Trie([found.words[i] for i in kept], [found.lang] * len(kept), found.hashes[kept], found.counts[kept], made, deeper)
+    root = _U(xxhash.xxh3_64_intdigest(found.lang.encode() + b"\0", found.seed)) & _U((2**64 - 1) ^ ((1 << 64 - 8 * width) - 1))
+    at = int(np.searchsorted(short[kept], root))
+    all_words = [found.words[i] for i in kept]
+    all_words.insert(at, b"")
+    return Trie(all_words, [found.lang] * len(all_words), np.insert(short[kept], at, root), np.insert(found.counts[kept], at, n), made, deeper)
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +339,7 @@ PIECE = ("lang", "word", "hash", "n", "pairs", "levels")
 
 def merge_rows(rows: list[dict]) -> dict:
     merged = merge_tries([Trie.unpack(r) for r in rows]) if all(r["levels"] is not None for r in rows) else None
-    return merged.pack() if merged else dict.fromkeys(PIECE)
+    return merged.pack(rows[0]["hash"][0]) if merged else dict.fromkeys(PIECE)
 
 
 TRIES = "run long, bucket int, lang array<string>, word array<binary>, hash binary, n binary, pairs array<binary>, levels array<binary>"
@@ -316,15 +347,15 @@ NODES = "depth int, lang string, word string, path array<long>, a long, lefts ar
 
 
 def nodes(trie: Trie, least: int) -> Iterator[pa.RecordBatch]:
-    """NODES of the frequent nodes: ``lefts`` are the counts of the pair, of three words and so on that a path of three and more words goes through. ``path`` holds hashes."""
+    """NODES of the frequent nodes, the roots with depth 0: ``lefts`` are the counts of the pair, of three words and so on that a path of three and more words goes through. ``path`` holds hashes."""
 
-    def rows(depth: int, path: np.ndarray, a: np.ndarray, lefts: np.ndarray, lang=None, word=None) -> pa.RecordBatch:
+    def rows(depth: int | np.ndarray, path: np.ndarray, a: np.ndarray, lefts: np.ndarray, lang=None, word=None) -> pa.RecordBatch:
         m = len(a)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * x.shape[1], pa.int32()), pa.array(x.astype(np.int64).ravel())) for x in (path.view(np.int64), lefts)]
-        return pa.record_batch([pa.array(np.full(m, depth, np.int32)), pa.array(lang or [None] * m, pa.string()), pa.array(word or [None] * m, pa.string()), lists[0], pa.array(a, pa.int64()), lists[1]], names=[f.split()[0] for f in NODES.split(", ")])
+        return pa.record_batch([pa.array(np.broadcast_to(np.asarray(depth, np.int32), m)), pa.array(lang or [None] * m, pa.string()), pa.array(word or [None] * m, pa.string()), lists[0], pa.array(a, pa.int64()), lists[1]], names=[f.split()[0] for f in NODES.split(", ")])
 
     hit = np.flatnonzero(trie.counts >= least)
-    yield rows(1, trie.hashes[hit][:, None], trie.counts[hit], np.empty((len(hit), 0)), [trie.langs[i] for i in hit], [trie.words[i].decode() for i in hit])
+    yield rows(np.array([int(trie.words[i] != b"") for i in hit], np.int32), trie.hashes[hit][:, None], trie.counts[hit], np.empty((len(hit), 0)), [trie.langs[i] for i in hit], [trie.words[i].decode() for i in hit])
     path, counts, lefts = np.stack(trie.pairs[:2], axis=1), trie.pairs[2], np.empty((len(trie.pairs[0]), 0), np.int64)
     depth = 2
     while True:
@@ -340,12 +371,12 @@ def nodes(trie: Trie, least: int) -> Iterator[pa.RecordBatch]:
 
 
 def clash() -> pa.RecordBatch:
-    """A row of depth 0: two words have one hash."""
-    return pa.RecordBatch.from_pylist([{"depth": 0, "path": [], "a": 0, "lefts": []}], _arrow(NODES))
+    """A row of depth -1: two words have one hash."""
+    return pa.RecordBatch.from_pylist([{"depth": -1, "path": [], "a": 0, "lefts": []}], _arrow(NODES))
 
 
-def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words: int, seed: int, shard_bytes: int, filter_bits: int, fan: int) -> tuple[DataFrame, DataFrame]:
-    """(NODES of all phrases of 1 to ``most_words`` words that occur ``least`` times; (lang, n) of all words)."""
+def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words: int, seed: int, shard_bytes: int, filter_bits: int, fan: int) -> DataFrame:
+    """NODES of all phrases of 0 to ``most_words`` words that occur ``least`` times."""
     spark = docs.sparkSession
     texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -358,17 +389,14 @@ def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words
         return key_runs(*summed(keys, counts), bits)
 
     def word_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
-        made = []
-        for name, bodies in held.items():
-            found = Words(name, bodies, seed)
-            made.append((found.hashes, found.counts))
-            yield None, None, None, name, len(found.at)
-        for row in joined(made):
-            yield *row, None, 0
+        made = [Words(name, bodies, seed) for name, bodies in held.items()]
+        yield from joined((found.hashes, found.counts) for found in made)
 
-    runs = materialize(shards(texts, word_rows, RUNS + ", lang string, words long", shard_bytes), "word-runs")
-    totals = runs.where("bucket is null").groupBy("lang").agg(F.sum("words").alias("n"))
-    words = spark.sparkContext.broadcast(frequent(runs.where("bucket is not null").drop("lang", "words"), least, bits, filter_bits, fan))
+    n = size // shard_bytes + texts.rdd.getNumPartitions()  # runs, at most
+    words = frequent(shards(texts, word_rows, RUNS, shard_bytes), n, least, bits, filter_bits, fan)
+    # So many bytes of a hash that two of the words that pass hardly share them.
+    width = min(8, max(1, -(-int(2 * np.log2(2 + np.bitwise_count(words.data).sum()) + 7) // 8)))
+    words = spark.sparkContext.broadcast(words)
 
     def pair_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
         made = []
@@ -381,22 +409,21 @@ def frequent_nodes(docs: DataFrame, text: str, lang: str, least: int, most_words
             made.append((pair_hash(found.hashes[keys // size], found.hashes[keys % size]), counts))
         yield from joined(made)
 
-    pairs = spark.sparkContext.broadcast(frequent(materialize(shards(texts, pair_rows, RUNS, shard_bytes), "pair-runs"), least, bits, filter_bits, fan))
+    pairs = spark.sparkContext.broadcast(frequent(shards(texts, pair_rows, RUNS, shard_bytes), n, least, bits, filter_bits, fan))
 
     def trie_rows(held: dict[str, list[bytes]]) -> Iterator[tuple]:
-        made = [trie_of(Words(name, bodies, seed), words.value, pairs.value, most_words) for name, bodies in held.items()]
+        made = [trie_of(Words(name, bodies, seed), words.value, pairs.value, most_words, width) for name, bodies in held.items()]
         whole = merge_tries(made) if len(made) > 1 else made[0]
         if whole is None:
             yield 0, *dict.fromkeys(PIECE).values()
             return
         for bucket, piece in whole.pieces(bits):
-            yield bucket, *piece.pack().values()
+            yield bucket, *piece.pack(width).values()
 
     def emit(row: dict) -> pa.Table:
         return pa.Table.from_batches(list(nodes(Trie.unpack(row), least)) if row["levels"] is not None else [clash()], _arrow(NODES))
 
-    tries = materialize(shards(texts, trie_rows, TRIES, shard_bytes), "tries")
-    return materialize(in_rounds(tries, merge_rows, TRIES, emit, NODES, fan), "nodes"), totals
+    return materialize(in_rounds(shards(texts, trie_rows, TRIES, shard_bytes), n, merge_rows, TRIES, emit, NODES, fan), "nodes")
 
 
 def levels(found: DataFrame, most_words: int) -> list[DataFrame]:
@@ -433,8 +460,8 @@ def phrases(
     A phrase inside a longer one that has ``covered`` percent of its count is left out. ``top``: phrases a language, None for all.
     """
     while True:
-        found, totals = frequent_nodes(docs, text, lang, least, most_words, seed, shard_bytes, filter_bits, fan)
-        if found.where("depth = 0").isEmpty():
+        found = frequent_nodes(docs, text, lang, least, most_words, seed, shard_bytes, filter_bits, fan)
+        if found.where("depth = -1").isEmpty():
             break
         seed += 1
     made = levels(found, most_words)
@@ -445,7 +472,7 @@ def phrases(
             longer = made[i + 1].select("a", F.explode(F.array(F.slice("path", 1, i + 2), F.slice("path", 2, i + 2))).alias("path")).groupBy("path").agg(F.max("a").alias("most"))
             here = here.join(longer, "path", "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a"))).drop("most")
         kept.append(here)
-    scored = reduce(DataFrame.unionByName, kept).withColumn("cut", worst_cut(F.col("a"), F.col("lefts"), F.col("rights"), scale)).join(totals, "lang")
+    scored = reduce(DataFrame.unionByName, kept).withColumn("cut", worst_cut(F.col("a"), F.col("lefts"), F.col("rights"), scale)).join(found.where("depth = 0").select("lang", F.col("a").alias("n")), "lang")
     rows = scored.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

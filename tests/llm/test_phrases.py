@@ -97,7 +97,7 @@ def test_equal_hashes_are_seen(spark, monkeypatch):
     assert phrases.merge_tries([trie(b"x"), trie(b"x")]).counts.tolist() == [6]
     assert phrases.merge_tries([trie(b"x"), trie(b"y")]) is None
     assert phrases.merge_rows([trie(b"x").pack(), dict.fromkeys(phrases.PIECE)])["levels"] is None
-    assert phrases.clash().to_pylist()[0]["depth"] == 0
+    assert phrases.clash().to_pylist()[0]["depth"] == -1
 
 
 def test_a_broken_trie_changes_the_result():
@@ -113,7 +113,35 @@ def test_a_broken_trie_changes_the_result():
         for b in phrases.nodes(merged, 1) if merged else []:
             paths |= {tuple(r["path"]): (r["a"], r["lefts"]) for r in b.to_pylist()}
     expected = {tuple(r["path"]): (r["a"], r["lefts"]) for b in phrases.nodes(whole, 1) for r in b.to_pylist()}
-    assert paths == expected and len(expected) == 4 + 16 + 64 + 256
+    assert paths == expected and len(expected) == 1 + 4 + 16 + 64 + 256
+
+
+def test_short_hashes_that_clash_are_made_anew(spark, monkeypatch):
+    """With hashes of one byte about every second seed clashes; the result is right all the same."""
+    docs = [(" ".join(f"v{i}" for i in range(19)), "en")] * 6
+    narrow, seeds = phrases.trie_of, []
+
+    def one_byte(found, words, pairs, most_words, width=8):
+        return narrow(found, words, pairs, most_words, 1)
+
+    nodes = phrases.frequent_nodes
+    monkeypatch.setattr(phrases, "frequent_nodes", lambda *a: seeds.append(a[5]) or nodes(*a))
+    monkeypatch.setattr(phrases, "trie_of", one_byte)
+    df = spark.createDataFrame([(i, t, lang, 1, [2], "x") for i, (t, lang) in enumerate(docs)], SCHEMA)
+    got = sorted(tuple(r) for r in phrases.phrases(df, least=5).collect())
+    assert got == brute(docs, least=5) and len(seeds) >= 1
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for most in (0, 1, 255, 256, 2**16, 2**32 - 1, 2**32, 2**62):
+        x = rng.integers(0, most + 1, 50)
+        assert phrases.unpack_ints(phrases.pack_ints(x)).tolist() == x.tolist()
+    keys = rng.integers(0, 2**63, 50).astype(np.uint64)
+    for width in (1, 5, 8):
+        mask = np.uint64((2**64 - 1) ^ ((1 << 64 - 8 * width) - 1))
+        assert phrases.unpack_keys(phrases.pack_keys(keys & mask, width)).tolist() == (keys & mask).tolist()
+    assert phrases.unpack_ints(phrases.pack_ints(np.empty(0, np.int64))).tolist() == [] and phrases.unpack_keys(phrases.pack_keys(np.empty(0, np.uint64), 5)).tolist() == []
 
 
 def test_query_equals_its_sql(spark):
