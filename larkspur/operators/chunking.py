@@ -335,23 +335,6 @@ def summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("discovered"), *[F.count_if(s == k).alias(k) for k in ("prepared", "skipped_non_english", "skipped_empty")])
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 64, text: str = "content") -> DataFrame:
-    """RAG8: adds ``embedding``; batches keep their order, counts and lengths are checked."""
-    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, out = b.column(text).to_pylist(), []
-            for i in range(0, len(texts), batch):
-                got = embedder(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]) or any(len(v) != dimensions for v in got):
-                    raise ValueError("the embedder gave vectors of another number or length")
-                out += got
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
-
-    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
-
-
 def hash_embedder(dimensions: int) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder for tests: hashed words, unit length."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import chunking, dml
+from larkspur.operators import chunking, dml, embedding
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def ingest(scan: DataFrame, documents: DataFrame, chunks: DataFrame | None, now:
     documents = dml.upsert_documents(documents, fresh, now)
     made = chunking.chunk(ready, "source_path").withColumnRenamed("document_id", "source_path")
     if embedder is not None:
-        made = chunking.embed(made, embedder, settings.dimensions)
+        made = embedding.embedded(made, embedder, settings.dimensions)
     chunks = made if chunks is None else dml.replace_rows(chunks, made, "source_path")
 
     if counts["skipped_empty"] + counts["skipped_non_english"]:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, chunking, citations, conversations, dml, guardrails, ratelimit, reports, search
+from larkspur.operators import audits, chunking, citations, conversations, dml, embedding, guardrails, ratelimit, reports, search, visible_search
+from larkspur.operators.index import Contract
 from larkspur.plans.registry import query
 from larkspur.session import shared_path, table
 from larkspur.sources import corpus, coursefiles
+from larkspur.sources.versions import Store
 from larkspur.windows import clerk_time, elapsed_ms
 
 _NOW = "2024-02-01 00:00:00"
@@ -106,9 +108,30 @@ def chunker_versions(spark, d):
 NO_VIOLATIONS = "SELECT * FROM (VALUES ('heading_missing', 0::BIGINT), ('bad_offsets', 0), ('bad_hash', 0), ('blank_content', 0), ('repeated_index', 0), ('repeated_id', 0)) t(rule, violations)"
 
 
-@query(NO_VIOLATIONS)
+_PARTS = """WITH c AS (SELECT doc_id // 3 AS document_id, CASE WHEN doc_id % 11 = 1 THEN doc_id - 1 ELSE doc_id END AS chunk_id, CASE WHEN doc_id % 7 = 1 THEN 0 ELSE doc_id % 3 END AS chunk_index, text, doc_id % 5 - 1 AS a, doc_id % 5 + n_chars - 20 AS z, lang, doc_id FROM documents),
+    d AS (SELECT DISTINCT doc_id // 3 AS document_id FROM documents WHERE doc_id // 3 % 4 <> 3), e AS (SELECT CASE WHEN vec_id % 13 = 0 THEN -vec_id - 1 ELSE vec_id END AS chunk_id FROM embeddings)"""
+
+
+@query(
+    _PARTS
+    + """ SELECT 'heading_missing' AS rule, count(*) FILTER (lang = 'de') AS violations FROM c
+    UNION ALL SELECT 'bad_offsets', count(*) FILTER (a < 0 OR z <= a) FROM c UNION ALL SELECT 'bad_hash', count(*) FILTER (doc_id % 9 = 0) FROM c
+    UNION ALL SELECT 'blank_content', count(*) FILTER (trim(text) = '') FROM c
+    UNION ALL SELECT 'repeated_index', (SELECT count(*) FROM c) - (SELECT count(*) FROM (SELECT DISTINCT document_id, chunk_index FROM c)) UNION ALL SELECT 'repeated_id', (SELECT count(*) FROM c) - (SELECT count(*) FROM (SELECT DISTINCT chunk_id FROM c))
+    UNION ALL SELECT 'chunk_without_document', count(*) FROM c WHERE document_id NOT IN (SELECT document_id FROM d) UNION ALL SELECT 'inactive_document', count(*) FROM c JOIN d ON d.document_id = c.document_id WHERE c.document_id % 4 = 1
+    UNION ALL SELECT 'embedding_without_chunk', count(*) FROM e WHERE chunk_id NOT IN (SELECT chunk_id FROM c) UNION ALL SELECT 'chunk_without_embedding', count(*) FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM e)"""
+)
 def chunk_rules_hold(spark, d):
-    return audits.chunk_audit(chunking.chunk(table(spark, d, "documents")))
+    """AU3 over stored rows in which every rule is broken somewhere."""
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    document = F.expr("doc_id div 3").alias("document_id")
+    chunks = docs.select(
+        document, F.when(i % 11 == 1, i - 1).otherwise(i).alias("chunk_id"), F.when(i % 7 == 1, 0).otherwise(i % 3).alias("chunk_index"), F.col("text").alias("content"), (i % 5 - 1).alias("char_start"), (i % 5 + F.col("n_chars") - 20).alias("char_end"),
+        F.when(F.col("lang") == "de", F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")).alias("heading_path"), F.lit(None).cast("string").alias("section_heading"), F.when(i % 9 == 0, "short").otherwise(F.sha2("text", 256)).alias("content_hash"),
+    )
+    stored = docs.select(document).distinct().where("document_id % 4 <> 3").withColumn("is_active", F.col("document_id") % 4 != 1)
+    vectors = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 13 == 0, -F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("chunk_id"))
+    return audits.chunk_audit(chunks, stored, vectors)
 
 
 _SPACE = "[ \\t\\n\\v\\f\\r]"
@@ -279,10 +302,69 @@ def health_labels(spark, d):
     return reports.provider_check(checks).select("event_id", reports.display_status(F.col("raw")).alias("shown"), F.col("status").alias("checked"))
 
 
-@query("SELECT true AS same, false AS other")
+_COPY = """WITH a AS (SELECT doc_id, lang, n_chars FROM documents), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 7 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 97 <> 5),
+    s AS (SELECT CASE WHEN doc_id % 20 = 0 THEN doc_id + 1 WHEN doc_id % 20 = 1 THEN doc_id - 1 ELSE doc_id END AS doc_id, lang, n_chars FROM documents)"""
+
+
+def _copies(spark, d):
+    """A table, one with changed and missing rows, and one in which neighbours have changed places."""
+    a, i = table(spark, d, "documents").select("doc_id", "lang", "n_chars"), F.col("doc_id")
+    changed = a.where(i % 97 != 5).withColumn("n_chars", F.when(i % 50 == 7, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return a, changed, a.withColumn("doc_id", F.when(i % 20 == 0, i + 1).when(i % 20 == 1, i - 1).otherwise(i))
+
+
+@query(
+    _COPY
+    + """ SELECT what, rows_a, rows_b, same_rows, same_order FROM (
+      SELECT 'again' AS what, (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM a) AS rows_b, true AS same_rows, true AS same_order
+      UNION ALL SELECT 'changed', (SELECT count(*) FROM a), (SELECT count(*) FROM b), NOT EXISTS (SELECT lang, n_chars FROM a EXCEPT ALL SELECT lang, n_chars FROM b), NOT EXISTS (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+      UNION ALL SELECT 'swapped', (SELECT count(*) FROM a), (SELECT count(*) FROM s), NOT EXISTS (SELECT lang, n_chars FROM a EXCEPT ALL SELECT lang, n_chars FROM s), NOT EXISTS (SELECT * FROM a EXCEPT ALL SELECT * FROM s))"""
+)
 def tables_compared(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return spark.range(1).select(F.lit(audits.same_rows(docs, docs.repartition(3))).alias("same"), F.lit(audits.same_rows(docs, docs.where("doc_id % 2 = 0"))).alias("other"))
+    a, changed, swapped = _copies(spark, d)
+    made = [audits.verdict(a, b, ["doc_id"]).select(F.lit(what).alias("what"), "rows_a", "rows_b", "same_rows", "same_order") for what, b in (("again", a.repartition(3)), ("changed", changed), ("swapped", swapped))]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(_COPY + " SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def table_differences(spark, d):
+    a, changed, _ = _copies(spark, d)
+    return audits.differences(a, changed, ["doc_id"])
+
+
+@query(
+    """WITH c AS (SELECT doc_id, coalesce(text, '') AS content FROM documents), stored AS (SELECT DISTINCT content FROM c WHERE doc_id % 3 = 0)
+    SELECT doc_id, content IN (SELECT content FROM stored) AS reused, CAST(CASE WHEN content IN (SELECT content FROM stored) THEN -1 ELSE length(content) END AS DOUBLE) AS first FROM c"""
+)
+def embedding_reuse(spark, d):
+    """RAG8, SET4: vectors of a third of the documents are stored; the other contents are embedded, each once."""
+    contract = Contract("local", "m1", 2)
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content")).withColumn("content_hash", F.sha2("content", 256))
+    store = Store(spark, shared_path(spark, "vectors"))
+    t = store.begin()
+    known = chunks.where("chunk_id % 3 = 0").select("content_hash").distinct()
+    t.put("vectors", known.select("content_hash", F.array(F.lit(-1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit("local").alias("provider"), F.lit("m1").alias("model"), F.lit(2).alias("dimensions")), ("content_hash",), 16)
+    t.commit()
+    made = embedding.embed_into(store, chunks, lambda texts: [[float(len(t)), 1.0] for t in texts], contract, "ingest", 0)
+    return made.select(F.col("chunk_id").alias("doc_id"), (F.get("embedding", 1) == 0).alias("reused"), F.get("embedding", 0).cast("double").alias("first"))
+
+
+_SHOWN = "SELECT conv_id, turn, lower('T' || turn || ' ' || coalesce(role, '-') || ' said c ' || conv_id || ' in Turn ' || turn || ' and') AS v FROM conversations"
+
+
+@query(
+    f"""WITH m AS ({_SHOWN}), t(term_id, term) AS (VALUES (1, 'said'), (2, 'turn 1'), (3, 'er'), (4, ''), (5, 'said zz'), (6, 'c 1'), (7, 't'))
+    SELECT term_id, conv_id, turn, CASE WHEN term = '' THEN 0 ELSE CAST((length(v) - length(replace(v, term, ''))) / length(term) AS BIGINT) END AS n FROM m, t WHERE contains(v, term)"""
+)
+def visible_text_search(spark, d):
+    """FLT12, AG22: an index over Markdown made of each turn's columns, searched for terms of all kinds."""
+    said = lambda *parts: F.concat(*[F.lit(p) if p not in ("turn", "conv_id", "role") else F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts])
+    text = said("# T", "turn", "\n\n**", "role", "** said `c ", "conv_id", "` in [Turn ", "turn", "](http://x/er) and ![er](said)")
+    root = shared_path(spark, "visible")
+    visible_search.build(table(spark, d, "conversations").select("conv_id", "turn", text.alias("content")), root, ["conv_id", "turn"])
+    terms = [(1, " Said"), (2, "turn 1"), (3, "ER"), (4, "  "), (5, "said zz"), (6, "c 1"), (7, "t")]
+    asked = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("term_id"), F.lit(t).alias("term")) for i, t in terms])))
+    return visible_search.search(spark, root, asked)
 
 
 @query("SELECT page_id, 'day=b;week=a' AS kept, coalesce(CASE WHEN page_id % 2 = 0 THEN '' END, 'camel') AS either FROM pages")

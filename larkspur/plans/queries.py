@@ -460,12 +460,6 @@ def citations_validate(spark, d):
     return made.select("content", "answer", F.array_join("used.citationId", ",").alias("used"))
 
 
-@query()
-def visible_text_search(spark, d):
-    found = citations.search_visible(A.turns(spark, d), "the")
-    return found.select("conv_id", "sequence", T.matches(F.col("visible"), "the").alias("n"))
-
-
 _INGEST = f"""WITH {_OLD.replace("'p/'", "'p/en/'")}, s AS (SELECT 'p/' || CASE page_id % 4 WHEN 3 THEN 'fr' ELSE 'en' END || '/' || 5 * page_id AS source_path, page_id % 4 AS k, CASE WHEN page_id % 4 = 2 THEN ' ' ELSE coalesce(html, '') END AS body FROM pages),
     f AS (SELECT *, CASE WHEN k = 3 THEN 'skipped_non_english' WHEN regexp_replace(body, '[ \\t\\n\\v\\f\\r]+', '', 'g') = '' THEN 'skipped_empty' ELSE 'prepared' END AS outcome FROM s)"""
 

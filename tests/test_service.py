@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import chunking, citations, dml, guardrails, ingestion, reports, search
+from larkspur.operators import chunking, citations, dml, embedding, guardrails, ingestion, reports, search
 from larkspur.plans import queries
 from larkspur.sources import corpus
 from larkspur.windows import instructor_window, month_range, resolve
@@ -192,10 +192,10 @@ def test_corpus_files(spark, tmp_path):
 
 def test_embedding_keeps_order_and_checks_lengths(spark):
     chunks = chunking.chunk(spark.createDataFrame([(1, DOC)], "doc_id long, text string"))
-    made = chunking.embed(chunks.select("chunk_id", "content"), chunking.hash_embedder(16), 16)
+    made = embedding.embedded(chunks.select("chunk_id", "content"), chunking.hash_embedder(16), 16)
     assert all(len(r.embedding) == 16 for r in made.collect())
     with pytest.raises(Exception, match="another number or length"):
-        chunking.embed(chunks.select("content"), chunking.hash_embedder(8), 16).collect()
+        embedding.embedded(chunks.select("content"), chunking.hash_embedder(8), 16).collect()
 
 
 def test_ingest_keeps_unread_files_and_replaces_chunks(spark):
