@@ -39,9 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def made_paths():
+    """A list of the paths that fresh_path() gives out inside, in order; for one thread."""
+    _watching.append([])
+    try:
+        yield _watching[-1]
+    finally:
+        _watching.pop()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _watching:
+        paths.append(path)
+    return path
 
 
 @contextmanager
@@ -70,5 +86,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import few, materialize
+from larkspur.llm.common import few, materialize, unused
 
 WINDOW = 8
 #: Bytes of words up to which the windows of the benchmark are broadcast.
@@ -141,8 +141,9 @@ def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_ke
     found = parsed.select("id", "th", F.inline(every)).join(few(hashes), ["n", "h"], "left_semi")
     at = materialize(found.select("id", "th", "at", "n", "h").distinct(), "window-hits")
     # Texts with a hit are read again, to compare words and slots.
-    ids = materialize(at.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "texts-with-hits")
-    with_hit = docs.join(few(ids), F.col(key).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__th")), "left_semi")
+    own, own_hash = unused(docs, "id"), unused(docs, "th")
+    ids = materialize(at.select(F.col("id").alias(own), F.col("th").alias(own_hash)).distinct(), "texts-with-hits")
+    with_hit = docs.join(few(ids), F.col(key).eqNullSafe(F.col(own)) & F.xxhash64(text).eqNullSafe(F.col(own_hash)), "left_semi")
     again = _parsed(with_hit, key, text).distinct()
     met = again.join(at.withColumnsRenamed({"id": "__id", "th": "__th"}), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select(
         "id", "th", "at", "n", "h", F.slice("ts", F.col("at") + 1, F.col("n")).alias("dts"), F.slice("bs", F.col("at") + 1, F.col("n")).alias("dbs")
@@ -193,5 +194,6 @@ def evidence(window: int = WINDOW, least_words: int = 5, least_coverage: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, **more) -> DataFrame:
     """The rows of docs without a hit that is enough by evidence(), all columns unchanged."""
     found = _matched(docs, benchmark, key, text, item_key, item_text, window).where(evidence(window, **more))
-    bad = materialize(found.select(F.col("id").alias("__bad"), F.col("th").alias("__bad_th")).distinct(), "contaminated")
-    return docs.join(few(bad), F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(text) == F.col("__bad_th")), "left_anti")
+    own, own_hash = unused(docs, "id"), unused(docs, "th")
+    bad = materialize(found.select(F.col("id").alias(own), F.col("th").alias(own_hash)).distinct(), "contaminated")
+    return docs.join(few(bad), F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(own_hash)), "left_anti")

@@ -141,9 +141,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def build(keys: np.ndarray, ends: np.ndarray, tokens: np.ndarray, bits: int) -> bytes:
-    """The file of a shard."""
-    parts = [zlib.compress(keys.astype("<i8").tobytes() + ends.astype("<i8").tobytes(), 1)]
+def build(keys: np.ndarray, ends: np.ndarray, tokens: np.ndarray, bits: int, nulls: int = 0) -> bytes:
+    """The file of a shard, whose first ``nulls`` documents have no key."""
+    parts = [zlib.compress(keys.astype("<i8").tobytes() + ends.astype("<i8").tobytes() + struct.pack("<q", nulls), 1)]
     ranks, sizes = [], []
     now = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
@@ -176,9 +176,13 @@ class WaveletMatrix:
         self._content, starts = memoryview(content), at + np.concatenate([[0], np.cumsum(sizes[:-1])])
         self._at = begins + starts[1:, None]
         table = np.frombuffer(zlib.decompress(content[at : at + sizes[0]]), "<i8")
-        self.keys, self.ends = table[:docs], table[docs:]
+        self.keys, self.ends, self.nulls = table[:docs], table[docs : 2 * docs], int(table[-1])
         self._words: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
+    def document_keys(self, begin: int = 0, end: int | None = None) -> pa.Array:
+        keys = self.keys[begin:end]
+        return pa.array(keys, mask=np.arange(begin, begin + len(keys)) < self.nulls)
+
     def _bytes(self, level: int, block: int) -> bytes:
         return zlib.decompress(self._content[self._at[level, block] : self._at[level, block + 1]])
 
@@ -280,7 +284,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
         e = encoder(vocabulary)
         end = np.array([end_id], e.dtype).tobytes()
         part, number = None, 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         made: list[bytes] = []
         held = 0
 
@@ -288,7 +292,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
             nonlocal keys, made, held, number
             name = f"{path}/part-{part:05d}-{number:05d}.wvm"
             ends = np.cumsum([len(m) // e.dtype.itemsize for m in made])
-            write_file(name, build(np.array(keys, np.int64), ends, np.frombuffer(b"".join(made), e.dtype), e.bits))
+            # Documents without a key come first.
+            write_file(name, build(np.array([k or 0 for k in keys], np.int64), ends, np.frombuffer(b"".join(made), e.dtype), e.bits, keys.count(None)))
             row = pa.record_batch([pa.array([name]), pa.array([part * 100_000 + number]), pa.array([len(keys)]), pa.array([int(ends[-1])])], names=["file", "shard", "n_docs", "n_tokens"])
             keys, made, held, number = [], [], 0, number + 1
             return row
@@ -297,7 +302,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
             part = b.column(2)[0].as_py() if part is None and b.num_rows else part
             for k, t in zip(b.column(0), b.column(1), strict=True):
                 body = t.as_py() or ""
-                keys.append(_NULL if (at := k.as_py()) is None else at)
+                keys.append(k.as_py())
                 made.append(e.raw(body) + end)
                 held += len(body)
                 if held >= shard_bytes:
@@ -311,10 +316,6 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-#: Stands for a null key in a file.
-_NULL = -(2**63)
-
-
 def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, tokens array<int>) of each document, read from the files alone."""
 
@@ -327,7 +328,7 @@ def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 for i in range(0, len(m.keys), 512):
                     a, b = int(begins[i]), int(m.ends[i : i + 512][-1])
                     offsets = np.concatenate([begins[i : i + 512], [b]]) - a
-                    keys = pa.array(m.keys[i : i + 512], mask=m.keys[i : i + 512] == _NULL)
+                    keys = m.document_keys(i, i + 512)
                     yield pa.record_batch([keys, pa.array(start + begins[i : i + 512]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[a:b]))], names=[key, "start", "n_tokens", "tokens"])
 
     files = manifest.select("file", "start")
@@ -345,7 +346,7 @@ def checksums(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 raw = memoryview(m.tokens().astype("<u4").tobytes())
                 begins = np.concatenate([[0], m.ends[:-1]])
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), m.ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(m.keys, mask=m.keys == _NULL), pa.array(start + begins), pa.array(m.ends - begins), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([m.document_keys(), pa.array(start + begins), pa.array(m.ends - begins), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "start")
     n = max(1, files.count())

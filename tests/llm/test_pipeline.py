@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -109,3 +110,25 @@ def test_empty_table(spark, fixture_dir, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_scratch_goes_when_a_stage_is_written(spark, fixture_dir):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    made = corpus_pipeline.run(spark, fixture_dir[0])
+    (left,) = set(os.listdir(shared)) - before
+    assert left.startswith(corpus_pipeline.STAGES[-1][0]) and made.count() > 0
+
+
+def test_odd_rows_in_every_stage(spark, fixture_dir):
+    """Null and repeated ids, null, empty and repeated texts, and columns named as the stages name theirs."""
+    names = ("th", "k", "stays", "others", "shard", "kept_text", "root", "__id")
+    text = "one word after another without any end or reason but long enough to hold what a window asks for and more"
+    rows = [(None, text, 9), (None, text, 9), (7, text + " x", 9), (7, text + " x", 9), (7, None, None), (8, "", 0), (9, None, 0), (10, "short", 5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, *range(len(names))) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, fixture_dir[0])
+        assert made.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in made.collect()), name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.decoded is not None) for r in stage(spark, docs, fixture_dir[0]).collect()) == sorted((i is None, i or 0, True) for i, _, _ in rows)

@@ -45,10 +45,10 @@ def test_files_against_the_library(spark):
     texts = ODD + ["".join(rng.choices("abé '1.\n<|>_", k=rng.randint(1, 80))) for _ in range(100)]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("k", T.StringType())])
     rows = [(i * 3 - 5, t, "clash") for i, t in enumerate(texts)]
-    df = spark.createDataFrame(random.sample(rows, len(rows)) + [(4, "again", "z"), (None, "none", "z")], schema)
+    df = spark.createDataFrame(random.sample(rows, len(rows)) + [(4, "again", "z"), (None, "none", "z"), (None, "", "z"), (-(2**63), "least", "z")], schema)
     manifest = wavelet.write_new(df, FILE, shard_bytes=2000)
     got = sorted(wavelet.checksums(manifest).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got][:2] == [None, -5] and len(got) == len(rows) + 2
+    assert [r.doc_id for r in got][:4] == [None, None, -(2**63), -5] and len(got) == len(rows) + 4
     start, by = 0, {}
     for r in got:
         assert r.start == start
