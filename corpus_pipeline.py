@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, decontaminate, quality, simhash, substrings
-from larkspur.llm.common import few, materialize, table
+from larkspur.llm.common import few, made_paths, materialize, remove_path, table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +29,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id; of repeated rows one."""
     # Near-duplicates share 0.8 of their five-word shingles; four lanes of 64 bits only choose what is compared.
     made = materialize(simhash.near_copies(docs, shingle_words=5, least=0.8, radius=64, lanes=4, screen=22), "near-copies")
-    rows = made.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    own, own_hash, text_hash = (unused(docs, n) for n in ("id", "th", "h"))
+    rows = made.select(F.col("doc_id").alias(own), F.col("th").alias(own_hash), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(own_hash))
     # What goes is told by (id, hash of the text); the texts themselves meet it once.
-    counted = materialize(rows.groupBy("__id", "__th").agg(F.count("*").alias("n"), F.every("stays").alias("stays")).where("n > 1 or not stays"), "near-copies-out")
+    counted = materialize(rows.groupBy(own, own_hash).agg(F.count("*").alias("n"), F.every("stays").alias("stays")).where("n > 1 or not stays"), "near-copies-out")
     kept = docs.join(few(counted.drop("n", "stays")), same, "left_anti")
     repeated = counted.where("stays").drop("n", "stays")
     if repeated.isEmpty():
         return kept
     # Whole texts are only shuffled for rows that are there more than once.
-    once = docs.join(few(repeated), same, "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    once = docs.join(few(repeated), same, "left_semi").withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
     return kept.unionByName(once)
 
 
@@ -80,8 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again. What a stage wrote for itself, and its input, go when its output is there."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with made_paths() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        output = made.pop()  # the last path is that of the stage itself
+        for path in [*made, *read]:
+            remove_path(spark, path)
+        read = [output]
     return docs
