@@ -177,11 +177,6 @@ def allowed_metadata(m: Column, keys: list[str]) -> Column:
     return F.map_filter(m, lambda k, _: k.isin(*keys))
 
 
-def prompt_payload(message: Column, contexts: Column) -> Column:
-    """JS3: student message and retrieved context, as JSON."""
-    return F.to_json(F.struct(message.alias("studentMessage"), contexts.alias("retrievedContext")), {"ignoreNullFields": "false"})
-
-
 def overlap_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """NM4: common part of [a, b) and [c, d) over the shorter; null where a range is empty."""
     shorter = F.least(b - a, d - c)

@@ -39,6 +39,12 @@ def outside(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
     return df.where(~F.col(column).isin(*allowed) | F.col(column).isNull())
 
 
+def must_be_empty(df: DataFrame, what: str) -> None:
+    """AU2: a precondition of a migration; reads one row at most."""
+    if not df.isEmpty():
+        raise ValueError(f"{what} is not empty")
+
+
 def chunk_audit(chunks: DataFrame, documents: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
     """AU3: (rule, violations), one row for each rule; with documents (document_id, is_active) and embeddings (chunk_id) also orphans and chunks of documents that are not active.
 

@@ -34,12 +34,6 @@ def response(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"content": F.when(open_, F.coalesce("content", F.lit(""))).otherwise(F.col("content")), "error": error})
 
 
-def shown(messages: DataFrame) -> DataFrame:
-    """PRJ8 as the service does it: a row with an error fails the query."""
-    made = response(messages)
-    return made.withColumn("content", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("content"))).drop("error")
-
-
 def merged_metadata(stored: Column, **columns: Column) -> Column:
     """PRJ2, PRJ5, RAG6: stored entries, over which columns of the same name win."""
     own = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[c.cast("string") for c in columns.values()]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,19 +18,21 @@ class Rule:
     pattern: str
     category: str
     reason: str
+    #: Texts, one of which every match holds; without them the pattern itself is tried on each text.
+    words: tuple[str, ...] = ()
 
 
 #: Ordered; the first that matches blocks. Patterns are parameters, these are defaults of our own wording.
 RULES = (
-    Rule("prompt_injection", r"(?iU)\b(ignore|disregard|forget)\b\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instructions?|rules?|prompts?)\b", "prompt_injection", "The message tries to replace the rules of the conversation."),
-    Rule("confidential_instructions", r"(?isU)\b(show|reveal|print|repeat|tell)\b.{0,60}\b(system prompt|hidden instructions?|developer message)\b", "confidential_instructions", "The message asks for instructions that are not shown."),
-    Rule("secrets", r"(?iU)\b(api[\s_-]?keys?|passwords?|secret[\s_-]?keys?|access[\s_-]?tokens?)\b", "secrets", "The message asks for, or holds, secrets."),
-    Rule("academic_integrity", r"(?iU)\b(do|solve|write|complete)\b\s+(my|the|this)\s+(homework|assignment|exam|quiz|essay)\b", "academic_integrity", "The message asks for finished graded work."),
+    Rule("prompt_injection", r"(?iU)\b(ignore|disregard|forget)\b\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instructions?|rules?|prompts?)\b", "prompt_injection", "The message tries to replace the rules of the conversation.", ("ignore", "disregard", "forget")),
+    Rule("confidential_instructions", r"(?isU)\b(show|reveal|print|repeat|tell)\b.{0,60}\b(system prompt|hidden instructions?|developer message)\b", "confidential_instructions", "The message asks for instructions that are not shown.", ("system prompt", "hidden instruction", "developer message")),
+    Rule("secrets", r"(?iU)\b(api[\s_-]?keys?|passwords?|secret[\s_-]?keys?|access[\s_-]?tokens?)\b", "secrets", "The message asks for, or holds, secrets.", ("password", "api", "secret", "access")),
+    Rule("academic_integrity", r"(?iU)\b(do|solve|write|complete)\b\s+(my|the|this)\s+(homework|assignment|exam|quiz|essay)\b", "academic_integrity", "The message asks for finished graded work.", ("homework", "assignment", "exam", "quiz", "essay")),
 )
 
 
 def check_input(c: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """GR1, SO9: struct(blocked, rail, category, reason, length)."""
+    """GR1, SO9: struct(blocked, rail, category, reason, length). A null text is not blocked."""
     length = F.length(c).alias("length")
 
     def verdict(r: Rule | None) -> Column:
@@ -40,7 +43,13 @@ def check_input(c: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     for r in rules:
         hit = F.coalesce(c.rlike(r.pattern), F.lit(False))
         out = F.when(hit, verdict(r)) if out is None else out.when(hit, verdict(r))
-    return verdict(None) if out is None else out.otherwise(verdict(None))
+    if out is None:
+        return verdict(None)
+    out = out.otherwise(verdict(None))
+    if all(r.words for r in rules):
+        # One look for any of the rules' words settles most texts.
+        out = F.when(~c.rlike("(?iU)" + "|".join(re.escape(w) for r in rules for w in r.words)), verdict(None)).otherwise(out)
+    return out
 
 
 def no_check(c: Column) -> Column:

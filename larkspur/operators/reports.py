@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.windows import DateWindow
+from larkspur.operators import dml
+from larkspur.windows import DateWindow, eastern_date
 
 
 def count_where(c: Column) -> Column:
@@ -104,6 +105,23 @@ def streaks(daily: DataFrame, today: dt.date, key: str = "user_id", day: str = "
     return runs.groupBy(key).agg(F.coalesce(live, F.lit(0)).alias("current_streak"))
 
 
+def record_logins(daily: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """RP5: (the daily table with the logins in it, the answers). logins: user_id, seen_at (UTC), any number for a user.
+
+    An answer is (user_id, activity_date, current_streak, logged_in_today): the New York day of the user's last login and the days in a row that end with it. Logins
+    without a user or a time are ignored; of a user without logins there is no answer.
+    """
+    seen = logins.where("user_id is not null and seen_at is not null").select("user_id", "seen_at", eastern_date(F.col("seen_at")).alias("activity_date"))
+    new = seen.groupBy("user_id", "activity_date").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("login_count"))
+    merged = dml.merge_daily(daily, new)
+    last = seen.groupBy("user_id").agg(F.max_by("activity_date", "seen_at").alias("activity_date"))
+    days = merged.select("user_id", "activity_date").distinct()
+    island = F.date_sub(F.col("activity_date"), F.row_number().over(W.partitionBy("user_id").orderBy("activity_date")))
+    run = F.row_number().over(W.partitionBy("user_id", "island").orderBy("activity_date"))
+    streak = days.withColumn("island", island).withColumn("current_streak", run.cast("long")).drop("island")
+    return merged, last.join(streak, ["user_id", "activity_date"]).withColumn("logged_in_today", F.lit(True))
+
+
 def calendar(daily: DataFrame, user_id: int, first: dt.date, last: dt.date) -> DataFrame:
     """FLT5, AG23: active days of one user, both ends included."""
     if first > last:

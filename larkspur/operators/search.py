@@ -76,12 +76,12 @@ def dedup_fold(candidates: Column) -> Column:
 
 
 def retrieve(found: DataFrame, settings: Settings) -> DataFrame:
-    """RAG11, SO8: (query_id, retained, suppressed) from ranked candidates; at most ``settings.pool`` of each query."""
+    """RAG11, SO8: (query_id, retained, suppressed, candidates: their number) from ranked candidates; at most ``settings.pool`` of each query."""
     pool = found.where(F.col("rank") <= settings.pool)
     fields = ("rank int", "chunk_id string", "document_id string", "content_hash string", "content string", "char_start int", "char_end int")
     entry = F.struct(*[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in fields])
-    folded = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c")).select("query_id", dedup_fold(F.col("c")).alias("f"))
-    return folded.select("query_id", F.slice("f.retained", 1, settings.top_k).alias("retained"), F.col("f.suppressed").alias("suppressed"))
+    folded = pool.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c")).select("query_id", F.size("c").alias("candidates"), dedup_fold(F.col("c")).alias("f"))
+    return folded.select("query_id", F.slice("f.retained", 1, settings.top_k).alias("retained"), F.col("f.suppressed").alias("suppressed"), "candidates")
 
 
 def suppression_counts(retrieved: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur import adapters as A
 from larkspur.functions import text as T
-from larkspur.operators import audits, chunking, citations, conversations, dml, embedding, guardrails, ratelimit, reports, search, visible_search
+from larkspur.operators import audits, chunking, citations, conversations, dml, embedding, events, guardrails, ratelimit, reports, search, visible_search
 from larkspur.operators.index import Contract
 from larkspur.plans.registry import query
 from larkspur.session import shared_path, table
@@ -294,6 +294,73 @@ def event_log_rows(spark, d):
     return guardrails.event_rows(table(spark, d, "events"), "seen", ["event_type", "event_id"])
 
 
+@query(
+    """WITH e AS (SELECT *, event_id + 1 AS a, '"conversation_id":"c' || user_id % 9 || '"' AS c, '"user_id":"' || user_id || '","user_message_id":"' || event_id || '"' AS u, CAST(floor(value) AS BIGINT) AS n FROM events)
+    SELECT event_id, 'guardrail.check.completed' AS event, '{"assistant_message_id":"' || a || '","blocked":' || (event_type = 'error') || ',"category":null,"confidence":"0.5",' || c || ',"fail_open":null,"guardrail_provider":"p-' || event_type || '","guardrail_stage":"input","judge_error":null,"latency_ms":' || n || ',"rail":"' || event_type || '","reason":"kind_' || event_type || '_' || user_id || '",' || u || '}' AS fields FROM e
+    UNION ALL SELECT event_id, 'llm.generation.completed', '{"assistant_message_id":"' || a || '","completion_tokens":null,' || c || ',"finish_reason":"stop","generation_stage":"main","latency_ms":' || n || ',"model":"' || event_type || '","prompt_tokens":' || n || ',"request_id":"r' || event_id || '","total_tokens":null,' || u || '}' FROM e
+    UNION ALL SELECT event_id, 'chat.repair.completed', '{"assistant_message_id":"' || a || '",' || c || ',"final_rail":"' || event_type || '","initial_blocked":true,"initial_rail":"x","latency_ms":' || n || ',"repair_passed":' || (event_type <> 'error') || ',' || u || '}' FROM e
+    UNION ALL SELECT event_id, 'rag.retrieve.failed', '{"assistant_message_id":"' || a || '",' || c || ',"error_type":"Timeout","latency_ms":' || n || ',"retriever_class":"' || event_type || '",' || u || '}' FROM e WHERE event_type = 'error'"""
+)
+def request_events(spark, d):
+    """EV1, PRJ6: events of four kinds with their own fields."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    ids = {"user_message_id": i, "assistant_message_id": i + 1, "conversation_id": F.concat(F.lit("c"), (F.col("user_id") % 9).cast("string")), "latency_ms": F.floor("value").cast("long")}
+    rows = table(spark, d, "events").withColumns(ids)
+    result = F.struct((kind == "error").alias("blocked"), kind.alias("rail"), F.concat(F.lit(" Kind  "), kind, F.lit("\t"), F.col("user_id").cast("string")).alias("reason"), F.create_map(F.lit("provider"), F.concat(F.lit("p-"), kind), F.lit("confidence"), F.lit("0.5")).alias("metadata"))
+    made = [
+        (events.guardrail_fields(rows.withColumn("result", result).withColumn("guardrail_stage", F.lit("input"))), "guardrail.check.completed", None),
+        (rows.withColumns({"generation_stage": F.lit("main"), "model": kind, "finish_reason": F.lit("stop"), "prompt_tokens": F.col("latency_ms"), "r": F.concat(F.lit("r"), i.cast("string"))}), "llm.generation.completed", "r"),
+        (rows.withColumns({"repair_passed": kind != "error", "initial_blocked": F.lit(True), "initial_rail": F.lit("x"), "final_rail": kind}), "chat.repair.completed", None),
+        (rows.where(kind == "error").withColumns({"error_type": F.lit("Timeout"), "retriever_class": kind}), "rag.retrieve.failed", None),
+    ]
+    every = [events.events(df, name, r).withColumn("event_id", F.get_json_object("fields", "$.user_message_id").cast("long")) for df, name, r in made]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+@query(
+    """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT conv_id, n, unnest(range(n)) AS k FROM c)
+    SELECT conv_id, '{"backend":"b","candidate_count":' || any_value(n) || ',"chunk_count":' || ((any_value(n) + 1) // 2) || ',"chunks":[' || coalesce(string_agg('{"chunk_id":"k' || k || '","document_id":"' || conv_id || '"}', ',' ORDER BY k) FILTER (k % 2 = 0 AND k < 10), '')
+      || '],"conversation_id":"' || conv_id || '","latency_ms":7,"retained_count":' || ((any_value(n) + 1) // 2) || ',"suppression_reasons":{' || CASE WHEN any_value(n) > 3 THEN '"chunk_id":' || count(*) FILTER (k % 4 = 3) || ',' ELSE '' END || CASE WHEN any_value(n) > 1 THEN '"content_hash":' || count(*) FILTER (k % 4 = 1) ELSE '' END || '},"user_id":null,"user_message_id":null}' AS fields FROM r GROUP BY conv_id"""
+)
+def retrieval_events(spark, d):
+    """EV3: counts, reasons and the first five chunks of a search for each conversation, a candidate for each turn."""
+    per = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("candidates"))
+    places = F.sequence(F.lit(0), F.col("candidates") - 1)
+    chunk = lambda k: F.struct(F.concat(F.lit("k"), k.cast("string")).alias("chunk_id"), F.col("conv_id").cast("string").alias("document_id"), F.lit("not logged").alias("content"))
+    retained = F.transform(F.filter(places, lambda k: k % 2 == 0), chunk)
+    suppressed = F.transform(F.filter(places, lambda k: k % 2 == 1), lambda k: F.struct(F.when(k % 4 == 3, "chunk_id").otherwise("content_hash").alias("reason")))
+    rows = per.withColumns({"retained": retained, "suppressed": suppressed, "conversation_id": F.col("conv_id"), "backend": F.lit("b"), "latency_ms": F.lit(7)})
+    made = events.events(events.retrieval_fields(rows), "rag.provider.retrieve.completed")
+    return made.select(F.get_json_object("fields", "$.conversation_id").cast("long").alias("conv_id"), "fields")
+
+
+@query(
+    A.sql(
+        """WITH old AS (SELECT DISTINCT user_id, activity_date FROM v_daily WHERE activity_date < DATE '2024-01-15'), new AS (SELECT user_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS activity_date, ts FROM events WHERE event_type = 'signup'),
+    every AS (SELECT * FROM old UNION SELECT user_id, activity_date FROM new), placed AS (SELECT *, activity_date - CAST(row_number() OVER (PARTITION BY user_id ORDER BY activity_date) AS INTEGER) AS island FROM every),
+    last AS (SELECT user_id, arg_max(activity_date, ts) AS activity_date FROM new GROUP BY 1)
+    SELECT l.user_id, l.activity_date, (SELECT count(*) FROM placed q WHERE q.user_id = p.user_id AND q.island = p.island AND q.activity_date <= p.activity_date) AS current_streak, true AS logged_in_today FROM last l JOIN placed p ON p.user_id = l.user_id AND p.activity_date = l.activity_date""",
+        "v_daily",
+    )
+)
+def login_answers(spark, d):
+    """RP5: signups as logins on top of the days before."""
+    daily = A.daily_activity(spark, d).where("activity_date < DATE '2024-01-15'")
+    return reports.record_logins(daily, table(spark, d, "events").where("event_type = 'signup'").select("user_id", F.col("ts").alias("seen_at")))[1]
+
+
+@query(
+    """SELECT conv_id, turn, to_json({'studentMessage': 'm' || turn, 'retrievedContext': [{'citationId': '1', 'heading': role, 'content': 'c "' || conv_id || '" é'}]}) AS current, to_json({'studentMessage': 'm' || turn, 'previousRetrievedContext': [role, 'é']}) AS earlier,
+      to_json({'studentMessage': 'm' || turn, 'retrievedContext': [{'citationId': '1', 'heading': role, 'content': 'c "' || conv_id || '" é'}], 'draftAssistantResponse': CASE WHEN turn % 2 = 0 THEN 'd' || turn END}) AS repair FROM conversations"""
+)
+def prompt_payloads(spark, d):
+    """JS3: the three payloads of a turn."""
+    message, i = F.concat(F.lit("m"), F.col("turn").cast("string")), F.col("turn")
+    chunks = F.array(F.struct(F.lit("1").alias("citationId"), F.col("role").alias("heading"), F.concat(F.lit('c "'), F.col("conv_id").cast("string"), F.lit('" é')).alias("content"), F.lit(1).alias("rank")))
+    draft = F.when(i % 2 == 0, F.concat(F.lit("d"), i.cast("string")))
+    return table(spark, d, "conversations").select("conv_id", "turn", events.prompt_payload(message, chunks).alias("current"), events.prompt_payload(message, previous=F.array("role", F.lit("é"))).alias("earlier"), events.prompt_payload(message, chunks, draft=draft).alias("repair"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'healthy' WHEN 'view' THEN 'warning' WHEN 'error' THEN 'unhealthy' ELSE 'unknown' END AS shown, CASE event_type WHEN 'click' THEN 'ok' WHEN 'view' THEN 'degraded' WHEN 'error' THEN 'unhealthy' ELSE 'not_checked' END AS checked FROM events")
 def health_labels(spark, d):
     kind = F.col("event_type")
