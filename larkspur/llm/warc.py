@@ -3,7 +3,8 @@
 1. Pages are grouped by payload digest (SHA-1); the record with the largest id of a group is the
    response, the others are revisits of it. Grouping counts before it shuffles, so a payload that a
    third of all pages share is one row for each task. Groups of two and more are joined to the pages by
-   broadcast, the largest first, up to a checked number; payloads are only shuffled for groups beyond it.
+   broadcast, the largest first, up to a checked number. If there are more, the rest is joined by a shuffle in which
+   the payloads of all pages travel once.
 2. Each task writes gzip members, one for each record, into archive files, and with each file a run of
    its index, sorted by URL key and timestamp.
 3. The runs are cut at common bounds (range partitioning); in each range the pieces of all runs are
