@@ -1,4 +1,7 @@
-"""Audits in place of constraints (AU, AG16-20, JN10-11, SET4): counts of what should not be."""
+"""Audits in place of constraints (AU, AG16-20, JN10-11, SET4): counts of what should not be.
+
+Defined results: empty tables have no violations and counts of 0; null keys are no orphans; repeated rows count each; nulls are a value of their own in groups and fingerprints.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Citation links in Markdown answers (RAG15-RAG17, STR14, FLT12): a small scanner that leaves code alone, run over Arrow batches."""
+"""Citation links in Markdown answers (RAG15-RAG17, STR14, FLT12): a small scanner that leaves code alone, run over Arrow batches.
+
+Defined results: a null text stays null when it is normalised, cites nothing and shows nothing; records that repeat an id are used once, the first of them; an empty list of records cites nothing;
+repeated rows are treated each; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 

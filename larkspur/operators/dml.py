@@ -1,4 +1,8 @@
-"""Upserts, soft deletes and replacements as snapshot merges (DML, SET): old rows and changes in, the new snapshot out."""
+"""Upserts, soft deletes and replacements as snapshot merges (DML, SET): old rows and changes in, the new snapshot out.
+
+Defined results: an empty side gives the other; keys that are null match nothing, such old rows stay and such new rows come in as they are. New rows that repeat a key
+must be reduced before (``latest``) where the operator does not do it itself; repeated old rows each stay. A null time in a change is older than any other.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Guardrails and costs (GR, CO, EV, JS1-2, NM6-7). Outcomes of models are input columns."""
+"""Guardrails and costs (GR, CO, EV, JS1-2, NM6-7). Outcomes of models are input columns.
+
+Defined results: a null text is not blocked and a null answer of a judge blocks; costs without a price, or with a null number of tokens, are null with their status; repeated rows are judged each;
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 

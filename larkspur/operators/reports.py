@@ -1,4 +1,8 @@
-"""Usage, roster, activity and health reports (AG, WN, SO, JN, RP operators)."""
+"""Usage, roster, activity and health reports (AG, WN, SO, JN, RP operators).
+
+Defined results: counts and sums over empty tables are 0, averages null; a null latency takes no part in an average, a null cost in no sum; rows without a user count
+in totals and belong to no user; rows without a time are in no window. Repeated rows count each, repeated days of one user once. Nulls sort where each report says.
+"""
 
 from __future__ import annotations
 

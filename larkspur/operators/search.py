@@ -1,4 +1,8 @@
-"""Retrieval: exact filtered cosine search, order-preserving dedup, retrieval log, citations, history (RAG, FLT2-3, NM3, PRJ, SNK1)."""
+"""Retrieval: exact filtered cosine search, order-preserving dedup, retrieval log, citations, history (RAG, FLT2-3, NM3, PRJ, SNK1).
+
+Defined results: a query without candidates has no row in what is folded or logged; null hashes, offsets and ids never make two candidates equal; repeated candidates are told apart by
+their rank and suppressed like others; null contents are empty where they are compared. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

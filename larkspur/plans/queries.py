@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur import adapters as A
 from larkspur.functions import text as T
 from larkspur.operators import audits, chunking, citations, dml, guardrails, ingestion, nearest, reports, search
-from larkspur.plans import more  # noqa: F401, it adds its queries
+from larkspur.plans import more, stored  # noqa: F401, they add their queries
 from larkspur.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from larkspur.session import table
 from larkspur.windows import admin_window, instructor_window
