@@ -280,13 +280,13 @@ def history_payloads(spark, d):
     return search.history(rows).select("conv_id", (F.col("sequence") - 1).alias("turn"), "content")
 
 
-@query("SELECT conv_id, '1:h0,2:h1,3:h2' AS records, '1,2' AS renderable FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("SELECT conv_id, turn, '1:' || coalesce(role, '') || ',2:t' || turn || ',3:' || conv_id AS records, CASE WHEN turn % 2 = 0 THEN '1,2' ELSE '1' END AS renderable FROM conversations")
 def citation_lists(spark, d):
-    chunks = F.transform(F.array(*map(F.lit, range(3))), lambda i: F.struct(F.concat(F.lit("h"), i.cast("string")).alias("heading"), F.lit("p").alias("source_path"), F.lit("c").alias("content")))
-    made = search.citation_records(chunks)
-    odd = F.transform(made, lambda c, i: F.struct(F.when(i < 2, c["citationId"]).otherwise("").alias("citationId")))
-    rows = table(spark, d, "conversations").select("conv_id").distinct()
-    return rows.select("conv_id", F.array_join(F.transform(made, lambda c: F.concat(c["citationId"], F.lit(":"), c["heading"])), ",").alias("records"), F.array_join(F.transform(search.renderable(odd), lambda c: c["citationId"]), ",").alias("renderable"))
+    heads = F.array(F.coalesce("role", F.lit("")), F.concat(F.lit("t"), F.col("turn").cast("string")), F.col("conv_id").cast("string"))
+    made = search.citation_records(F.transform(heads, lambda h: F.struct(h.alias("heading"), F.lit("p").alias("source_path"), h.alias("content"))))
+    odd = F.transform(made, lambda c, i: F.struct(F.when(i < 2 - F.col("turn") % 2, c["citationId"]).otherwise("").alias("citationId")))
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.array_join(F.transform(made, lambda c: F.concat(c["citationId"], F.lit(":"), c["heading"])), ",").alias("records"), F.array_join(F.transform(search.renderable(odd), lambda c: c["citationId"]), ",").alias("renderable"))
 
 
 @query("SELECT 'seen' AS event, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS fields FROM events")
@@ -434,9 +434,9 @@ def visible_text_search(spark, d):
     return visible_search.search(spark, root, asked)
 
 
-@query("SELECT page_id, 'day=b;week=a' AS kept, coalesce(CASE WHEN page_id % 2 = 0 THEN '' END, 'camel') AS either FROM pages")
+@query("SELECT page_id, 'day=' || page_id % 7 || ';week=' || coalesce(url, '') AS kept, coalesce(CASE WHEN page_id % 2 = 0 THEN '' END, 'camel') AS either FROM pages")
 def log_metadata(spark, d):
-    m = F.create_map(*map(F.lit, ("week", "a", "day", "b", "text", "c")))
+    m = F.create_map(F.lit("week"), F.coalesce("url", F.lit("")), F.lit("day"), (F.col("page_id") % 7).cast("string"), F.lit("text"), F.coalesce("html", F.lit("")))
     kept = F.array_join(F.transform(F.array_sort(F.map_entries(T.allowed_metadata(m, ["week", "day"]))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     either = F.create_map(F.lit("source_path"), F.when(F.col("page_id") % 2 == 0, ""), F.lit("sourcePath"), F.lit("camel"))
     return table(spark, d, "pages").select("page_id", kept.alias("kept"), T.either_key(either, "source_path", "sourcePath").alias("either"))
