@@ -20,6 +20,8 @@ is never cut over two shards.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
 import struct
@@ -28,10 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from larkspur.llm.common import fresh_path, materialize
 from larkspur.llm.files import make_folder, read_file, write_file
@@ -43,22 +47,60 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 8 << 20
 
 
+def _byte_characters() -> str:
+    """The characters that byte-level vocabularies write for the 256 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
+#: Classes of bytes; the rest, white space of several bytes among them, is class 0.
+SPACE, LINE_FEED, DIGIT, SIGN, APOSTROPHE, LETTER, OTHER = range(1, 8)
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    out[33:127] = SIGN
+    for kind, (low, high) in [(DIGIT, b"09"), (LETTER, b"AZ"), (LETTER, b"az"), (OTHER, b"\xc3\xe0"), (OTHER, b"\xe4\xf4")]:
+        out[low : high + 1] = kind
+    out[ord(" ")], out[ord("\n")], out[ord("'")] = SPACE, LINE_FEED, APOSTROPHE
+    return out
+
+
+def _cuts() -> np.ndarray:
+    """For classes a and b side by side, at ``8 * a + b``: 1 if a chunk may begin at the second, plus 2 if at the first."""
+    out = np.zeros((8, 8), np.uint8)
+    out[SPACE, DIGIT:] = 2
+    out[LINE_FEED, DIGIT:] = 3
+    out[[DIGIT, SIGN, APOSTROPHE, LETTER], LINE_FEED] = 1
+    for kinds in ([DIGIT], [SIGN, APOSTROPHE], [LETTER]):
+        for kind in kinds:
+            out[kind, [k for k in (DIGIT, SIGN, APOSTROPHE, LETTER) if k not in kinds]] = 1
+    out[APOSTROPHE, LETTER] = 0  # 's is one piece
+    return out.ravel()
+
+
 class Encoder:
     """The tokenizers library with a byte-level vocabulary, called once for each different chunk of text.
 
-    A text is cut before each space that stands before another character than white space. There a piece of the
-    vocabulary's pre-tokenizer always begins, so the ids of the chunks, one after the other, are the ids of the text.
-    Texts with a space before white space, or with an added token, are encoded in one call.
+    Texts are cut where a piece of the vocabulary's pre-tokenizer always begins, so the ids of the chunks, one after
+    the other, are the ids of the text: before a space and around a line feed that stand before a character other than
+    white space, and between letters, digits and punctuation (not behind an apostrophe). Arrow numbers the different
+    chunks of many texts; their ids are put in place by one gather. Texts with an added token are one chunk, as all
+    texts are if the vocabulary's pre-tokenizer is another.
 
-    New chunks are handed over together, a line for each: a line feed before a chunk that begins with one space
-    or none, and behind one that doesn't end in white space, is a piece of its own, whose id parts the chunks' ids.
-    In the same way a chunk is cut at line feeds that stand alone, and before the punctuation behind a last letter.
+    New chunks are handed over together, a line for each. Chunks of letters, digits or punctuation alone are one piece:
+    the library's model gets them in the characters of the vocabulary, cut at line feeds only, and the bytes of the
+    tokens part the ids. Of the others, those that begin with one space or none and end in other than white space go
+    through the whole tokenizer; a line feed before them is a piece of its own, whose id parts the ids.
     """
 
-    #: Chunks that fit in a line, chunks of several lines, and chunks that end in punctuation.
-    LINE, LINES, CLOSED = re.compile(r" ?\S(?:[^\n]*\S)?"), re.compile(r" ?\S+(?:\n\S+)+"), re.compile(r"( ?\S*[A-Za-zÀ-ÖØ-öø-ſ])([!-/:-@\[-`{-~]+)")
-    #: Chunks that are remembered in each of two generations, and the longest of them.
+    #: Chunks that are one piece, and chunks that fit in a line.
+    PIECE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+    LINE = re.compile(r" ?\S(?:[^\n]*\S)?")
+    #: Chunks that are remembered in each of two generations, and the bytes of the longest of them.
     MOST, LONGEST = 600_000, 64
+    CLASSES, CUTS = _classes(), _cuts()
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -69,71 +111,113 @@ class Encoder:
         self.bits = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype(np.uint16 if self.bits <= 16 else np.uint32)
         self.line = self._ids("\n")
-        # Keys: a chunk behind a space without that space; any other with a space put before it.
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        made = json.loads(self.library.to_str())
+        before, model = made["pre_tokenizer"] or {}, made["model"]
+        self.cutting = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and made["normalizer"] is None
+        # One token for each byte at least, and tokens that say their bytes and nothing else.
+        vocabulary, characters = self.library.get_vocab(with_added_tokens=False), _byte_characters()
+        self.pieces = None
+        if self.cutting and model["type"] == "BPE" and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"] and all(c in vocabulary for c in characters):
+            self.pieces = Tokenizer(self.library.model)
+            self.pieces.pre_tokenizer = CharDelimiterSplit("\n")
+            self.characters = characters[:10] + "\n" + characters[11:]
+            self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
-    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
-        """The ids of chunks by their keys."""
-        text = lambda k: k[1:] if k[0] == " " else f" {k}"
-        joint = [k for k in keys if self.LINE.fullmatch(text(k))] if len(self.line) == self.dtype.itemsize else []
-        out: dict[str, bytes] = {}
-        for i in range(0, len(joint), 8192):
-            part = joint[i : i + 8192]
-            raw = self._ids("\n".join(map(text, part)))
-            ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.line, self.dtype)[0]) * self.dtype.itemsize
-            begins = [0, *(ends + self.dtype.itemsize).tolist()]
-            out.update(zip(part, (raw[a:b] for a, b in zip(begins, [*ends.tolist(), len(raw)], strict=True)), strict=True))
-        out.update((k, self._ids(text(k)) if k != " " else b"") for k in set(keys).difference(out))
+    def _of_pieces(self, chunks: list[bytes]) -> list[bytes]:
+        text = b"\n".join(chunks).decode("latin-1").translate(self.characters)
+        ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        lengths = np.cumsum(self.lengths[ids])
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        after = np.searchsorted(lengths, ends) + 1
+        if after[-1] != len(ids) or not np.array_equal(lengths[after - 1], ends):
+            raise ValueError("the tokens are not the bytes of the chunks")
+        raw, after = ids.tobytes(), (after * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *after[:-1]], after, strict=True)]
+
+    def _of_lines(self, chunks: list[bytes]) -> list[bytes]:
+        raw = self._ids(b"\n".join(chunks).decode())
+        ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.line, self.dtype)[0]) * self.dtype.itemsize
+        begins = [0, *(ends + self.dtype.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(begins, [*ends.tolist(), len(raw)], strict=True)]
+
+    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different chunks."""
+        pieces = [c for c in chunks if self.PIECE.fullmatch(c)] if self.pieces else []
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(pieces), 8192):
+            out.update(zip(pieces[i : i + 8192], self._of_pieces(pieces[i : i + 8192]), strict=True))
+        rest = [c for c in chunks if c not in out]
+        # A whole text may hold an added token.
+        lines = [c for c in rest if len(c) <= self.LONGEST and self.LINE.fullmatch(t := c.decode()) and not any(a in t for a in self.added)] if self.cutting and len(self.line) == self.dtype.itemsize else []
+        for i in range(0, len(lines), 8192):
+            out.update(zip(lines[i : i + 8192], self._of_lines(lines[i : i + 8192]), strict=True))
+        out.update((c, self._ids(c.decode())) for c in rest if c not in out)
         return out
 
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of new chunks; short ones are remembered. Keys that are no chunks are left out."""
-        new, several, more = [], {}, set()
-        for k in keys:
-            if k in self.seen or not k or (k[0] != " " and k[0].isspace()):
-                continue
-            if (ids := self.older.get(k)) is not None:
-                self.seen[k] = ids
-            elif "\n" in k and self.LINES.fullmatch(k):
-                first, *rest = k.split("\n")
-                several[k] = self.line, [first, *(f" {r}" for r in rest)]
-                more.update(several[k][1])
-            elif found := self.CLOSED.fullmatch(k):
-                several[k] = b"", [found[1], f" {found[2]}"]
-                more.update(several[k][1])
-            else:
-                new.append(k)
-        made = self._learn(more) if more else {}
-        known = lambda k: made[k] if k in made else self.seen[k]
-        composed = {k: glue.join(map(known, parts)) for k, (glue, parts) in several.items()}
-        made = made | composed | self._encoded(new)
-        self.seen.update((k, v) for k, v in made.items() if len(k) <= self.LONGEST)
-        return made
-
-    def raw(self, text: str) -> bytes:
-        """The ids of a text, end to end, as numbers of type ``dtype``."""
-        if any(t in text for t in self.added):
-            return self._ids(text)
-        head, *parts = text.split(" ")
-        keys, own = [f" {head}", *parts], self.seen
-        try:
-            return b"".join(map(own.__getitem__, keys))
-        except KeyError:
-            made = self._learn(set(keys).difference(own))
-        try:
-            return b"".join([own[k] if k in own else made[k] for k in keys])
-        except KeyError:  # a space before white space
-            return self._ids(text)
-        finally:
-            if len(own) > self.MOST:  # what was not met since the last time is forgotten
-                self.seen, self.older = {}, own
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of different chunks; short ones are remembered."""
+        found = list(map(self.seen.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        made = {c: ids for i in missing if (ids := self.older.get(c := chunks[i])) is not None}
+        made |= self._encoded([c for i in missing if (c := chunks[i]) not in made])
+        for i in missing:
+            found[i] = made[chunks[i]]
+        self.seen.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
+        if len(self.seen) > self.MOST:  # what was not met since the last time is forgotten
+            self.seen, self.older = {}, self.seen
+        return found
+
+    def _begins(self, raw: np.ndarray, at: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where the chunks begin in texts that lie end to end, text i from ``at[i]`` to ``at[i + 1]``; ``whole``: texts that are not cut."""
+        kinds = self.CLASSES[raw]
+        lead = np.flatnonzero(raw == 0xC3)
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # × and ÷
+        kinds[lead] = kinds[lead + 1] = LETTER
+        cut = self.CUTS[(kinds[:-1] << 3) | kinds[1:]]
+        inner = at[(at > 0) & (at < len(raw))]
+        cut[inner - 1] = 0
+        for i in whole:
+            cut[at[i] : max(at[i], at[i + 1] - 1)] = 0
+        begins = np.zeros(len(raw), bool)
+        begins[1:] = cut & 1
+        begins[:-1] |= cut > 1
+        begins[inner] = begins[0] = True
+        return np.flatnonzero(begins)
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each text has; nulls are empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset) if n else np.zeros(1, np.int64)
+        if at[0] == at[-1]:
+            return np.zeros(0, self.dtype), np.zeros(n, np.int64)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        if self.cutting:
+            held = np.zeros(n, bool)
+            for t in self.added:
+                held |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+            begins = self._begins(raw, at, np.flatnonzero(held))
+        else:
+            begins = np.unique(at[:-1][np.diff(at) > 0])
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        ends, content = (b.to_pybytes() for b in chunks.dictionary.buffers()[1:])
+        ends = np.frombuffer(ends, np.int64, len(chunks.dictionary) + 1).tolist()
+        made = self._learn([content[a:b] for a, b in itertools.pairwise(ends)])
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(made), self.dtype))
+        ids = lists.take(chunks.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[chunks.indices.to_numpy()])])
+        return ids, np.diff(ends[np.searchsorted(begins, at)])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.raw(text), self.dtype).tolist()
+        return self.arrays(pa.array([text], pa.large_string()))[0].tolist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -282,29 +366,34 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        end = np.array([end_id], e.dtype).tobytes()
-        part, number = None, 0
-        keys: list[int | None] = []
-        made: list[bytes] = []
-        held = 0
+        part, number, held = None, 0, 0
+        keys: list[pa.Array] = []
+        made: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def flush():
-            nonlocal keys, made, held, number
+            nonlocal keys, made, counts, held, number
             name = f"{path}/part-{part:05d}-{number:05d}.wvm"
-            ends = np.cumsum([len(m) // e.dtype.itemsize for m in made])
+            ids, ends = pa.chunked_array(keys, pa.int64()), np.cumsum(np.concatenate(counts))
             # Documents without a key come first.
-            write_file(name, build(np.array([k or 0 for k in keys], np.int64), ends, np.frombuffer(b"".join(made), e.dtype), e.bits, keys.count(None)))
-            row = pa.record_batch([pa.array([name]), pa.array([part * 100_000 + number]), pa.array([len(keys)]), pa.array([int(ends[-1])])], names=["file", "shard", "n_docs", "n_tokens"])
-            keys, made, held, number = [], [], 0, number + 1
+            write_file(name, build(ids.fill_null(0).to_numpy(), ends, np.concatenate(made), e.bits, ids.null_count))
+            row = pa.record_batch([pa.array([name]), pa.array([part * 100_000 + number]), pa.array([len(ids)]), pa.array([int(ends[-1])])], names=["file", "shard", "n_docs", "n_tokens"])
+            keys, made, counts, held, number = [], [], [], 0, number + 1
             return row
 
         for b in batches:
             part = b.column(2)[0].as_py() if part is None and b.num_rows else part
-            for k, t in zip(b.column(0), b.column(1), strict=True):
-                body = t.as_py() or ""
-                keys.append(k.as_py())
-                made.append(e.raw(body) + end)
-                held += len(body)
+            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(), dtype=np.int64)])
+            i = 0
+            while i < b.num_rows:
+                # The rows that fill the shard, the one that reaches its size among them.
+                j = min(b.num_rows, max(i + 1, int(np.searchsorted(sizes, sizes[i] + shard_bytes - held))))
+                ids, n = e.arrays(b.column(1).slice(i, j - i))
+                keys.append(b.column(0).slice(i, j - i))
+                made.append(np.insert(ids, np.cumsum(n), e.dtype.type(end_id)))
+                counts.append(n + 1)
+                held += int(sizes[j] - sizes[i])
+                i = j
                 if held >= shard_bytes:
                     yield flush()
         if keys:

@@ -1,9 +1,11 @@
 import functools
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from larkspur.llm import wavelet
@@ -75,3 +77,44 @@ def test_chunks_are_encoded_as_whole_texts():
     for _ in range(4000):
         text = "".join(rng.choices(pool, k=rng.randint(0, 30)))
         assert e.encode(text) == library().encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_texts_side_by_side():
+    rng, e = random.Random(7), wavelet.Encoder(FILE)
+    e.MOST, e.LONGEST = 300, 8
+    ends = [" ", "  ", "\n", " \n", "\n ", "\n\n", "\t", " ", "　", "\x1c", "", "a", "é", "×", "÷", "Я", "日", "́", "'", "'s", ".", "7", "<|endoftext|>", "<|endoftext"]
+    pool = [*ends, *[" ", "\n"] * 6, "the", "Zürich", "l'été", "x×y", "I'll", "'.s", "-'ll", "--", "a1b", "3rd", "½", "|>", "don't", "1,000.5"]
+    for _ in range(300):
+        texts = [None if rng.random() < 0.05 else rng.choice(ends) + "".join(rng.choices(pool, k=rng.randint(0, 12))) + rng.choice(ends) for _ in range(rng.randint(0, 30))]
+        kept = pa.array(["before ", *texts, " after"], rng.choice([pa.string(), pa.large_string()])).slice(1, len(texts))
+        ids, n = e.arrays(kept)
+        want = [reference(t)[:-1] for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w], ascii(texts)
+
+
+def test_a_vocabulary_with_another_pre_tokenizer_is_not_cut(tmp_path):
+    made = json.loads(library().to_str())
+    made["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "v.json").write_text(json.dumps(made))
+    e, whole = wavelet.Encoder(str(tmp_path / "v.json")), type(library()).from_file(str(tmp_path / "v.json"))
+    texts = ["of the people", "", "a\nb  c", "of the people, don't"]
+    ids, n = e.arrays(pa.array(texts))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_new_words_are_not_split_by_the_whole_tokenizer():
+    rng, e = random.Random(8), wavelet.Encoder(FILE)
+    text = ". ".join(" ".join("".join(rng.choices("abcdefghijé", k=9)) for _ in range(10)) for _ in range(300)) + "\nIt's 1,000 more."
+    handed = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            handed.extend(texts)
+            return library().encode_batch_fast(texts, **more)
+
+    e.library = Counted()
+    assert e.encode(text) == library().encode(text, add_special_tokens=False).ids
+    assert sum(map(len, handed)) < len(text) // 100
+    handed.clear()
+    assert e.encode(text[:200]) == library().encode(text[:200], add_special_tokens=False).ids and len(handed) <= 1
