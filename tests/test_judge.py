@@ -78,3 +78,24 @@ def test_long_texts(spark):
 def test_fields(spark, text, expected):
     v = spark.range(1).select(guardrails.normalised_verdict(guardrails.judge_json(F.lit(text))).alias("v")).first().v
     assert tuple(v) == expected
+
+
+def test_an_answer_is_parsed_once_for_all_its_fields(spark):
+    v = guardrails.normalised_verdict(guardrails.judge_json(F.concat(F.lit("so "), F.col("id").cast("string"))))
+    plan = spark.range(1).select(v.alias("v")).select("v.blocked", "v.reason", "v.rail", "v.confidence")._jdf.queryExecution().optimizedPlan().toString()
+    # The text as a list's item, the first object, and any later one.
+    assert plan.count("parseJson") == 3 and plan.count("concat(so ") == 1
+
+
+def test_starts_that_are_no_objects(spark):
+    texts = [
+        '{"a" {"b": 1}', '{"a": nothing} {"b": 1}', '{"a": 1 {"b": {"c": 2} {"d": 3}', '{"a": 1, "a": {"b": 1}}', '{"a": "cut {"b": 1}', 'x {"a": fals', 'x {"a": -1.5e3, "b": [{}]} {"c": 1}', '{"a\\"{": 1} y',
+        '"{}" {"a": 1} "', '[1] {"a": 1} [2]', '["{", {"a": 1}]', '[{"a": 1}, ]', '"end of the text"', '{"a": true},"end of the text"', '1,"end of the text"', '```\n[{"a": 1}]\n```', '{"a"\n:\t{"b"\r: null}} {', '{"a": +1} {"b": 01} {"c": .5} {"d": 5}',
+    ]
+    for text, j in zip(texts, result(spark, texts), strict=True):
+        expected = {"b": 1} if text == '{"a": 1, "a": {"b": 1}}' else read(text)  # a key twice is unreadable
+        assert (json.loads(j) if j is not None else None) == expected, text
+
+
+def test_many_keys_without_values(spark):
+    assert [json.loads(j)["blocked"] for j in result(spark, ['{"' * 20_001 + ' {"blocked": true}', '{"k" ' * 20_000 + '{"blocked": true}'])] == [True, True]
